@@ -3,7 +3,7 @@
 A row per posting would cost several times its 16 bytes in a shuffle, so a map task packs the postings of
 an Arrow batch by bucket (top bits of the key) into one row each. Keys that recur inside a batch
 are answered there and go on as one representative, so however common a key is, a reduce task
-sees it once per batch at most. Buckets are sized from a count of the data: their number grows with it.
+sees it once per batch at most. Answers go back packed by the bucket of their ids. Buckets are sized from a count of the data: their number grows with it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+from protospark.llm.text import mix
 
 #: Postings that a bucket holds on average; a bucket is what a reduce task has in memory at once.
 BUCKET = 1 << 19
@@ -48,7 +50,7 @@ def _grouped(ids, pos, keys) -> pa.RecordBatch:
 
 
 def occurrences(rows: DataFrame, columns: list[str], keys_of: Callable, bits: int, later: bool = False) -> DataFrame:
-    """``(id, pos[], key[])``: the postings whose key occurs more than once, grouped by id (an id may have several rows).
+    """``(id, pos[], key[])``: the postings whose key occurs more than once, one row per id.
 
     ``columns[0]`` is a non-null long id; ``keys_of(batch)`` gives (keys, row, pos) of an Arrow batch of ``columns``.
     ``later``: only postings with the key at a smaller ``(id, pos)`` too; those at the smallest are left out.
@@ -94,29 +96,60 @@ def occurrences(rows: DataFrame, columns: list[str], keys_of: Callable, bits: in
             found = ~(new & np.r_[new[1:], True]) & ~own
         return ids[found], pos[found], keys[found]
 
+    def by_id(parts: list[tuple]) -> pa.RecordBatch:
+        """Answers packed anew, by the bucket of their ids."""
+        ids, pos, keys = map(np.concatenate, zip(*parts, strict=True))
+        where = (mix(ids.view(np.uint64)) >> shift).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        ids, pos, keys, where = ids[order], pos[order], keys[order], where[order]
+        cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True]) if len(ids) else np.zeros(1, np.int64)
+        own = np.zeros(len(ids), bool)
+        body = [_pack(keys[a:b], ids[a:b], pos[a:b], own[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]], pa.int32()), pa.array(body, pa.binary())], ["bucket", "body"])
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, parts, at, held = [], [], None, 0
         for batch in batches:
             for kind, bucket, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at and parts:
+                    done.append(answer(parts))
+                    held += len(done[-1][0])
+                    parts = []
+                at = bucket
                 if kind:
                     k, i, p, _ = _unpack(body)
                     done.append((i, p, k))
+                    held += len(i)
                 else:
-                    if bucket != at and parts:
-                        done.append(answer(parts))
-                        parts = []
-                    at = bucket
                     parts.append(body)
-                if done and (held := held + len(done[-1][0])) > 4 * BUCKET:
-                    yield _grouped(*map(np.concatenate, zip(*done, strict=True)))
+                if held > 4 * BUCKET:
+                    yield by_id(done)
                     done, held = [], 0
         if parts:
             done.append(answer(parts))
         if done:
-            yield _grouped(*map(np.concatenate, zip(*done, strict=True)))
+            yield by_id(done)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, at = [], None
+
+        def out():
+            keys, ids, pos, _ = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))
+            return _grouped(ids, pos, keys)
+
+        for batch in batches:
+            for bucket, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at and parts:
+                    yield out()
+                    parts = []
+                at = bucket
+                parts.append(body)
+        if parts:
+            yield out()
 
     packed = rows.select(*columns).mapInArrow(pack, _PACKED)
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, _FOUND)
+    answers = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "bucket int, body binary")
+    return answers.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, _FOUND)
 
 
 def bucket_bits(postings: int) -> int:

@@ -144,12 +144,10 @@ def substring_dedup(docs: DataFrame, length: int = 20, period: int = 13, texts:
     copies = F.broadcast(copies) if small else copies
     bits = bucket_bits(words * len(COVERS[period]) // period)
     fresh = docs.select("id", "text").join(copies, "id", "left_anti")
-    anchors = cut(occurrences(fresh, ["id", "text"], _anchors(length, period), bits).select("id", "pos"))
-    places = anchors.groupBy("id").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    places = cut(occurrences(fresh, ["id", "text"], _anchors(length, period), bits).select("id", "pos"))
     dealt = docs.repartition("id")
     marked = dealt.join(places, "id").select("id", "text", "pos")
-    later = occurrences(marked, ["id", "text", "pos"], _windows(length, period), bits, later=True)
-    starts = later.groupBy("id").agg(F.flatten(F.collect_list("pos")).alias("starts"))
+    starts = occurrences(marked, ["id", "text", "pos"], _windows(length, period), bits, later=True).select("id", F.col("pos").alias("starts"))
     told = dealt.join(starts, "id", "left").join(copies.withColumn("whole", F.lit(True)), "id", "left")
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts + "".join(f", {m} {kind[c]}" for c, m in zip(carry, more))
     out = told.select(F.col("doc_id").cast("long"), "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts", *more).mapInArrow(_strip(length, texts), kinds)
