@@ -25,7 +25,6 @@ POSTING_COST = 3
 BROADCAST_IDS = 1 << 20
 #: Rounds in which the members of an inverted list are compared with so many of them only: in the first round the smallest id is one.
 STAR_ROUNDS, HUBS = 2, 4
-_POST = ("id", "n", "low", "rank", "component")
 _LAST = 2**63 - 1
 
 
@@ -223,29 +222,34 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
     total = classes.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * 0.75) + 1), F.lit(0))).first()[0]
     found = occurrences(fresh, ["id", "text"], _prefixes(width, smallest, level), bucket_bits(total))
     node = classes.groupBy(F.col("cls").alias("id")).agg(F.max("n").alias("n"), F.min("n").alias("low"))
-    posts = cut(found.select("id", F.explode(F.arrays_zip("key", "pos")).alias("p")).groupBy("id", "p.key").agg(F.min("p.pos").alias("rank")).join(node, "id"))
+    lists = cut(found.join(node, "id"))
 
-    def near(x: str, y: str) -> str:
-        """Sizes fit, and what follows the shared shingle in either set leaves room for the overlap needed."""
-        room = " and ".join(f"7 * ({z}n - {z}rank) >= 3 * ({x}low + {y}low)" for z in (x, y))
-        return f"4 * {x}n >= 3 * {y}low and 4 * {y}n >= 3 * {x}low and {room}"
+    def near(x: str, y: str, *ranked: str) -> str:
+        """Sizes fit, and what follows the shared shingle in the sets whose rank is known leaves room for the overlap needed."""
+        room = [f"7 * ({z}n - {z}rank) >= 3 * ({x}low + {y}low)" for z in ranked]
+        return " and ".join([f"4 * {x}n >= 3 * {y}low and 4 * {y}n >= 3 * {x}low", *room])
 
-    links, tried, named = cut(light.distinct()), None, posts.withColumn("component", F.col("id"))
+    links, tried, comp = cut(light.distinct()), None, None
     for turn in range(STAR_ROUNDS + 1):
+        if comp is None:
+            rows = lists.withColumn("component", F.col("id"))
+        else:
+            rows = lists.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        posts = rows.select("id", "n", "low", "component", F.explode(F.arrays_zip("key", "pos")).alias("p")).select("p.key", F.col("p.pos").alias("rank"), "id", "n", "low", "component")
+        hubs = [F.min("id") if turn + k == 0 else F.min_by("id", F.xxhash64("id", F.lit(HUBS * turn + k))) for k in range(HUBS if turn < STAR_ROUNDS else 0)]
+        mixed = posts.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), *(h.alias(f"hub{k}") for k, h in enumerate(hubs))).where("x <> y")
         if turn < STAR_ROUNDS:
-            leads = [F.min(F.struct((F.col("id") if turn + k == 0 else F.xxhash64("id", F.lit(HUBS * turn + k))).alias("order"), *_POST)) for k in range(HUBS)]
-            pairs = named.join(named.groupBy("key").agg(F.array(*leads).alias("o")), "key").withColumn("o", F.explode("o"))
-            pairs = pairs.select("key", "id", "n", "low", "rank", "component", *(F.col(f"o.{c}").alias(f"o_{c}") for c in _POST))
+            pairs = posts.join(mixed, "key").select("id", "n", "low", "rank", "component", F.explode(F.array(*(f"hub{k}" for k in range(HUBS)))).alias("o_id"))
+            pairs = pairs.where("id <> o_id").groupBy("id", "o_id", "n", "low", "component").agg(F.min("rank").alias("rank"))
+            pairs = pairs.join(rows.select(*(F.col(c).alias(f"o_{c}") for c in ("id", "n", "low", "component"))), "o_id").where(near("", "o_", ""))
         else:
-            pairs = named.join(named.select("key", *(F.col(c).alias(f"o_{c}") for c in _POST)), "key").where("id < o_id")
-        pairs = pairs.where("component <> o_component and " + near("", "o_")).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+            posts = cut(posts.join(mixed.select("key"), "key", "left_semi"))
+            pairs = posts.join(posts.select("key", *(F.col(c).alias(f"o_{c}") for c in ("id", "n", "low", "rank", "component"))), "key").where("id < o_id and " + near("", "o_", "", "o_"))
+        pairs = pairs.where("component <> o_component").select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         links = cut(links.union(verified(pairs, fresh, width)).distinct())
         tried = pairs if tried is None else tried.union(pairs)
         comp = components(links)
-        if turn < STAR_ROUNDS:
-            named = posts.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            named = cut(named.join(named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y"), "key", "left_semi"))
 
     cls = member.groupBy("id").agg(F.min("cls").alias("cls"))
     told = digest.join(cls, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
