@@ -71,6 +71,19 @@ def gram_features(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.nda
     return np.concatenate(out_f), np.concatenate(out_d), np.concatenate(out_w)
 
 
+#: Entries of a sample that are widened to doubles at once.
+BLOCK = 1 << 20
+
+
+def sparse_scores(row: np.ndarray, col: np.ndarray, val: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """The sum of ``val * w[col]`` of each of ``n`` rows, taken block by block."""
+    z = np.zeros(n)
+    for a in range(0, len(row), BLOCK):
+        s = slice(a, a + BLOCK)
+        z += np.bincount(row[s], val[s] * w[col[s]], n)
+    return z
+
+
 def fit_logistic(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, size: int, l2: float, steps: int = 200, rate: float = 0.1, weight: np.ndarray | None = None):
     """Weights and intercept for targets ``y`` in [0, 1], by Adam on the whole (bounded) sample; the same input gives the same model."""
     w, b = np.zeros(size), 0.0
@@ -79,13 +92,15 @@ def fit_logistic(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarra
     share = min(max((y * weight).sum() / total, 1e-3), 1 - 1e-3)
     b = float(np.log(share / (1 - share)))
     used = np.unique(col)
-    col = np.searchsorted(used, col)
+    index = np.zeros(size, np.int32)
+    index[used] = np.arange(len(used))
+    col = index[col]
     v = np.zeros(len(used))
     m1, m2, c1, c2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, val * v[col], len(y)) + b
+        z = sparse_scores(row, col, val, v, len(y)) + b
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / total
-        g = np.bincount(col, val * r[row], len(used)) + l2 * v
+        g = sparse_scores(col, row, val, r, len(used)) + l2 * v
         gb = r.sum()
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         c1, c2 = 0.9 * c1 + 0.1 * gb, 0.999 * c2 + 0.001 * gb * gb

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from protospark.llm.common import batches, held_out, table
-from protospark.llm.features import fit_logistic, gram_features, platt, span_hash
+from protospark.llm.features import fit_logistic, gram_features, platt, span_hash, sparse_scores
 from protospark.llm.text import SPACE, Words, chunks, per_document, rolling
 
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
@@ -60,29 +60,31 @@ def _sample(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, at = np.unique(d * SIZE + f, return_inverse=True)
             v, d = np.bincount(at, v), key // SIZE
             cut = np.searchsorted(d, np.arange(j - i + 1))
-            feats += [(key[cut[k] : cut[k + 1]] % SIZE).astype(np.int32).tobytes() for k in range(j - i)]
-            vals += [v[cut[k] : cut[k + 1]].astype(np.float32).tobytes() for k in range(j - i)]
+            feats += [(key[cut[k] : cut[k + 1]] % SIZE).astype(np.uint16).tobytes() for k in range(j - i)]
+            vals += [(_SCALE * v[cut[k] : cut[k + 1]]).astype(np.float16).tobytes() for k in range(j - i)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(feats, pa.binary()), pa.array(vals, pa.binary())], ["id", "y", "feats", "vals"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Weights and intercept, calibration included, from ``SAMPLE_ROWS`` labelled rows at most (those with the smallest id hashes).
 
-    Four fifths train the weights, the rest calibrates them (Platt). Without labels of both classes every text is good.
+    Of these, rows without a document or of more than ``SAMPLE_CHARS`` characters are left out; of rows that share an id, the
+    least text counts. The driver holds four bytes for each feature of a sample text. Four fifths train the weights, the rest calibrates them (Platt). Without labels of both classes every text is good.
     """
     marked = labels.where(~held_out()).where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
-    few = marked.orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE_ROWS)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(few), "id").select("id", "y", "text")
-    got = rows.mapInArrow(_sample, "id long, y int, feats binary, vals binary").orderBy(F.xxhash64("id"), "id", "feats").limit(SAMPLE_ROWS).collect()
+    few = marked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    rows = docs.select(F.col("doc_id").alias("id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(few), "id")
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))
+    got = sorted(rows.mapInArrow(_sample, "id long, y int, feats binary, vals binary").collect())
     y = np.array([r[1] for r in got], float)
     part = np.arange(len(y)) % 5 == 4
     if not len(y) or len(set(y[~part])) < 2 or len(set(y[part])) < 2:
         return np.zeros(SIZE, np.float32), 4.0
-    feats, vals = [np.frombuffer(r[2], np.int32) for r in got], [np.frombuffer(r[3], np.float32) for r in got]
-    row, col, val = np.repeat(np.arange(len(y)), [len(f) for f in feats]), np.concatenate(feats).astype(np.int64), np.concatenate(vals).astype(float) * _SCALE
-    use = ~part[row]
-    w, b = fit_logistic(row[use], col[use], val[use], y, SIZE, l2=1e-3, weight=(~part).astype(float))
-    z = np.bincount(row, val * w[col], len(y)) + b
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(r[2]) // 2 for r in got])
+    col, val = (np.frombuffer(b"".join(r[k] for r in got), kind) for k, kind in ((2, np.uint16), (3, np.float16)))
+    del got
+    w, b = fit_logistic(row, col, val, y, SIZE, l2=1e-3, weight=(~part).astype(float))
+    z = sparse_scores(row, col, val, w, len(y)) + b
     a, c = platt(z[part], y[part])
     return (a * _SCALE * w).astype(np.float32), float(a * b + c)
 
