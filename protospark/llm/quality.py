@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     marked = labels.where(~held_out()).where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
     few = marked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
     rows = docs.select(F.col("doc_id").alias("id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(few), "id")
-    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).select(F.xxhash64("id").alias("id"), "y", "text")
     got = sorted(rows.mapInArrow(_sample, "id long, y int, feats binary, vals binary").collect())
     y = np.array([r[1] for r in got], float)
     part = np.arange(len(y)) % 5 == 4
