@@ -51,7 +51,7 @@ STAGES = [
     ("bpe", encode_tokens),
 ]
 
-#: No SQL states the trained toxicity stage; tests/llm/test_pipeline.py holds the stages against brute force.
+#: No SQL states the trained toxicity stage; tests/llm/test_llm.py checks the stages one by one.
 ORACLE_SQL = None
 
 
