@@ -25,7 +25,8 @@ POSTING_COST = 3
 BROADCAST_IDS = 1 << 20
 #: Rounds in which the members of an inverted list are compared with so many of them only: in the first round the smallest id is one.
 STAR_ROUNDS, HUBS = 2, 4
-_LAST = 2**63 - 1
+#: Cells into which a set's shingles are counted, by hash: what two sets have in common is at most the sum of the cells' minima.
+PROFILE, FULL = 128, 65535
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,15 +47,17 @@ def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray
 def _digest(width: int):
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            n, a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            n, a, b, profiles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for i, j, data, offs in chunks(batch.column(1)):
                 h, doc, size = shingles(data, offs, width)
                 n.append(size)
+                cells = np.bincount(doc * PROFILE + (mix(h) % np.uint64(PROFILE)).astype(np.int64), minlength=(j - i) * PROFILE).reshape(-1, PROFILE)
+                profiles += [c.tobytes() for c in np.minimum(cells, FULL).astype(np.uint16)]
                 for out, v in ((a, mix(h)), (b, mix(h ^ np.uint64(0x5851F42D4C957F2D)))):
                     s = np.zeros(j - i, np.uint64)
                     np.add.at(s, doc, v)
                     out.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (n, a, b))], ["id", "n", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (n, a, b)), pa.array(profiles, pa.binary())], ["id", "n", "a", "b", "profile"])
 
     return run
 
@@ -173,15 +176,44 @@ def _similar(width: int, percent: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+def _within_bound(percent: int):
+    """From (a, b, n_a, n_b, profile_a, profile_b) the pairs that may be similar by the cells' minima; a full cell bounds nothing."""
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, PROFILE).astype(np.int64) for c in (4, 5))
+            n, n2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            least = np.where((x == FULL) & (y == FULL), 1 << 40, np.minimum(x, y)).sum(axis=1)
+            both = np.minimum(least, np.minimum(n, n2))
+            ok = pa.array(100 * both >= percent * (n + n2 - both))
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in (batch.column(0), batch.column(1))], ["a", "b"])
+
+    return run
+
+
+def _of_ids(rows: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """The ``rows`` whose ``id`` is in ``pairs[column]``: what isn't needed is left out before a shuffle."""
+    ids = cut(pairs.select(F.col(column).alias("id")).distinct())
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, digest: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """The pairs ``(a, b)`` whose texts' shingle sets have that Jaccard similarity, compared exactly in whole numbers.
 
-    A document in very many pairs meets them in 16 places.
+    Pairs whose ``digest`` profiles rule the similarity out go first; their texts are not moved. A document in very many
+    pairs meets them in 16 places.
     """
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)))
-    left = salted.select("a", "salt").distinct().join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = salted.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(left, ["a", "salt"])
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(width, percent), "a long, b long")
+
+    def met(rows: DataFrame, *columns: str) -> DataFrame:
+        named = {x: [F.col(c).alias(f"{c}_{x}") for c in columns] for x in "ab"}
+        left = salted.select("a", "salt").distinct().join(_of_ids(rows, salted, "a").select(F.col("id").alias("a"), *named["a"]), "a")
+        both = salted.join(_of_ids(rows, salted, "b").select(F.col("id").alias("b"), *named["b"]), "b").join(left, ["a", "salt"])
+        return both.select("a", "b", *(f"{c}_{x}" for c in columns for x in "ab"))
+
+    near = met(digest.select("id", "n", "profile"), "n", "profile").mapInArrow(_within_bound(percent), "a long, b long").distinct()
+    salted = cut(near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16))))
+    return met(docs, "text").mapInArrow(_similar(width, percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -202,7 +234,7 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
     spark = docs.sparkSession
     batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    digest = cut(docs.mapInArrow(_digest(width), "id long, n long, a long, b long"))
+    digest = cut(docs.mapInArrow(_digest(width), "id long, n long, a long, b long, profile binary"))
     known = digest.where("id is not null and n > 0")
     classes = known.groupBy("n", "a", "b").agg(F.min("id").alias("cls"), F.count("*").alias("copies"))
     several = cut(classes.where("copies > 1"))
@@ -247,7 +279,7 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
             pairs = posts.join(posts.select("key", *(F.col(c).alias(f"o_{c}") for c in ("id", "n", "low", "rank", "component"))), "key").where("id < o_id and " + near("", "o_", "", "o_"))
         pairs = pairs.where("component <> o_component").select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        links = cut(links.union(verified(pairs, fresh, width)).distinct())
+        links = cut(links.union(verified(pairs, fresh, digest, width)).distinct())
         tried = pairs if tried is None else tried.union(pairs)
         comp = components(links)
 
