@@ -15,7 +15,6 @@ from protospark.llm.text import Words, chunks, rolling
 
 #: Perfect difference sets: of any two residues, some shift below the period brings both into the set.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9)}
-_LAST = 2**63 - 1
 #: Ids of exact copies that may be broadcast; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -117,6 +116,14 @@ def _strip(length: int, texts: bool):
     return run
 
 
+def _keyed(docs: DataFrame, more: list[str]) -> DataFrame:
+    """Adds ``id``, unique by row and in the order of ``doc_id``: that itself, unless some are null or repeated; then the place in a sort of the rows."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("id", F.col("doc_id"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), *more]
+    return cut(docs.orderBy(*order).withColumn("id", F.monotonically_increasing_id()))
+
+
 def substring_dedup(docs: DataFrame, length: int = 20, period: int = 13, texts: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Remove the words covered by a window of ``length`` words that also starts earlier in the corpus.
 
@@ -128,14 +135,14 @@ def substring_dedup(docs: DataFrame, length: int = 20, period: int = 13, texts:
        Two equal windows, wherever they start, hold equal anchors at one shift, so both anchors recur.
     3. Only windows with a recurring anchor are hashed whole; all but the earliest of equal hashes are removed.
 
-    Null or empty texts have no words. Rows that share an id are one document: the same window at the same start in both is
-    not earlier than itself, so neither is removed. A null id comes after all others. Other columns are ignored.
+    Null or empty texts have no words. Every row is a document of its own. "Earlier" goes by id, a null id after all others; rows that
+    share an id (or have none) go by a hash of their texts, then by the columns in ``carry``. Other columns are ignored.
     """
     spark = docs.sparkSession
     batches(spark)
     more = [f"_carry{i}" for i in range(len(carry))]
     kind = {c: docs.schema[c].dataType.simpleString() for c in carry}
-    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("id"), *(F.col(c).alias(m) for c, m in zip(carry, more)))
+    docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(m) for c, m in zip(carry, more))), more)
     digest = cut(docs.select("id", "text").mapInArrow(_digest, "id long, n long, a long, b long"))
     first = digest.where(F.col("n") >= length).groupBy("n", "a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     copies = cut(digest.join(first, ["n", "a", "b"]).where("id <> first").select("id").distinct())
@@ -150,7 +157,7 @@ def substring_dedup(docs: DataFrame, length: int = 20, period: int = 13, texts:
     starts = occurrences(marked, ["id", "text", "pos"], _windows(length, period), bits, later=True).select("id", F.col("pos").alias("starts"))
     told = dealt.join(starts, "id", "left").join(copies.withColumn("whole", F.lit(True)), "id", "left")
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts + "".join(f", {m} {kind[c]}" for c, m in zip(carry, more))
-    out = told.select(F.col("doc_id").cast("long"), "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts", *more).mapInArrow(_strip(length, texts), kinds)
+    out = told.select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts", *more).mapInArrow(_strip(length, texts), kinds)
     return out.withColumnsRenamed(dict(zip(more, carry)))
 
 

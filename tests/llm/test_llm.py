@@ -256,6 +256,16 @@ def test_substring_against_brute_force(spark):
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(df).collect()} == want
 
 
+def test_substring_rows_without_their_own_id(spark):
+    text = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    for shared in (None, 5):
+        texts = [text("a", 30), text("b", 25), text("c", 40), text("d", 90) + " " + text("a", 30), text("e", 22), text("e", 22), None]
+        df = spark.createDataFrame([(1, texts[0])] + [(shared, t) for t in (texts[0], *texts[1:])], "doc_id long, text string")
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(df, texts=True).collect())
+        want = [(1, 30, 0, texts[0]), (shared, 30, 30, ""), (shared, 25, 0, texts[1]), (shared, 40, 0, texts[2]), (shared, 120, 30, text("d", 90))]
+        assert got == Counter([*want, (shared, 22, 0, texts[4]), (shared, 22, 22, ""), (shared, 0, 0, "")])
+
+
 def test_licences_odd(spark, odd):
     assert licences.scan(odd).count() == 0 and licences.scan(empty(spark)).count() == 0
     df = spark.createDataFrame([(1, "x\nReleased under the  MIT license"), (1, "released UNDER the mit-license.")], "doc_id long, text string")
