@@ -616,4 +616,4 @@ def _(t):
 # search
 @query("protospacer_search", "fx_spacers", "fx_contigs")
 def _(s, c):
-    return search.protospacer_search(s, c, 1)
+    return search.protospacer_search(s, c, 3)

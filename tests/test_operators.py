@@ -100,6 +100,19 @@ def test_search_finds_every_place(spark):
     assert {(r.spacer_id, r.contig_id, r.start, r.strand, r.mismatches) for r in got.collect()} == want
 
 
+def test_search_query_allows_three_mismatches(spark, tmp_path):
+    rng = random.Random(11)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    near = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") if i % 11 == 0 else c for i, c in enumerate(text))
+    spark.createDataFrame([(1, text), (2, near)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    contigs, spacers = ({r[0]: r.seq for r in catalogue.view(spark, str(tmp_path), v).collect()} for v in ("fx_contigs", "fx_spacers"))
+    flip = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = {(s, c, i, strand, d) for s, q in spacers.items() for strand, x in ((False, q), (True, flip(q))) for c, t in contigs.items() for i in range(len(t) - len(q) + 1) if (d := sum(a != b for a, b in zip(x, t[i : i + len(q)]))) <= 3}
+    assert {w[-1] for w in want} >= {2, 3}
+    got = catalogue.QUERIES["protospacer_search"](spark, str(tmp_path)).collect()
+    assert {(r.spacer_id, r.contig_id, r.start, r.strand, r.mismatches) for r in got} == want
+
+
 def test_durations_and_memory(spark):
     for text, want in (("1-02:03:04", 93784), ("00:10:00", 600), ("10:00", 0), ("", 0), (None, 0)):
         assert one(spark, rs.parse_duration(F.lit(text).cast("string"))) == want
