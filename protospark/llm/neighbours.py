@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from protospark.llm.common import batches, cut, table
 from protospark.llm.text import mix
 
-#: Hash tables, bucket width on unit vectors (a projection of a random unit vector has spread 1), and buckets visited per table.
-TABLES, WIDTH, PROBES = 8, 1.7, 60
+#: Hash tables, bucket width on unit vectors (a projection of a random unit vector has spread 1), and buckets visited per table (at least, at most).
+TABLES, WIDTH, PROBES, MOST_PROBES = 8, 1.7, 60, 1000
+#: Share of true k-th neighbours that buckets have to hold, and queries whose k-th neighbour is looked up in the whole table to tell.
+SUCCESS, SAMPLE = 0.97, 64
 #: Index rows that one task compares at once; larger groups of buckets are split, and their queries sent to each part.
 BLOCK = 1 << 13
 _FOUND = "query long, cls long, score double"
@@ -39,6 +41,65 @@ def probe_order(m: int, probes: int) -> list[tuple[int, ...]]:
     return out
 
 
+def probes_needed(m: int, distances, tables: int = TABLES, width: float = WIDTH, success: float = SUCCESS, most: int = MOST_PROBES, seed: int = 7) -> int | None:
+    """Buckets to visit per table so that points at these distances from a query share one with probability ``success`` on average; None beyond ``most``.
+
+    For drawn offsets and projections: the rank, in the probe order, of the bucket the neighbour is in.
+    """
+    rank_of = {tuple(sorted(s)): i for i, s in enumerate(probe_order(m, most))}
+    rng, missed = np.random.default_rng([seed, m]), np.zeros(most)
+    for d in distances:
+        f = rng.uniform(0, 1, (2000, m))
+        step = np.floor(f + rng.normal(0, d / width, f.shape)).astype(np.int64)
+        place = np.argsort(np.argsort(np.concatenate([f, 1 - f], axis=1), axis=1, kind="stable"), axis=1)
+        hit = np.zeros(most)
+        for st, pl in zip(step[(np.abs(step) < 2).all(axis=1)], place[(np.abs(step) < 2).all(axis=1)]):
+            r = rank_of.get(tuple(sorted(int(pl[j if st[j] < 0 else m + j]) for j in np.flatnonzero(st))))
+            if r is not None:
+                hit[r] += 1
+        missed += (1 - np.cumsum(hit) / len(f)) ** tables / len(distances)
+    enough = np.flatnonzero(1 - missed >= success)
+    return int(enough[0]) + 1 if len(enough) else None
+
+
+def plan(rows: int, distances, tables: int = TABLES, width: float = WIDTH, probes: int = PROBES) -> tuple[int, int]:
+    """(projections, probes): the most projections up to ``hashes_for`` that need no more than ``MOST_PROBES``; fewer make larger buckets, which are split."""
+    for m in range(hashes_for(rows), 0, -1):
+        if not len(distances):
+            return m, probes
+        if needed := probes_needed(m, distances, tables, width):
+            return m, max(probes, needed)
+    return 1, MOST_PROBES
+
+
+def _nearest(queries: dict[int, np.ndarray], k: int):
+    """The ``k`` best cosines of each sampled query within a task, itself left out."""
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}
+        for batch in batches_:
+            ids = batch.column(0).to_numpy()
+            for at, x in _matrix(batch.column(1)):
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                for q, v in queries.items():
+                    if len(v) == x.shape[1]:
+                        score = (x @ v)[ids[at] != q]
+                        best[q] = np.sort(np.r_[best.get(q, []), score])[-k:]
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, b in best.items() for _ in b], pa.int64()), pa.array([float(y) for b in best.values() for y in b], pa.float64())], ["query", "score"])
+
+    return run
+
+
+def sampled_distances(classes: DataFrame, k: int) -> list[float]:
+    """Distances of unit vectors to their k-th neighbour, for ``SAMPLE`` queries by a hash of the id."""
+    unit = lambda v: (w := np.asarray(v, float) / np.abs(v).max()) / np.linalg.norm(w)
+    queries = {r.cls: unit(r.vec) for r in classes.where("asks").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).collect()}
+    found = classes.select("cls", "vec").mapInArrow(_nearest(queries, k), "query long, score double").groupBy("query")
+    kth = found.agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query", F.element_at("s", F.least(F.lit(k), F.size("s"))).alias("s")).orderBy("query")
+    return [float(np.sqrt(max(0.0, 2 - 2 * r.s))) for r in kth.collect()]
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(rows, matrix in double) for each length of vector."""
     if isinstance(column, pa.ChunkedArray):
@@ -171,7 +232,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, w
 
     ``vectors`` has ``vec_id`` (long) and ``embedding`` (array of float or double). Equal vectors are one class with its ``k + 1`` smallest
     ids, searched once; the index holds every class in each of ``tables`` tables, a query visits ``probes``
-    buckets of each. Bucket members are compared exactly, in double precision, on the original vectors.
+    buckets of each, or as many more as the k-th neighbours of a few queries need (see ``plan``). Bucket members are compared exactly, in double precision, on the original vectors.
 
     Vectors that are null, empty, zero, or hold nulls or non-finite numbers, and null ids, take no part. Vectors are
     compared with those of their own length only. Ties go to the smaller id; an id that is repeated is one row for each of its vectors.
@@ -190,7 +251,8 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, w
     members = ids.join(classes.select("a", "b", "cls"), ["a", "b"]).select("cls", "ids")
 
     n = classes.count()
-    m, groups = hashes_for(n), max(1, n // BLOCK)
+    m, probes = plan(n, sampled_distances(classes, k) if n else [], tables, width, probes)
+    groups = max(1, n // BLOCK)
     how = (tables, m, width, seed, groups)
     source = classes.select("cls", "vec")
     kind = source.schema["vec"].dataType.simpleString()

@@ -61,6 +61,27 @@ def test_neighbours_recall(spark):
     assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("rows, cosine", [(2000, 0.45), (150000, 0.55), (600000, 0.58), (600000, 0.4), (30000000, 0.65)])
+def test_neighbours_probes_grow_with_projections(rows, cosine):
+    """Pairs at the cosine that k-th neighbours have in a table of so many rows share a bucket, by the operator's own codes."""
+    rng, pairs = np.random.default_rng(3), 600
+    q, r = rng.normal(size=(2, pairs, 64))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    r -= (r * q).sum(axis=1, keepdims=True) * q
+    x = cosine * q + np.sqrt(1 - cosine**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    m, probes = neighbours.plan(rows, [np.sqrt(2 - 2 * cosine)])
+    if cosine > 0.5:
+        assert rows < 600000 or m >= 8
+    index = neighbours._codes(np.floor(neighbours._projected(x, neighbours.TABLES, m, neighbours.WIDTH, 7)), 64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(pairs)), pa.array(q.tolist())], ["cls", "vec"])
+    found = set()
+    for b in neighbours._probe(neighbours.TABLES, m, neighbours.WIDTH, 7, 1, probes)(iter([batch])):
+        for t, i, codes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)):
+            if int(index[i, t].view(np.int64)) in codes.as_py():
+                found.add(i)
+    assert len(found) >= 0.95 * pairs
+
+
 def test_neighbours_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(3))
