@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from math import ceil
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -23,7 +26,13 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: First lines of standard file headers, compared with lines like the notices.
+HEADER_LINES = {"Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");'}
+#: Standard file headers and whole licence texts, compared with windows of whole documents: (licence, text).
+TEXTS = [(p.name.rsplit(".", 2)[0], p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
 THRESHOLD = 0.9
+#: Bigrams of a text by which windows are laid, and lengths of windows to either side of the text's own.
+ANCHORS, SPANS = 40, 5
 
 
 def words_of(text: Column) -> Column:
@@ -38,25 +47,74 @@ def bigrams_of(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), pair))).otherwise(F.array().cast("array<string>"))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, licence, score, n_lines``: licences whose notice a line of the text resembles (Dice >= ``threshold``): best score and lines.
+def _template(licence: str, text: str, t: float) -> tuple:
+    """Row of a text: its bigrams, how many of them a document has to hold, anchors, window lengths; and words of which any such document has one.
+
+    Dice >= t needs ``a * t / (2 - t)`` of the text's a bigrams, so a document can't lack all words that touch more than the rest.
+    """
+    words = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+    grams = [f"{x} {y}" for x, y in zip(words, words[1:])]
+    seen, n = Counter(grams), len(grams)
+    need = ceil(len(seen) * t / (2 - t) - 1e-9)
+    once = [i for i, g in enumerate(grams) if seen[g] == 1]
+    anchors = [(i + 1, grams[i]) for i in once[:: max(1, len(once) // ANCHORS)]]
+    low, high = n * t / (2 - t), n * (2 - t) / t
+    spans = sorted({n, *(round(low + (n - low) * i / SPANS) for i in range(SPANS)), *(round(n + (high - n) * (i + 1) / SPANS) for i in range(SPANS))})
+    touch, must = Counter(w for g in seen for w in set(g.split(" "))), []
+    for w in sorted(touch, key=lambda w: (len(w) < 6, -touch[w], w)):
+        if sum(any(x in must for x in g.split(" ")) for g in seen) > len(seen) - need:
+            break
+        must.append(w)
+    return (licence, list(seen), need, anchors, spans), must
+
+
+def _scan_texts(docs: DataFrame, texts: list[tuple[str, str]], t: float) -> DataFrame:
+    """``doc_id, licence, score`` per row and text: the best Dice of the text with windows of the document, if >= ``t``."""
+    rows, musts = zip(*(_template(licence, text, t) for licence, text in texts))
+    known = docs.sparkSession.createDataFrame(list(rows), "licence string, t_grams array<string>, need int, anchors array<struct<q:int,gram:string>>, spans array<int>")
+    some = docs.where(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(sorted({w for m in musts for w in m}))})(?![a-z0-9])"))
+    words = some.select("doc_id", F.explode(F.array(words_of(F.col("text")))).alias("words")).where(F.size("words") > 1)
+    pair = lambda i: F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1))
+    grams = words.select("doc_id", F.explode(F.array(F.transform(F.sequence(F.lit(1), F.size("words") - 1), pair))).alias("grams"))
+    both = grams.crossJoin(F.broadcast(known)).where(F.size("grams") >= F.col("need")).where(F.size(F.array_intersect("grams", "t_grams")) >= F.col("need"))
+    places = lambda a: F.filter(F.sequence(F.lit(1), F.size("grams")), lambda p: F.element_at("grams", p) == a["gram"])
+    starts = F.array_distinct(F.flatten(F.transform("anchors", lambda a: F.transform(places(a), lambda p: F.greatest(p - a["q"] + 1, F.lit(1))))))
+    both = both.select("doc_id", "licence", "grams", "t_grams", "spans", F.explode(F.array(starts)).alias("starts"))
+
+    def dice(start, span):
+        window = F.slice("grams", start, span)
+        return 2.0 * F.size(F.array_intersect(window, F.col("t_grams"))) / (F.size(F.array_distinct(window)) + F.size("t_grams"))
+
+    best = F.array_max(F.flatten(F.transform("starts", lambda s: F.transform("spans", lambda n: dice(s, n)))))
+    return both.select("doc_id", "licence", F.explode(F.array(best)).alias("score")).where(F.col("score") >= t)
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, header_lines: dict[str, str] = HEADER_LINES, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
+    """``doc_id, licence, score, n_lines``: licences whose notice a line, or whose header or text a part of the text resembles (Dice >= ``threshold``).
+
+    ``score`` is the best one; ``n_lines`` counts lines, and each of ``texts`` found in a row as one more.
 
     A line of b bigrams can reach the threshold only with a template of a bigrams where ``b`` is within ``a * t / (2 - t)`` and
     ``a * (2 - t) / t``: the templates, listed under each such b, are joined by equality and broadcast (a constant number of rows).
-    Null and empty texts, and lines of fewer than two words, match nothing. Repeated ids are one document; a null id is one too.
+    Of longer texts, rows that hold enough of the bigrams are compared by windows (of lengths within the same bounds) that bigrams
+    found once in the text place. Null and empty texts, and lines of fewer than two words, match nothing. Repeated ids are one
+    document; a null id is one too.
     """
     spark = docs.sparkSession
-    notice = spark.createDataFrame(sorted(templates.items()), "licence string, notice string")
-    notice = notice.select("licence", bigrams_of(words_of(F.col("notice"))).alias("t_grams"))
+    lines_of = [(k, v, "") for k, v in sorted(templates.items())] + [(k, v, templates.get(k, "")) for k, v in sorted(header_lines.items())]
+    notice = spark.createDataFrame(lines_of, "licence string, notice string, other string")
+    notice = notice.select("licence", bigrams_of(words_of(F.col("notice"))).alias("t_grams"), bigrams_of(words_of(F.col("other"))).alias("o_grams"))
     t = threshold
     notice = notice.withColumn("n", F.explode(F.sequence(F.ceil(F.size("t_grams") * t / (2 - t) - 1e-9).cast("int"), F.floor(F.size("t_grams") * (2 - t) / t + 1e-9).cast("int"))))
-    shortest = min(ceil(max(1, len(x.split()) - 1) * t / (2 - t)) for x in templates.values())
+    shortest = min(ceil(max(1, len(v.split()) - 1) * t / (2 - t)) for _, v, _ in lines_of)
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 2 * shortest)
     lines = lines.select("doc_id", words_of(F.col("line")).alias("words")).where(F.size("words") > shortest // 2)
     grams = lines.select("doc_id", bigrams_of(F.col("words")).alias("grams")).withColumn("n", F.size("grams"))
     both = grams.join(F.broadcast(notice), "n")
-    score = 2.0 * F.size(F.array_intersect("grams", "t_grams")) / (F.col("n") + F.size("t_grams"))
-    hits = both.withColumn("score", score).where(F.col("score") >= t)
+    dice = lambda c: 2.0 * F.size(F.array_intersect("grams", c)) / (F.col("n") + F.size(c))
+    hits = both.withColumn("score", dice("t_grams")).where(F.col("score") >= t).where(dice("o_grams") < t)  # the notice has counted such a line
+    hits = hits.select("doc_id", "licence", "score")
+    hits = hits.union(_scan_texts(docs.select("doc_id", "text"), texts, t)) if texts else hits
     return hits.groupBy("doc_id", "licence").agg(F.max("score").alias("score"), F.count("*").alias("n_lines"))
 
 

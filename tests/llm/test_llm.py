@@ -308,3 +308,19 @@ def test_pipeline_stages(spark):
     assert docs.groupBy("doc_id").count().where("count > 2").count() == 0
     got = p.run(spark, DATA)
     assert got.count() == docs.count() and got.where("n_tokens < 0").count() == 0
+
+
+def test_licence_headers_and_texts(spark):
+    from pathlib import Path
+
+    at, filler = Path(licences.__file__).parent / "licence_texts", " ".join(f"word{i}" for i in range(300))
+    rows = [(p.name, f"{filler}\n{p.read_text()}\n{filler}") for p in sorted(at.glob("*.txt"))]
+    mit = (at / "MIT.body.txt").read_text()
+    rows += [("one line", 'x\n# Licensed under the Apache License, Version 2.0 (the "License");\ny'), ("edited", "\n".join(mit.replace("software", "fine code", 3).split(". "))), ("half", mit[: len(mit) // 2])]
+    got = {}
+    for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.licence] = (r.score, r.n_lines)
+    for name, _ in rows[:-3]:
+        assert got[name][name.rsplit(".", 2)[0]][0] == 1.0, name
+    assert got["one line"] == {"Apache-2.0": (1.0, 1)}
+    assert set(got["edited"]) == {"MIT"} and 0.9 <= got["edited"]["MIT"][0] < 1 and "half" not in got
