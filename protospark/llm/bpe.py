@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
-import tempfile
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -17,15 +18,25 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from protospark.llm.common import batches, table
+from protospark.llm.common import batches, cut, table
 
-#: Words that the transducer holds at most: the most frequent of the corpus.
-LEXICON = 1 << 16
-#: Words that a worker remembers at most, and counts at once.
-CACHE = 1 << 19
+#: Words that the transducer holds at most (the most frequent of the corpus), and bytes of each.
+LEXICON, WORD_BYTES = 1 << 16, 64
+#: Distinct pieces that a worker remembers or counts at once at most, and their characters.
+CACHE, CACHE_CHARS = 1 << 18, 1 << 24
+#: Words of more bytes are merged by a heap of pairs.
+LONG = 48
 #: The split pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = regex.compile(PATTERN)
+#: A space before a visible character always begins a word, so texts may be cut there, and each piece split by itself.
+_SPACE = re.compile(r" (?=\S)")
+_WIDE = re.compile(r" (?:\s|$)")
+
+
+def pieces(text: str) -> list[str]:
+    """``text`` cut before each space that a visible character follows; all pieces but the first have lost that space."""
+    return _SPACE.split(text) if _WIDE.search(text) else text.split(" ")
 
 
 def byte_chars() -> dict[str, int]:
@@ -58,6 +69,8 @@ class Vocabulary:
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """Merge by rank, leftmost first, until no pair merges."""
         ids = [self.single[b] for b in word]
+        if len(ids) > LONG:
+            return self._merge_long(ids)
         merge = self.merge
         while len(ids) > 1:
             best = min(((merge[p], p) for p in zip(ids, ids[1:]) if p in merge), default=None)
@@ -75,6 +88,27 @@ class Vocabulary:
             ids = out
         return tuple(ids)
 
+    def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
+        """The same with a heap of (rank, place) over a linked list: a word of n bytes takes n log n steps."""
+        merge, n = self.merge, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(merge[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in merge]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or (ids[i], ids[j]) != pair:
+                continue  # one of the two has been merged meanwhile
+            ids[i], ids[j] = merge[pair][1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (p := (ids[i], ids[k])) in merge:
+                    heapq.heappush(heap, (merge[p][0], i, p))
+            if (h := before[i]) >= 0 and (p := (ids[h], ids[i])) in merge:
+                heapq.heappush(heap, (merge[p][0], h, p))
+        return tuple(x for x in ids if x >= 0)
+
     def words(self, text: str) -> list[str]:
         """Words and special strings in order; a special string is a word of its own."""
         if self.cut is None or not any(s in text for s in self.special):
@@ -117,36 +151,37 @@ def compile_lexicon(words: list[bytes], rows: list[tuple[int, ...]]) -> bytes:
         done = freeze(path.pop())
         path[-1][0].append((last[len(path) - 1], done))
     root = freeze(path[0])
-    first = np.zeros(len(arcs) + 1, np.int32)
-    first[1:] = np.cumsum([len(a) for a in arcs])
-    label, to, add = (np.zeros(int(first[-1]), t) for t in (np.int32, np.int32, np.int32))
+    sizes = np.array([len(a) for a in arcs], np.int64)
+    label, to, add = (np.zeros(int(sizes.sum()), np.int64) for _ in range(3))
+    i = 0
     for s, out in enumerate(arcs):
         total = int(finals[s])
-        for i, (c, t) in enumerate(out):
-            label[first[s] + i], to[first[s] + i], add[first[s] + i] = c, t, total
+        for c, t in out:
+            label[i], to[i], add[i] = c, t, total
             total += counts[t]
-    lengths = np.zeros(len(rows) + 1, np.int32)
+            i += 1
+    # arcs of a state lie together in order of their labels: (state, label) is sorted
+    key = np.repeat(np.arange(len(arcs), dtype=np.int64), sizes) * 256 + label
+    lengths = np.zeros(len(rows) + 1, np.int64)
     lengths[1:] = np.cumsum([len(r) for r in rows])
-    ids = np.fromiter(chain.from_iterable(rows), np.int32)
-    parts = [first, label, to, add, np.array(finals, np.int32), lengths, ids]
-    return np.array([root, *map(len, parts)], np.int32).tobytes() + b"".join(p.tobytes() for p in parts)
+    ids = np.fromiter(chain.from_iterable(rows), np.int64)
+    parts = [key, to, add, np.array(finals, np.int64), lengths, ids]
+    kinds = [np.int64, *[np.int32] * 5]
+    return np.array([root, *map(len, parts)], np.int64).tobytes() + b"".join(p.astype(k).tobytes() for p, k in zip(parts, kinds, strict=True))
 
 
 class Lexicon:
-    """A compiled transducer, memory-mapped: workers of a machine share its pages."""
+    """A compiled transducer, memory-mapped: workers of a machine share its pages, and search in them."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        head = np.frombuffer(self.map, np.int32, 8)
-        self.root, at, parts = int(head[0]), 32, []
-        for n in head[1:].tolist():
-            parts.append(np.frombuffer(self.map, np.int32, n, at))
-            at += 4 * n
-        self.first, self.label, self.to, self.add, self.final, self.lengths, self.ids = parts
-        # arcs of a state lie together in order of their labels: (state, label) is sorted
-        state = np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first))
-        self.key = state * 256 + self.label
+        head = np.frombuffer(self.map, np.int64, 7)
+        self.root, at, parts = int(head[0]), 56, []
+        for n, kind in zip(head[1:].tolist(), [np.int64, *[np.int32] * 5], strict=True):
+            parts.append(np.frombuffer(self.map, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        self.key, self.to, self.add, self.final, self.lengths, self.ids = parts
 
     def rows(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
         """Token ids of each word that the transducer accepts, all words stepping together."""
@@ -171,71 +206,130 @@ class Lexicon:
         return [tuple(self.ids[self.lengths[r] : self.lengths[r + 1]].tolist()) if f else None for f, r in zip(found.tolist(), row.tolist())]
 
 
-def _count(vocab):
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-        for batch in batches_:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(_SPLIT.findall(text))
-            if len(seen) > CACHE:
+def _count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of a task: pieces are counted first, and words in their distinct ones."""
+    seen: Counter = Counter()
+    first: Counter = Counter()
+    chars = 0
+
+    def out():
+        n: Counter = Counter()
+        for counter, space in ((seen, " "), (first, "")):
+            for piece, k in counter.items():
+                for w in _SPLIT.findall(space + piece):
+                    n[w] += k
+        words = [w for w in n if len(w) <= WORD_BYTES and len(w.encode()) <= WORD_BYTES]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[w] for w in words], pa.int64())], ["word", "n"])
+
+    for batch in batches_:
+        for text in batch.column(0).to_pylist():
+            if text:
+                head, *rest = pieces(text)
+                first[head] += 1
+                seen.update(rest)
+                chars += len(text)
+            if chars > CACHE_CHARS and (len(seen) + len(first) > CACHE or sum(map(len, seen)) + sum(map(len, first)) > CACHE_CHARS):
                 yield out()
-                seen = Counter()
-        yield out()
-
-    return run
-
-
-def _codec(path: str, name: str, emit: str):
+                seen, first, chars = Counter(), Counter(), 0
+    yield out()
+
+
+def _on_this_machine(name: str, body) -> str:
+    """The broadcast lexicon as a file in the folder that Spark gives an executor: its first worker writes it, all others map it."""
+    path = os.path.join(SparkFiles.getRootDirectory(), name)
+    if not os.path.exists(path):
+        with open(own := f"{path}.{os.getpid()}", "wb") as f:
+            f.write(body.value)
+        os.replace(own, path)
+    return path
+
+
+class _Codec:
+    """Encoded and decoded pieces, remembered: a piece's token count, its ids (or their digits), and the bytes its ids decode to."""
+
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, emit: str):
+        self.vocab, self.lexicon = vocab, lexicon
+        self.join = tuple if emit == "ids" else lambda ids: ",".join(map(str, ids))
+        self.special = {s: self.entry((i,)) for s, i in vocab.special.items()}
+        self.rest: dict[str, tuple] = {}
+        self.first: dict[str, tuple] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.chars = 0
+
+    def entry(self, ids: tuple[int, ...]) -> tuple:
+        return len(ids), self.join(ids), b"".join(map(self.vocab.bytes.__getitem__, ids))
+
+    def learn(self, known: dict[str, tuple], new: set[str], space: str) -> None:
+        split = {p: _SPLIT.findall(space + p) for p in new}
+        words = [w for w in set(chain.from_iterable(split.values())) if w not in self.words]
+        raw = [w.encode() for w in words]
+        for w, b, ids in zip(words, raw, self.lexicon.rows(raw), strict=True):
+            self.words[w] = ids if ids is not None else self.vocab.encode_word(b)
+        for p, ws in split.items():
+            known[p] = self.entry(tuple(chain.from_iterable(map(self.words.__getitem__, ws))))
+        self.chars += sum(map(len, new)) + sum(map(len, words))
+
+    def tokens(self, text: str) -> list[tuple]:
+        """An entry for each piece and each special string, in order."""
+        if self.chars > CACHE_CHARS or len(self.rest) + len(self.first) + len(self.words) > CACHE:
+            self.rest, self.first, self.words, self.chars = {}, {}, {}, 0
+        out: list[tuple] = []
+        cut = self.vocab.cut
+        for part in [text] if cut is None or not any(s in text for s in self.special) else cut.split(text):
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                head, *rest = pieces(part)
+                for known, new, space in ((self.first, {head} - self.first.keys(), ""), (self.rest, set(rest) - self.rest.keys(), " ")):
+                    if new:
+                        self.learn(known, new, space)
+                if head:
+                    out.append(self.first[head])
+                out.extend(map(self.rest.__getitem__, rest))
+        return out
+
+
+def _codec(path: str, name: str, body, emit: str):
     """``emit``: ``digests`` or ``ids``."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, lexicon = Vocabulary(path), Lexicon(SparkFiles.get(name))
-        known: dict[str, tuple] = {s: (i,) for s, i in vocab.special.items()}
-        base = dict(known)
-        text_of = {i: str(i) for i in vocab.bytes}
+        codec = _Codec(Vocabulary(path), Lexicon(_on_this_machine(name, body)), emit)
         for batch in batches_:
-            n, ids_sha, text_sha, lists = [], [], [], []
+            n, ids_of, sha = [], [], []
             for text in batch.column(1).to_pylist():
-                words = vocab.words(text or "")
-                new = [w for w in set(words) if w not in known]
-                if new:
-                    if len(known) + len(new) > CACHE:
-                        known = dict(base)
-                        new = [w for w in set(words) if w not in known]
-                    raw = [w.encode() for w in new]
-                    for w, b, ids in zip(new, raw, lexicon.rows(raw), strict=True):
-                        known[w] = ids if ids is not None else vocab.encode_word(b)
-                ids = list(chain.from_iterable(map(known.__getitem__, words)))
-                n.append(len(ids))
+                counts, ids, raw = zip(*got, strict=True) if (got := codec.tokens(text or "")) else ((), (), ())
+                n.append(sum(counts))
                 if emit == "ids":
-                    lists.append(ids)
+                    ids_of.append(list(chain.from_iterable(ids)))
                     continue
-                ids_sha.append(hashlib.sha256(",".join(map(text_of.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(map(vocab.bytes.__getitem__, ids)).decode("utf-8", "replace").encode()).hexdigest())
-            out = [pa.array(lists, pa.list_(pa.int32()))] if emit == "ids" else [pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                ids_of.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+                sha.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
+            out = [pa.array(ids_of, pa.list_(pa.int32()))] if emit == "ids" else [pa.array(ids_of, pa.string()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *out], ["doc_id", "n_tokens", *(["ids"] if emit == "ids" else ["ids_sha256", "decoded_sha256"])])
 
     return run
 
 
-def lexicon_file(docs: DataFrame, vocab_path: str, size: int = LEXICON) -> str:
-    """Count the words of all texts, compile the ``size`` most frequent ones, and send the file to every executor; its name there."""
+def frequent_words(docs: DataFrame, size: int) -> list[str]:
+    """The words of all texts that occur at least so often that there are ``size`` of them at most (two times at least).
+
+    How often is read off a histogram, so the driver gets no more than ``size`` words of ``WORD_BYTES`` bytes, whatever the number of tasks.
+    """
+    counts = docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = cut(counts.withColumn("level", F.floor(F.log2("n") * 64)))
+    least, total = None, 0
+    for level, n in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        if total + n > size:
+            break
+        least, total = level, total + n
+    return [] if least is None else [r[0] for r in counts.where(F.col("level") >= least).select("word").collect()]
+
+
+def lexicon_of(docs: DataFrame, vocab_path: str, size: int = LEXICON) -> bytes:
+    """The transducer of the most frequent words of all texts."""
     vocab = Vocabulary(vocab_path)
-    counts = docs.select("text").mapInArrow(_count(vocab), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r[0].encode() for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
-    words = sorted(w for w in top if w.decode() not in vocab.special)
-    body = compile_lexicon(words, [vocab.encode_word(w) for w in words])
-    name = f"lexicon-{hashlib.sha256(body).hexdigest()[:16]}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="protospark-"), name)
-    with open(path, "wb") as f:
-        f.write(body)
-    docs.sparkSession.sparkContext.addFile(path)
-    return name
+    words = sorted(w.encode() for w in frequent_words(docs, size) if w not in vocab.special)
+    return compile_lexicon(words, [vocab.encode_word(w) for w in words])
 
 
 def encode(docs: DataFrame, vocab_path: str, emit: str = "ids", size: int = LEXICON) -> DataFrame:
@@ -244,12 +338,16 @@ def encode(docs: DataFrame, vocab_path: str, emit: str = "ids", size: int = LEXI
     ``docs`` has ``doc_id`` and ``text``; null and empty texts have no tokens. ``vocab_path`` (a byte-level BPE in JSON) must be
     readable on every machine. Special strings in a text become their ids. Frequent words' ids come from the transducer,
     all others are merged. Repeated and null ids are encoded row by row; other columns are ignored.
+
+    The transducer is broadcast (bounded by ``size`` words of ``WORD_BYTES`` bytes), kept as a file in each executor's own folder and
+    mapped by its workers; a new executor gets it from the broadcast.
     """
     batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    name = lexicon_file(docs, vocab_path, size)
+    lexicon = lexicon_of(docs, vocab_path, size)
+    name = f"lexicon-{hashlib.sha256(lexicon).hexdigest()[:16]}.bin"
     kinds = "ids array<int>" if emit == "ids" else "ids_sha256 string, decoded_sha256 string"
-    return docs.mapInArrow(_codec(vocab_path, name, emit), f"doc_id long, n_tokens long, {kinds}")
+    return docs.mapInArrow(_codec(vocab_path, name, docs.sparkSession.sparkContext.broadcast(lexicon), emit), f"doc_id long, n_tokens long, {kinds}")
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:

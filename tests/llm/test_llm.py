@@ -109,7 +109,75 @@ def test_transducer_is_minimal_and_exact(tmp_path):
     lex = bpe.Lexicon(str(tmp_path / "f"))
     assert lex.rows(words) == [(i, i + 1) for i in range(len(words))]
     assert lex.rows([b"wal", b"walks!", b"", b"z"]) == [None] * 4
-    assert len(lex.first) - 1 <= 11  # walk and talk share all suffixes
+    assert len(lex.final) <= 11  # walk and talk share all suffixes
+
+
+def test_bpe_digests_as_the_library(spark):
+    """What the query returns, over a whole table: counts and both digests."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.vocabulary_path())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {}
+    for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect():
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op2_bpe"](spark, "/root/testdata/sf0.01").collect()} == want
+
+
+def test_bpe_words_of_any_length_and_space():
+    """Long words by the heap, pieces by spaces of every kind: as the library, in reasonable time."""
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    tok, vocab = Tokenizer.from_file(bpe.vocabulary_path()), bpe.Vocabulary(bpe.vocabulary_path())
+    rng = random.Random(5)
+    for n in (49, 200, 3000):
+        word = "".join(rng.choice("abcdeiouth") for _ in range(n))
+        assert list(vocab.encode_word(word.encode())) == tok.encode(word, add_special_tokens=False).ids
+    began = time.time()
+    assert len(vocab.encode_word(b"a" * 50_000 + b"the" * 20_000)) > 100 and time.time() - began < 4
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "don't", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "9", "é", "...", "<|endoftext|>", "\r\n", "😀"]) for _ in range(rng.randint(0, 25)))
+        want = tok.encode(text, add_special_tokens=False).ids
+        got = []
+        for part in vocab.cut.split(text) if vocab.cut else [text]:
+            if part in vocab.special:
+                got.append(vocab.special[part])
+            else:
+                head, *rest = bpe.pieces(part)
+                for p in [head, *(" " + r for r in rest)]:
+                    for w in bpe._SPLIT.findall(p):
+                        got += vocab.encode_word(w.encode())
+        assert got == want, text
+
+
+def test_bpe_twice_on_a_cluster(tmp_path):
+    """Two calls in one application, with executors that share only the checkpoint folder."""
+    import subprocess
+    import sys
+
+    import pyspark
+
+    code = f"""
+from pyspark.sql import SparkSession
+from protospark.llm import bpe
+s = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "1g").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+df = s.createDataFrame([(i, "the cat sat on the mat " * (i + 1)) for i in range(20)], "doc_id long, text string").repartition(4)
+one, two = (sorted(map(tuple, bpe.encode(df, bpe.vocabulary_path(), emit="digests").collect())) for _ in range(2))
+assert one == two and len(one) == 20
+print("same")
+"""
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for name in os.listdir(os.path.dirname(pyspark.__file__)):
+        if name != "work":
+            (home / name).symlink_to(os.path.join(os.path.dirname(pyspark.__file__), name))
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_DIRS": str(tmp_path / "local"), "SPARK_LOCAL_IP": "127.0.0.1"}
+    got = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=170)
+    assert "same" in got.stdout, got.stderr[-2000:]
 
 
 def test_mixing(spark, odd):
