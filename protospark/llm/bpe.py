@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -23,7 +24,7 @@ from protospark.llm.common import batches, cut, table
 #: Words that the transducer holds at most (the most frequent of the corpus), and bytes of each.
 LEXICON, WORD_BYTES = 1 << 16, 64
 #: Distinct pieces that a worker remembers or counts at once at most, and their characters.
-CACHE, CACHE_CHARS = 1 << 18, 1 << 24
+CACHE, CACHE_CHARS = 1 << 19, 1 << 24
 #: Words of more bytes are merged by a heap of pairs.
 LONG = 48
 #: The split pattern of the byte-level vocabularies (fixed value).
@@ -64,29 +65,60 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = (back(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.merge[ids[a], ids[b]] = (rank, ids[a + b])
+        pairs = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in self.merge.items())
+        self.pair, self.rank, self.merged = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """Merge by rank, leftmost first, until no pair merges."""
-        ids = [self.single[b] for b in word]
-        if len(ids) > LONG:
-            return self._merge_long(ids)
-        merge = self.merge
-        while len(ids) > 1:
-            best = min(((merge[p], p) for p in zip(ids, ids[1:]) if p in merge), default=None)
-            if best is None:
-                break
-            (_, new), (a, b) = best
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return tuple(ids)
+        return self.encode_words([word])[0]
+
+    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Merge by rank, leftmost first, until no pair merges; all words of up to ``LONG`` bytes step together."""
+        out: list = [self._merge_long([self.single[b] for b in w]) if len(w) > LONG else () for w in words]
+        some = [i for i, w in enumerate(words) if 0 < len(w) <= LONG]
+        if not some:
+            return out
+        size = np.fromiter((len(words[i]) for i in some), np.int64, len(some))
+        ids = np.array(self.single, np.int64)[np.frombuffer(b"".join(words[i] for i in some), np.uint8)]
+        word = np.repeat(np.arange(len(some)), size)
+        none = np.int64(1 << 30)
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            """Places in the table of pairs in order of their keys, or ``none``."""
+            key = left << 32 | right
+            at = np.minimum(np.searchsorted(self.pair, key), max(len(self.pair) - 1, 0))
+            return np.where(self.pair[at] == key, self.rank[at], none) if len(self.pair) else np.full(len(key), none)
+
+        by_rank = np.zeros(len(self.rank) + 1, np.int64)
+        by_rank[self.rank] = self.merged
+        last = np.r_[word[1:] != word[:-1], True]
+        rank = np.where(last, none, ranks(ids, np.r_[ids[1:], 0]))
+        while len(ids):
+            begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), begin)
+            done = best >> 32 == none
+            if done.any():
+                over = np.repeat(done, np.diff(np.r_[begin, len(ids)]))
+                cuts = np.flatnonzero(np.r_[True, word[over][1:] != word[over][:-1]])
+                flat = ids[over].tolist()
+                for w, x, y in zip(word[over][cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(flat)]):
+                    out[some[w]] = tuple(flat[x:y])
+                shift = np.cumsum(over)
+                best = best[~done]
+                best = best - shift[best & 0xFFFFFFFF]
+                ids, word, rank = ids[~over], word[~over], rank[~over]
+            at = best & 0xFFFFFFFF
+            ids[at] = by_rank[best >> 32]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))  # one entry goes from each word before
+            ids, word = ids[keep], word[keep]
+            rank = rank[keep]
+            last = np.r_[word[1:] != word[:-1], True] if len(word) else np.zeros(0, bool)
+            rank[at] = np.where(last[at], none, ranks(ids[at], ids[np.minimum(at + 1, len(ids) - 1)]))
+            left = at[(at > 0) & (word[np.maximum(at - 1, 0)] == word[at])] - 1
+            rank[left] = ranks(ids[left], ids[left + 1])
+        return out
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap of (rank, place) over a linked list: a word of n bytes takes n log n steps."""
@@ -249,63 +281,91 @@ class _Codec:
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon, emit: str):
         self.vocab, self.lexicon = vocab, lexicon
-        self.join = tuple if emit == "ids" else lambda ids: ",".join(map(str, ids))
+        digits = [str(i) for i in range(max(vocab.bytes, default=-1) + 1)]
+        self.join = tuple if emit == "ids" else lambda ids: ",".join(map(digits.__getitem__, ids))
         self.special = {s: self.entry((i,)) for s, i in vocab.special.items()}
-        self.rest: dict[str, tuple] = {}
-        self.first: dict[str, tuple] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.known: tuple[dict[str, tuple], dict[str, tuple]] = ({}, {})  # pieces at the beginning of a part, and after a space
         self.chars = 0
 
     def entry(self, ids: tuple[int, ...]) -> tuple:
         return len(ids), self.join(ids), b"".join(map(self.vocab.bytes.__getitem__, ids))
 
-    def learn(self, known: dict[str, tuple], new: set[str], space: str) -> None:
-        split = {p: _SPLIT.findall(space + p) for p in new}
-        words = [w for w in set(chain.from_iterable(split.values())) if w not in self.words]
+    def learn(self, new: tuple[set[str], set[str]]) -> None:
+        # letters only are one word
+        split = [{p: [space + p] if p.isalpha() else _SPLIT.findall(space + p) for p in ps} for ps, space in zip(new, ("", " "), strict=True)]
+        words = list(set(chain.from_iterable(ws for of in split for ws in of.values())))
         raw = [w.encode() for w in words]
-        for w, b, ids in zip(words, raw, self.lexicon.rows(raw), strict=True):
-            self.words[w] = ids if ids is not None else self.vocab.encode_word(b)
-        for p, ws in split.items():
-            known[p] = self.entry(tuple(chain.from_iterable(map(self.words.__getitem__, ws))))
-        self.chars += sum(map(len, new)) + sum(map(len, words))
-
-    def tokens(self, text: str) -> list[tuple]:
-        """An entry for each piece and each special string, in order."""
-        if self.chars > CACHE_CHARS or len(self.rest) + len(self.first) + len(self.words) > CACHE:
-            self.rest, self.first, self.words, self.chars = {}, {}, {}, 0
-        out: list[tuple] = []
-        cut = self.vocab.cut
-        for part in [text] if cut is None or not any(s in text for s in self.special) else cut.split(text):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                head, *rest = pieces(part)
-                for known, new, space in ((self.first, {head} - self.first.keys(), ""), (self.rest, set(rest) - self.rest.keys(), " ")):
-                    if new:
-                        self.learn(known, new, space)
-                if head:
-                    out.append(self.first[head])
-                out.extend(map(self.rest.__getitem__, rest))
-        return out
+        told = self.lexicon.rows(raw)
+        unseen = [i for i, ids in enumerate(told) if ids is None]
+        for i, ids in zip(unseen, self.vocab.encode_words([raw[i] for i in unseen]), strict=True):
+            told[i] = ids
+        of_word = dict(zip(words, told, strict=True))
+        for known, of in zip(self.known, split, strict=True):
+            for p, ws in of.items():
+                known[p] = self.entry(of_word[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(of_word.__getitem__, ws))))
+                self.chars += len(p)
+
+    def tokens(self, texts: list[str]) -> Iterator[list[tuple]]:
+        """For each text an entry for each piece and each special string, in order."""
+        cut, parts = self.vocab.cut, []
+        new: tuple[set[str], set[str]] = (set(), set())
+        for text in texts:
+            some = [text] if cut is None or not any(s in text for s in self.special) else cut.split(text)
+            parts.append([p if p in self.special else pieces(p) for p in some if p])
+            for p in parts[-1]:
+                if type(p) is list:
+                    new[0].add(p[0])
+                    new[1].update(p[1:])
+        if self.chars > CACHE_CHARS or sum(map(len, self.known)) > CACHE:
+            self.known, self.chars = ({}, {}), 0
+        self.learn(tuple(n - k.keys() for n, k in zip(new, self.known, strict=True)))
+        first, rest = self.known
+        for some in parts:
+            out: list[tuple] = []
+            for p in some:
+                if type(p) is list:
+                    if p[0]:
+                        out.append(first[p[0]])
+                    out.extend(map(rest.__getitem__, p[1:]))
+                else:
+                    out.append(self.special[p])
+            yield out
+
+
+def _runs(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
+    """Consecutive texts of about so many characters together."""
+    run, n = [], 0
+    for t in texts:
+        run.append(t or "")
+        n += len(run[-1])
+        if n >= chars:
+            yield run
+            run, n = [], 0
+    if run:
+        yield run
 
 
 def _codec(path: str, name: str, body, emit: str):
     """``emit``: ``digests`` or ``ids``."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _Codec(Vocabulary(path), Lexicon(_on_this_machine(name, body)), emit)
-        for batch in batches_:
-            n, ids_of, sha = [], [], []
-            for text in batch.column(1).to_pylist():
-                counts, ids, raw = zip(*got, strict=True) if (got := codec.tokens(text or "")) else ((), (), ())
-                n.append(sum(counts))
-                if emit == "ids":
-                    ids_of.append(list(chain.from_iterable(ids)))
-                    continue
-                ids_of.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                sha.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
-            out = [pa.array(ids_of, pa.list_(pa.int32()))] if emit == "ids" else [pa.array(ids_of, pa.string()), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *out], ["doc_id", "n_tokens", *(["ids"] if emit == "ids" else ["ids_sha256", "decoded_sha256"])])
+        gc.disable()  # millions of small tuples, none in cycles
+        try:
+            codec = _Codec(Vocabulary(path), Lexicon(_on_this_machine(name, body)), emit)
+            for batch in batches_:
+                n, ids_of, sha = [], [], []
+                for got in chain.from_iterable(map(codec.tokens, _runs(batch.column(1).to_pylist()))):
+                    counts, ids, raw = zip(*got, strict=True) if got else ((), (), ())
+                    n.append(sum(counts))
+                    if emit == "ids":
+                        ids_of.append(list(chain.from_iterable(ids)))
+                        continue
+                    ids_of.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+                    sha.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
+                out = [pa.array(ids_of, pa.list_(pa.int32()))] if emit == "ids" else [pa.array(ids_of, pa.string()), pa.array(sha, pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *out], ["doc_id", "n_tokens", *(["ids"] if emit == "ids" else ["ids_sha256", "decoded_sha256"])])
+        finally:
+            gc.enable()
 
     return run
 
@@ -329,7 +389,7 @@ def lexicon_of(docs: DataFrame, vocab_path: str, size: int = LEXICON) -> bytes:
     """The transducer of the most frequent words of all texts."""
     vocab = Vocabulary(vocab_path)
     words = sorted(w.encode() for w in frequent_words(docs, size) if w not in vocab.special)
-    return compile_lexicon(words, [vocab.encode_word(w) for w in words])
+    return compile_lexicon(words, vocab.encode_words(words))
 
 
 def encode(docs: DataFrame, vocab_path: str, emit: str = "ids", size: int = LEXICON) -> DataFrame:

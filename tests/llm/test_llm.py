@@ -134,7 +134,7 @@ def test_bpe_words_of_any_length_and_space():
 
     tok, vocab = Tokenizer.from_file(bpe.vocabulary_path()), bpe.Vocabulary(bpe.vocabulary_path())
     rng = random.Random(5)
-    for n in (49, 200, 3000):
+    for n in (1, 2, 9, 30, 48, 49, 200, 3000):
         word = "".join(rng.choice("abcdeiouth") for _ in range(n))
         assert list(vocab.encode_word(word.encode())) == tok.encode(word, add_special_tokens=False).ids
     began = time.time()
