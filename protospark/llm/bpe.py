@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from protospark.llm.common import batches, cut, table
 
-#: Words that the transducer holds at most (the most frequent of the corpus), and bytes of each.
-LEXICON, WORD_BYTES = 1 << 16, 64
+#: Words that the transducer holds at most (the most frequent of the corpus), and characters of each.
+LEXICON, WORD_CHARS = 1 << 16, 64
 #: Distinct pieces that a worker remembers or counts at once at most, and their characters.
 CACHE, CACHE_CHARS = 1 << 19, 1 << 24
 #: Words of more bytes are merged by a heap of pairs.
@@ -248,9 +248,9 @@ def _count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for counter, space in ((seen, " "), (first, "")):
             for piece, k in counter.items():
-                for w in _SPLIT.findall(space + piece):
+                for w in (space + piece,) if piece.isalpha() else _SPLIT.findall(space + piece):
                     n[w] += k
-        words = [w for w in n if len(w) <= WORD_BYTES and len(w.encode()) <= WORD_BYTES]
+        words = [w for w in n if len(w) <= WORD_CHARS]
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[w] for w in words], pa.int64())], ["word", "n"])
 
     for batch in batches_:
@@ -260,9 +260,11 @@ def _count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first[head] += 1
                 seen.update(rest)
                 chars += len(text)
-            if chars > CACHE_CHARS and (len(seen) + len(first) > CACHE or sum(map(len, seen)) + sum(map(len, first)) > CACHE_CHARS):
-                yield out()
-                seen, first, chars = Counter(), Counter(), 0
+            if chars > CACHE_CHARS:
+                chars = 0
+                if len(seen) + len(first) > CACHE or sum(map(len, seen)) + sum(map(len, first)) > CACHE_CHARS:
+                    yield out()
+                    seen, first = Counter(), Counter()
     yield out()
 
 
@@ -373,7 +375,7 @@ def _codec(path: str, name: str, body, emit: str):
 def frequent_words(docs: DataFrame, size: int) -> list[str]:
     """The words of all texts that occur at least so often that there are ``size`` of them at most (two times at least).
 
-    How often is read off a histogram, so the driver gets no more than ``size`` words of ``WORD_BYTES`` bytes, whatever the number of tasks.
+    How often is read off a histogram, so the driver gets no more than ``size`` words of ``WORD_CHARS`` characters, whatever the number of tasks.
     """
     counts = docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counts = cut(counts.withColumn("level", F.floor(F.log2("n") * 64)))
@@ -399,7 +401,7 @@ def encode(docs: DataFrame, vocab_path: str, emit: str = "ids", size: int = LEXI
     readable on every machine. Special strings in a text become their ids. Frequent words' ids come from the transducer,
     all others are merged. Repeated and null ids are encoded row by row; other columns are ignored.
 
-    The transducer is broadcast (bounded by ``size`` words of ``WORD_BYTES`` bytes), kept as a file in each executor's own folder and
+    The transducer is broadcast (bounded by ``size`` words of ``WORD_CHARS`` characters), kept as a file in each executor's own folder and
     mapped by its workers; a new executor gets it from the broadcast.
     """
     batches(docs.sparkSession)
