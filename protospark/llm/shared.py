@@ -1,9 +1,9 @@
 """Which hashed keys of a corpus occur more than once: packed postings, dealt by the key's top bits.
 
-A row per posting would cost several times its 16 bytes in a shuffle, so a map task packs the postings of
-an Arrow batch by bucket (top bits of the key) into one row each. Keys that recur inside a batch
+A row per posting would cost several times its 16 bytes in a shuffle, so a map task packs postings,
+about a million at a time, by bucket (top bits of the key) into one row each. Keys that recur among them
 are answered there and go on as one representative, so however common a key is, a reduce task
-sees it once per batch at most. Answers go back packed by the bucket of their ids. Buckets are sized from a count of the data: their number grows with it.
+sees it once per million postings and task at most. Answers go back packed by the bucket of their ids. Buckets are sized from a count of the data: their number grows with it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from protospark.llm.text import mix
 
 #: Postings that a bucket holds on average; a bucket is what a reduce task has in memory at once.
 BUCKET = 1 << 19
+#: Postings that a map task packs together.
+RUN = 1 << 20
 _PACKED = "kind int, bucket int, body binary"
 _FOUND = "id long, pos array<int>, key array<long>"
 
@@ -58,31 +60,40 @@ def occurrences(rows: DataFrame, columns: list[str], keys_of: Callable, bits: in
     """
     shift = np.uint64(64 - bits)
 
+    def pack_run(parts: list[tuple]) -> pa.RecordBatch:
+        keys, ids, pos = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((pos, ids, keys))
+        keys, ids, pos = keys[order], ids[order], pos[order].astype(np.uint32)
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        last = np.r_[new[1:], True]
+        kind, bucket, body = [], [], []
+        head = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+        found = ((ids != ids[head]) | (pos != pos[head])) if later else ~(new & last)
+        if found.any():
+            kind.append(1)
+            bucket.append(int(keys[0] >> shift) if bits else 0)
+            body.append(_pack(keys[found], ids[found], pos[found], found[found]))
+        keys, ids, pos, own = keys[new], ids[new], pos[new], ~last[new]
+        where = (keys >> shift).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            kind.append(0)
+            bucket.append(int(where[a]))
+            body.append(_pack(keys[a:b], ids[a:b], pos[a:b], own[a:b]))
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(body, pa.binary())], ["kind", "bucket", "body"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
         for batch in batches:
             keys, row, pos = keys_of(batch)
-            if not len(keys):
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[row].astype(np.int64)
-            order = np.lexsort((pos, ids, keys))
-            keys, ids, pos = keys[order], ids[order], pos[order].astype(np.uint32)
-            new = np.r_[True, keys[1:] != keys[:-1]]
-            last = np.r_[new[1:], True]
-            kind, bucket, body = [], [], []
-            head = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
-            found = ((ids != ids[head]) | (pos != pos[head])) if later else ~(new & last)
-            if found.any():
-                kind.append(1)
-                bucket.append(int(keys[0] >> shift) if bits else 0)
-                body.append(_pack(keys[found], ids[found], pos[found], found[found]))
-            keys, ids, pos, own = keys[new], ids[new], pos[new], ~last[new]
-            where = (keys >> shift).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-            cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                kind.append(0)
-                bucket.append(int(where[a]))
-                body.append(_pack(keys[a:b], ids[a:b], pos[a:b], own[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(body, pa.binary())], ["kind", "bucket", "body"])
+            if len(keys):
+                parts.append((keys, batch.column(0).to_numpy(zero_copy_only=False)[row].astype(np.int64), pos.astype(np.int64)))
+                n += len(keys)
+            if n >= RUN:
+                yield pack_run(parts)
+                parts, n = [], 0
+        if parts:
+            yield pack_run(parts)
 
     def answer(parts: list[bytes]) -> tuple:
         keys, ids, pos, own = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))

@@ -17,6 +17,8 @@ from protospark.llm.text import Words, chunks, rolling
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9)}
 #: Ids of exact copies that may be broadcast; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
+#: The same for groups of copies (five longs each).
+BROADCAST_CLASSES = 1 << 18
 
 
 def _digest(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +146,9 @@ def substring_dedup(docs: DataFrame, length: int = 20, period: int = 13, texts:
     kind = {c: docs.schema[c].dataType.simpleString() for c in carry}
     docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(m) for c, m in zip(carry, more))), more)
     digest = cut(docs.select("id", "text").mapInArrow(_digest, "id long, n long, a long, b long"))
-    first = digest.where(F.col("n") >= length).groupBy("n", "a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    copies = cut(digest.join(first, ["n", "a", "b"]).where("id <> first").select("id").distinct())
+    first = cut(digest.where(F.col("n") >= length).groupBy("n", "a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last"))
+    first = F.broadcast(first) if first.count() <= BROADCAST_CLASSES else first  # beyond that, a large group is split as a skewed join
+    copies = cut(digest.join(first, ["n", "a", "b"]).where("id <> first").select("id"))
     words = digest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     small = copies.count() <= BROADCAST_IDS
     copies = F.broadcast(copies) if small else copies
