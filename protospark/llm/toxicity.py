@@ -20,22 +20,32 @@ SAMPLE_ROWS = 8000
 #: Texts of the sample have at most so many characters; what is scored has no limit.
 SAMPLE_CHARS = 50_000
 SIZE = 1 << 20
-#: A feature is mined into a lexicon if seen in so many toxic sample texts, so many standard deviations above its share;
-#: the classifier has the features that are this far, or ``USUAL``, from it in either direction.
-LEAST_SEEN, MINED, USUAL = 4, 6.0, 5.0
-#: Mined lexicons: features are dealt into so many voters.
-LEXICONS = 12
-
-INSULTS = "idiot moron loser stupid dumb scum trash clown worthless pathetic disgusting ugly filthy vermin imbecile bastard bitch shit fuck crap".split()
+#: A feature is mined into the widest lexicon if seen in so many toxic sample texts, so many standard deviations above its share, and
+#: into the narrower two if so large a share of its texts is toxic; the classifier has the features that are ``USUAL`` from their share in either direction.
+LEAST_SEEN, MINED, LIKELY, SURE, USUAL = 4, 6.0, 0.75, 0.97, 5.0
+#: Besides whole words, the beginnings of so many bytes of longer ones are features.
+PREFIXES = (4, 5, 6, 7)
+#: Lexicons are mined for each of so many folds from all others, so no vote of theirs has seen the label of its text.
+FOLDS = 5
+
+#: Common insults by language (fixed lists).
+INSULTS = {
+    "en": "idiot moron loser stupid dumb scum trash clown worthless pathetic disgusting ugly filthy vermin imbecile bastard bitch shit fuck crap".split(),
+    "de": "idiot trottel depp arschloch dummkopf abschaum versager schwachkopf dreckig widerlich".split(),
+    "fr": "idiot imbécile connard salaud abruti crétin ordure débile pourriture".split(),
+    "es": "idiota imbécil estúpido basura cabrón tonto escoria payaso asqueroso".split(),
+}
+_ANY = "|".join(sorted({w for ws in INSULTS.values() for w in ws}))
 PATTERNS = {
-    "insult": rf"(?i)\b({'|'.join(INSULTS)})\b",
-    "address": rf"(?i)\b(you|your|they|those)\b\W+(\w+\W+){{0,2}}({'|'.join(INSULTS)})\b",
+    **{f"insult_{k}": rf"(?i)\b({'|'.join(v)})\b" for k, v in INSULTS.items()},
+    "address": rf"(?i)\b(you|your|they|those)\b\W+(\w+\W+){{0,2}}({_ANY})\b",
     "threat": r"(?i)\b(kill|hurt|destroy|hate)\s+(you|them|him|her)\b",
-    "masked": r"(?i)\b[a-z]+[*@#$]{2,}[a-z]*\b",
+    "obfuscated": r"(?i)\b[a-z]+[*@#$]{2,}[a-z]*\b",
     "shouting": r"(\b[A-Z]{4,}\b\W+){4,}",
     "outcry": r"!{3,}",
 }
 _PATTERNS = {k: re.compile(v) for k, v in PATTERNS.items()}
+VOTERS = ("likely", "likely_twice", "mined_4", "mined_8", "sure", *PATTERNS, "none_likely", "none_sure")
 
 
 @dataclass
@@ -46,6 +56,13 @@ class LabelModel:
     rates: np.ndarray = field(default_factory=lambda: np.zeros((2, 0, 3)))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def report(self, votes: np.ndarray) -> list[tuple[float, float]]:
+        """Each voter's coverage (share of texts it votes on) and accuracy, as the model estimates it, where it votes."""
+        q = self.posterior(votes)[:, None]
+        says = votes != 0
+        right = np.where(votes > 0, q, 1 - q) * says
+        return [(float(c), float(r / n) if n else 0.0) for c, r, n in zip(says.mean(axis=0), right.sum(axis=0), says.sum(axis=0))]
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         z = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
         log = np.log(self.rates[1] / self.rates[0])
@@ -79,7 +96,8 @@ class Model:
     weights: np.ndarray
     bias: float
     label_model: LabelModel
-    voters: list[str]
+    #: voter: (coverage, estimated accuracy) on the sample
+    voters: dict[str, tuple[float, float]]
 
 
 def _sample_features(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +105,7 @@ def _sample_features(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         feats, votes = [], []
         texts = batch.column(2).to_pylist()
         for i, j, data, offs in chunks(batch.column(2)):
-            f, d = word_features(data, offs, SIZE)
+            f, d = word_features(data, offs, SIZE, PREFIXES)
             at = np.searchsorted(d, np.arange(j - i + 1))
             feats += [f[at[k] : at[k + 1]].astype(np.int32).tobytes() for k in range(j - i)]
             votes += [bytes(1 + bool(p.search(texts[i + k] or "")) for p in _PATTERNS.values()) for k in range(j - i)]
@@ -107,10 +125,33 @@ def unlike(feats: list[np.ndarray], sketches: int = 4) -> list[int]:
     return kept
 
 
+def excess(row: np.ndarray, col: np.ndarray, q: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each feature, over the texts ``of``: standard deviations above the mean of ``q``, the sum of ``q`` and the number of its texts."""
+    at = of[row]
+    toxic, seen, share = np.bincount(col[at], q[row[at]], SIZE), np.bincount(col[at], minlength=SIZE), q[of].mean()
+    return (toxic - share * seen) / np.sqrt(np.maximum(share * (1 - share) * seen, 1e-9)), toxic, seen
+
+
+def lexicon_votes(row: np.ndarray, col: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Votes of the mined lexicons (texts x 5), each fold's mined on the others."""
+    fold = np.arange(len(y)) % FOLDS
+    hits = np.zeros((3, len(y)))
+    for k in range(FOLDS):
+        if y[fold != k].min(initial=1) == y[fold != k].max(initial=0):
+            continue
+        away, toxic, seen = excess(row, col, y, fold != k)
+        mined, mine = (away >= MINED) & (toxic >= LEAST_SEEN), fold[row] == k
+        for h, share in zip(hits, (0, LIKELY, SURE), strict=True):
+            h += np.bincount(row[mine], (mined & (toxic >= share * seen))[col[mine]], len(y))
+    mined, likely, sure = hits
+    return np.stack([likely > 0, likely > 1, mined > 3, mined > 7, sure > 0], axis=1).astype(int)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows outside the held-out fold: the ``SAMPLE_ROWS`` with the smallest id hashes.
 
-    The label itself is one voter (an annotator); the others are word lists mined from the sample, a fixed list and patterns.
+    Labels serve to mine lexicons (for other folds than their own), nothing else: the label model starts from the voters'
+    majority and never sees them, and the classifier learns its posteriors.
     With no labelled rows, or rows of one class only, the model is the constant share of that class (0.5 without rows).
     """
     marked = labels.where(~held_out()).where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
@@ -121,27 +162,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     flat = LabelModel()
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean(), 0.02, 0.98)) if len(y) else 0.5
-        return Model(np.zeros(SIZE, np.float32), float(np.log(p / (1 - p))), flat, [])
+        return Model(np.zeros(SIZE, np.float32), float(np.log(p / (1 - p))), flat, {})
     feats = [np.frombuffer(r[2], np.int32) for r in got]
     single = unlike(feats)
     got, feats, y = [got[i] for i in single], [feats[i] for i in single], y[single]
     row, col = np.repeat(np.arange(len(y)), [len(f) for f in feats]), np.concatenate(feats).astype(np.int64)
     patterns = np.array([np.frombuffer(r[3], np.uint8).astype(int) - 1 for r in got])
-    # lexicons: features far likelier in one class
-    seen1, seen0 = np.bincount(col, y[row], SIZE), np.bincount(col, 1 - y[row], SIZE)
-    share = y.mean()
-    away = (seen1 - share * (seen1 + seen0)) / np.sqrt(np.maximum(share * (1 - share) * (seen1 + seen0), 1e-9))
-    hit = (away >= MINED) & (seen1 >= LEAST_SEEN)
-    lexicon = np.where(hit, np.arange(SIZE) % LEXICONS, -1)
-    counts = np.stack([np.bincount(row[lexicon[col] == k], minlength=len(y)) for k in range(LEXICONS)], 1)
-    mined = (counts > 0).astype(int)
-    none = np.where(counts.sum(axis=1) == 0, -1, 0)[:, None]
-    votes = np.concatenate([np.where(y > 0, 1, -1)[:, None], mined, patterns, none], axis=1)
-    label_model = fit_label_model(votes, float(y.mean()), 0.02 + 0.96 * y)
+    mined = lexicon_votes(row, col, y)
+    insult = patterns[:, : len(INSULTS)].any(axis=1)
+    none = np.stack([(mined[:, 0] == 0) & ~insult, (mined[:, 4] == 0) & ~insult], axis=1)
+    votes = np.concatenate([mined, patterns, -none.astype(int)], axis=1)
+    label_model = fit_label_model(votes, 0.1, np.where(votes.sum(axis=1) > 0, 0.98, 0.02))
     target = label_model.posterior(votes)
+    away, _, _ = excess(row, col, target, np.ones(len(y), bool))
     usual = (np.abs(away) >= USUAL)[col]
     w, b = fit_logistic(row[usual], col[usual], np.ones(usual.sum()), target, SIZE, l2=2e-5, steps=150)
-    return Model(w.astype(np.float32), b, label_model, ["annotator", *(f"lexicon_{k}" for k in range(LEXICONS)), *PATTERNS, "no_hit"])
+    return Model(w.astype(np.float32), b, label_model, dict(zip(VOTERS, label_model.report(votes), strict=True)))
 
 
 def _score(model):
@@ -150,7 +186,7 @@ def _score(model):
         for batch in batches_:
             out = [np.zeros(0)]
             for i, j, data, offs in chunks(batch.column(batch.num_columns - 1)):
-                f, d = word_features(data, offs, SIZE)
+                f, d = word_features(data, offs, SIZE, PREFIXES)
                 out.append(1 / (1 + np.exp(-np.clip(np.bincount(d, w[f], j - i) + b, -30, 30))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, "score"])
 
@@ -160,8 +196,10 @@ def _score(model):
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: likelier toxic) of every whole text.
 
-    ``docs`` has ``doc_id`` and ``text``; no other column is read. Null and empty texts get the model's intercept. Labels
-    without a document, null labels and null ids are not learned from; an id labelled twice counts as toxic if either says so.
+    ``docs`` has ``doc_id`` and ``text``; no other column is read, and a column ``score`` of theirs is replaced. Every row is scored
+    by itself, so repeated and null ids keep their rows and texts of any length are read to their end; null and empty texts get the
+    model's intercept. Labels without a document, null labels and null ids are not learned from; an id labelled twice counts as
+    toxic if either says so.
     """
     spark = docs.sparkSession
     batches(spark)

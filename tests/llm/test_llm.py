@@ -234,15 +234,31 @@ def test_components(spark):
 
 
 def test_toxicity(spark, odd):
-    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
-    got = toxicity.score(docs.select("doc_id", "text"), labels).join(labels, "doc_id").toPandas()
-    said = got.score >= 0.5
-    assert said[got.toxic == 0].mean() < 0.02 and said[got.toxic == 1].mean() > 0.5
+    """On rows not learned from."""
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    model = toxicity.fit(docs, labels)
+    assert set(model.voters) == set(toxicity.VOTERS) and model.voters["sure"][1] > 0.9 and 0 < model.voters["insult_en"][0] < 0.3
+    got = QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").toPandas()
+    assert (got.toxic == 1).sum() > 30
+    assert got[got.toxic == 0].predicted.mean() < 0.02 and got[got.toxic == 1].predicted.mean() > 0.8
     some = toxicity.score(odd, labels.limit(0))
     assert some.count() == odd.count() and some.where("score < 0 or score > 1 or score is null").count() == 0
     assert toxicity.score(empty(spark), labels).count() == 0
 
 
+def test_toxicity_labels_do_not_vote():
+    """Turning the labels of texts that no voter marks changes no vote on them."""
+    rng = np.random.default_rng(2)
+    n, words = 400, 60
+    y = (rng.random(n) < 0.2).astype(float)
+    feats = [np.unique(np.r_[rng.integers(0, words, 12), 100 + rng.integers(0, 3, 2) if y[i] else []]).astype(np.int64) for i in range(n)]
+    row, col = np.repeat(np.arange(n), [len(f) for f in feats]), np.concatenate(feats)
+    for i in (np.flatnonzero(y)[0], np.flatnonzero(y == 0)[0]):
+        turned = y.copy()
+        turned[i] = 1 - y[i]
+        assert (toxicity.lexicon_votes(row, col, turned)[i] == toxicity.lexicon_votes(row, col, y)[i]).all()
+
+
 def test_label_model_ranks_voters():
     rng = np.random.default_rng(0)
     y = rng.random(2000) < 0.3
