@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from protospark.llm.text import LOWER, Words, mix, per_document, powers, rolling
+from protospark.llm.text import LOWER, Words, mix, per_document, point_hashes, points, powers, rolling
 from protospark.llm.text import _BYTE
 
 _WORDLIKE = np.zeros(256, bool)
@@ -53,16 +53,16 @@ def word_features(data: np.ndarray, offs: np.ndarray, size: int, prefixes: tuple
 
 
 def gram_features(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, document, weight): word 1- and 2-grams and byte 3- and 4-grams, each kind as relative frequency."""
+    """(feature, document, weight): word 1- and 2-grams and character 3- and 4-grams (of code points), each kind as relative frequency."""
     w = Words(data, offs)
     h = w.hashes()
     n_docs = len(offs) - 1
-    doc_of = np.repeat(np.arange(n_docs), np.diff(offs))
+    at = points(data)
+    chars, char_doc = point_hashes(data, at), np.repeat(np.arange(n_docs), np.diff(np.searchsorted(at, offs)))
     out_f, out_d, out_w = [], [], []
-    for k, base, doc in ((1, h, w.doc), (2, h, w.doc), (3, _BYTE[1][data], doc_of), (4, _BYTE[1][data], doc_of)):
-        width = k if k < 3 else k
-        g = rolling(base, width) + np.uint64(k)
-        same = doc[: len(g)] == doc[width - 1 : width - 1 + len(g)]
+    for k, base, doc in ((1, h, w.doc), (2, h, w.doc), (3, chars, char_doc), (4, chars, char_doc)):
+        g = rolling(base, k) + np.uint64(k)
+        same = doc[: len(g)] == doc[k - 1 : k - 1 + len(g)]
         d = doc[: len(g)][same]
         count = np.bincount(d, minlength=n_docs)
         out_f.append((mix(g[same]) % np.uint64(size)).astype(np.int64))

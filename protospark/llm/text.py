@@ -118,12 +118,14 @@ def per_document(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
     return h[keep], d[keep]
 
 
-def binary(rows: list[bytes] | np.ndarray) -> pa.Array:
-    return pa.array(rows, pa.binary())
+def points(data: np.ndarray) -> np.ndarray:
+    """Where the code points of UTF-8 ``data`` begin, and its length at the end."""
+    return np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
 
 
-def slices(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """A list<long> column out of flat values."""
-    offs = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(counts, out=offs[1:])
-    return pa.ListArray.from_arrays(pa.array(offs), pa.array(values))
+def point_hashes(data: np.ndarray, at: np.ndarray, which: int = 1) -> np.ndarray:
+    """A 64-bit hash of each code point (``at``: as ``points`` gives them)."""
+    if len(at) == len(data) + 1:
+        return _BYTE[which][data]
+    place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
+    return np.add.reduceat(_BYTE[which][data] * powers(4, which)[place], at[:-1])
