@@ -288,9 +288,25 @@ def test_quality_counts(spark, odd):
 
 
 def test_quality_held_out(spark):
-    labels = table(spark, "/root/testdata/sf0.01", "labels")
-    got = QUERIES["op7_quality_rules"](spark, "/root/testdata/sf0.01").where("not base_failed").join(labels, "doc_id").toPandas()
-    assert got[got.quality == 1].kept.mean() > 0.97 and got[got.quality == 0].kept.mean() < 0.1
+    """On rows neither learned from nor used for calibration."""
+    labels = table(spark, "/root/testdata/sf0.1", "labels")
+    got = QUERIES["op7_quality_rules"](spark, "/root/testdata/sf0.1").where(quality.held_out()).where("not base_failed").join(labels, "doc_id").toPandas()
+    assert (got.quality == 1).sum() > 200 and (got.quality == 0).sum() > 10
+    assert got[got.quality == 1].kept.mean() > 0.95 and got[got.quality == 0].kept.mean() < 0.2
+    assert (got.kept == (got.score >= quality.THRESHOLD)).all()
+
+
+def test_gram_features_against_brute_force():
+    """Relative frequencies of word 1- and 2-grams and of 3- and 4-grams of code points, by their multiset per text."""
+    texts = ["", "a", "the cat the cat sat", "éà été été 😀😀😀😀", "x\ty  z\n\nx y", "ß" * 40]
+    f, d, w = quality.gram_features(*language.raw(pa.array(texts)), 1 << 62)
+    for i, t in enumerate(texts):
+        words = WORD.findall(t)
+        kinds = [words, list(zip(words, words[1:])), [t[k : k + 3] for k in range(len(t) - 2)], [t[k : k + 4] for k in range(len(t) - 3)]]
+        want = sorted(c / len(kind) for kind in kinds for c in Counter(kind).values())
+        own = d == i
+        _, at = np.unique(f[own], return_inverse=True)
+        assert np.allclose(sorted(np.bincount(at, w[own]).tolist()) if own.any() else [], want)
 
 
 def test_language(spark, odd):
@@ -301,12 +317,38 @@ def test_language(spark, odd):
     assert language.language(empty(spark)).count() == 0
 
 
+def word_labels(crf, text):
+    lines = language.Lines(*language.raw(language.lowered(pa.array([text]))))
+    s = lines.scores(crf)
+    p, _, _ = language.Chains(lines.line_sizes).marginals(np.exp(s - s.max(axis=1, keepdims=True))[lines.form], crf.move, crf.start)
+    return [crf.labels[i] for i in p.argmax(axis=1)]
+
+
 def test_language_labels_switched_words():
     crf = language.train(["the cat sat there", "the dog and the cat"] * 4 + ["der hund und die katze", "ein hund lief weg"] * 4, ["en"] * 8 + ["de"] * 8)
-    lines = language.Lines(*language.raw(pa.array(["the cat and der hund lief"])))
-    s = lines.scores(crf.emit)
-    p, _, _ = language.Chains(lines.line_sizes).marginals(np.exp(s - s.max(axis=1, keepdims=True))[lines.form], crf.move, crf.start)
-    assert [crf.labels[i] for i in p.argmax(axis=1)] == ["en", "en", "en", "de", "de", "de"]
+    assert word_labels(crf, "the cat and der hund lief") == ["en", "en", "en", "de", "de", "de"]
+
+
+def test_language_of_words_in_held_out_splices(spark):
+    """Word accuracy on lines spliced from texts not learned from."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    crf = language.fit(docs)
+    assert len(crf.words) and len(crf.labels) == 4
+    held = docs.where(language.held_out()).where("lang is not null and length(text) between 100 and 5000").select("text", "lang").toPandas()
+    y = np.array([crf.labels.index(g) for g in held.lang])
+    lines, gold = language.splices(list(held.text), y, 200, seed=99)
+    told = [word_labels(crf, t) for t in lines]
+    right = [crf.labels[g] == w for gs, ws in zip(gold, told, strict=True) for g, w in zip(gs, ws, strict=True)]
+    assert np.mean(right) > 0.85
+
+
+def test_language_odd_texts(spark):
+    rows = [(1, "the cat sat there and the dog ran", "en")] * 6 + [(i, "der hund und die katze lief", "de") for i in range(2, 12)]
+    rows += [(20, "12 34 --", "en"), (21, "😀 ☂", None), (22, "ÉTÉ", None), (None, "der hund", None), (23, "the cat " * 3000, None), (24, None, "fr"), (25, "", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash")).withColumn("h", F.lit(1))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.language(df).collect()}
+    assert got[20] == got[21] == got[24] == got[25] == ("und", 0.0)
+    assert got[22][0] in ("en", "de") and got[None][0] == "de" and got[23][0] == "en"
 
 
 def test_chat_round_trip(spark):
