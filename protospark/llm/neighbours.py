@@ -183,6 +183,11 @@ def _probe(tables, m, width, seed, groups, probes):
     return run
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows brought under 1 by powers of two: cosines keep every bit, and products of large components don't overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _compare(keep: int):
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
         out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
@@ -191,11 +196,12 @@ def _compare(keep: int):
             probes = queries.column("probes").combine_chunks()
             q_of, wanted = np.repeat(np.arange(len(probes)), np.diff(probes.offsets.to_numpy())), probes.flatten().to_numpy()
             query = queries.column("query").to_numpy()
-            vectors = {x.shape[1]: (at, x) for at, x in _matrix(index.column("vec"))}
+            vectors = {x.shape[1]: (at, _scaled(x)) for at, x in _matrix(index.column("vec"))}
             for qat, q in _matrix(queries.column("qvec")):
                 if q.shape[1] not in vectors:
                     continue
                 at, x = vectors[q.shape[1]]
+                q = _scaled(q)
                 where = np.full(len(query), -1)
                 where[qat] = np.arange(len(qat))
                 ok = where[q_of] >= 0
