@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from protospark.llm.common import cut, table
 
 _WORD = r"[^\x20\x09-\x0D]+"
-#: Buckets of keys per power of two: a bucket holds under a thousandth of a source's rows, whatever the weights.
-_FINE = 1024
+#: Buckets of keys per power of two, at least, and rows of a table for each of them: a bucket holds a small share of a source's rows, whatever the weights.
+_FINE, _ROWS = 1024, 1 << 18
+#: Sources that may be broadcast (a few numbers each); more are joined by a shuffle.
+BROADCAST_SOURCES = 1 << 17
 
 
 def text_quality(text: str = "text") -> Column:
@@ -44,17 +46,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
     ``docs`` has ``doc_id``, ``text`` and ``source``; a size is a text's words. A source's whole epochs come first (each
     takes every row once); what is left of its target goes to the rows with the smallest keys ``-ln(u) / quality``, ``u`` being
-    drawn from the id, up to the row that brings the sum nearest to the target. Reruns agree.
+    drawn from id and text, up to the row that brings the sum nearest to the target. Reruns agree.
 
-    Keys are summed by source and bucket first, and prefix sums of buckets tell which buckets are taken whole;
-    rows are sorted within buckets only, so that no task has all rows of a source.
-    Null texts have size 0 (taken: 0), null sources are one source, rows with equal ids and sizes count one after the other.
+    Keys are summed by source and bucket first, and prefix sums of buckets tell in which bucket a source's target ends. Rows of
+    the buckets before it are taken, those after it are not; only rows of that one bucket are sorted, so that no task has
+    all rows of a source, and no other row is shuffled.
+    Null texts have size 0 (taken: 0), null sources are one source, rows with equal ids and texts count one after the other.
     """
     quality = text_quality() if quality is None else quality
-    u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+    fine = _FINE
+    while docs.count() > fine * _ROWS:
+        fine *= 2
+    drawn = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
     rows = docs.select("doc_id", *carry, F.struct("source").alias("_source"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"), (-F.log(u) / quality).alias("_key"))
     rows = rows.withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("_source.source")), F.lit("")))
-    rows = rows.withColumn("_bucket", F.floor(F.log2(F.greatest("_key", F.lit(1e-300))) * _FINE))
+    rows = rows.withColumn("_bucket", F.floor(F.log2(F.greatest("_key", F.lit(1e-300))) * fine))
     if not carry:
         rows = cut(rows)
     sums = cut(rows.groupBy("src", "_bucket").agg(F.sum("size").alias("n"), F.first("_source").alias("_source")))
@@ -63,11 +70,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
     goal = goal.withColumn("epochs", epochs).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
     before = Window.partitionBy("src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = cut(sums.join(goal, "src").withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "_source"))
-    told = rows.join(buckets, ["src", "_bucket"])
-    inside = Window.partitionBy("src", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ends = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(goal.select("src", "left"), "src")
+    ends = ends.where("before <= left and left < before + n").select("src", F.col("_bucket").alias("_end"), "before")
+    goal = cut(goal.join(ends, "src", "left"))
+    told = rows.join(F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal, "src")
+    columns = ["doc_id", "size", "source_size", "target", "epochs", *carry]
+    most_rows = told.where("_end is null or _bucket <> _end").select(*columns, F.coalesce(F.col("_bucket") < F.col("_end"), F.lit(False)).alias("_more"))
+    inside = Window.partitionBy("src").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    told = told.withColumn("copies", (F.col("epochs") + F.when((start + F.col("size") / 2 <= F.col("left")) & (F.col("size") > 0), 1).otherwise(0)).cast("int"))
+    last = told.where("_bucket = _end").withColumn("_more", start + F.col("size") / 2 <= F.col("left")).select(*columns, "_more")
+    told = most_rows.union(last).withColumn("copies", (F.col("epochs") + F.when(F.col("_more") & (F.col("size") > 0), 1).otherwise(0)).cast("int"))
     return told.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *carry)
 
 
@@ -76,9 +88,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size, md5(coalesce(text, '')) tm,
   coalesce(greatest(0.1::double, 1 - 5 * ((length(text) - length(translate(text, '#*$%&|<>{}=+~^_@!', '')))::double / nullif(length(text), 0))), 1.0::double) q from documents),
-k as (select *, -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496) / q k from d),
+k as (select *, -ln((('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || tm), 1, 13))::bigint::double + 0.5) / 4503599627370496) / q k from d),
 s as (select source, sum(size)::bigint n from d group by 1),
 w as (select *, 2.0::double * n cap, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0 else 1.0 end w,
   row_number() over (order by source nulls last) p from s),

@@ -90,6 +90,31 @@ def test_neighbours_odd(spark):
     assert neighbours.neighbours(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_scores_ranks_and_ties(spark):
+    """Scores, ranks and order of ties as brute force has them, for the neighbours found; large components don't overflow."""
+    e = table(spark, "/root/testdata/sf0.01", "embeddings")
+    p = e.toPandas()
+    x, ids = np.array(p.embedding.tolist(), float), p.vec_id.to_numpy()
+    n, at = np.linalg.norm(x, axis=1), {int(i): k for k, i in enumerate(ids)}
+    got = {}
+    for r in QUERIES["op1_neighbours"](spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = total = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[i] / n / n[i]
+        s[i] = -9
+        best = np.lexsort((ids, -s))[:5]
+        mine = sorted(got[ids[i]])
+        assert [m[0] for m in mine] == [1, 2, 3, 4, 5]
+        assert all(abs(m[2] - s[at[m[1]]]) < 1e-12 for m in mine)
+        assert all(a[2] >= b[2] - 1e-12 and (a[2] > b[2] or a[1] < b[1]) for a, b in zip(mine, mine[1:]))
+        hits, total = hits + len({m[1] for m in mine} & set(ids[best].tolist())), total + 5
+    assert hits >= 0.9 * total
+    big = spark.createDataFrame([(0, [1e200, 1e200]), (1, [1e200, 2e200]), (2, [3.0, 3.0])], "vec_id long, embedding array<double>")
+    told = [(r.vec_id, round(r.score, 12)) for r in neighbours.neighbours(big, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert told == [(2, 1.0), (1, round(3 / np.sqrt(10), 12))]
+
+
 def test_bpe_as_the_library(spark, odd):
     from tokenizers import Tokenizer
 
@@ -190,6 +215,19 @@ def test_mixing(spark, odd):
         by[r.source_size] = (r.target, by.get(r.source_size, (0, 0))[1] + r.taken)
     assert sum(t for t, _ in by.values()) == pytest.approx(1.5 * total)
     assert mixing.mix(empty(spark)).count() == 0
+    carried = mixing.mix(odd, carry=("text", "lang")).collect()
+    assert Counter((r.doc_id, r.taken) for r in carried) == Counter((r.doc_id, r.taken) for r in got)
+
+
+def test_mixing_rows_without_ids(spark):
+    """Null and repeated ids draw by their texts too, so they don't share one key, and the target is met."""
+    rows = [(None if i % 2 else 7, f"w{i} " * (1 + i % 5), "a" if i % 3 else "b") for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.source_size, r.target), []).append(r.taken)
+    for (_, target), taken in by.items():
+        assert abs(sum(taken) - target) <= 5
 
 
 def test_jaccard_odd(spark, odd):
