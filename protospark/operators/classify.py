@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from protospark.functions.distance import all_distances, render_alignment, validate
 from protospark.operators.joins import assign_regions, attach_sequences, match_with_tolerance, merge_intervals
 from protospark.schemas import GROUP_KEY, HIT_KEY
+from protospark.session import cut
 
 PLANNED, UNPLANNED, INVALID = "positive_in_plan", "positive_not_in_plan", "invalid_alignment"
 COMBINED = "all_tools_combined"
@@ -89,8 +90,11 @@ def examples(classified: DataFrame, spacers: DataFrame, contigs: DataFrame, n: i
 
 
 def compare(truth, hits, contigs, spacers, max_distance: int = 5, metric: str = "edit", timings: DataFrame | None = None) -> DataFrame:
-    """The whole comparison: classify, add the combined tool, performance (and run times), best planned recall first."""
-    told = with_combined(classify(truth, hits, contigs, spacers, max_distance, metric))
+    """The whole comparison: classify, add the combined tool, performance (and run times), best planned recall first.
+
+    The classified hits are written to the shared folder once; every count reads them there.
+    """
+    told = with_combined(cut(classify(truth, hits, contigs, spacers, max_distance, metric)))
     out = tool_performance(told, truth)
     out = out if timings is None else out.join(timings, "tool", "left")
     return out.orderBy(F.desc("recall_planned"), "tool")
