@@ -13,28 +13,31 @@ from protospark.functions.sequence import _c, revcomp
 MATCH, MISMATCH = 5, -4
 
 
-def _slide_min(a: str, b: str) -> int:
-    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in sorted((a, b), key=len))
-    if not len(x):
-        return 0
-    return int((np.lib.stride_tricks.sliding_window_view(y, len(x)) != x).sum(axis=1).min())
+def _codes(s: pd.Series, at: np.ndarray, n: int) -> np.ndarray:
+    """Strings of ``n`` code points each as rows of a matrix."""
+    return np.frombuffer("".join(s.iloc[at]).encode("utf-32-le"), np.uint32).reshape(len(at), n)
+
+
+def _by_lengths(a: pd.Series, b: pd.Series):
+    """(rows, x, y) of pairs without nulls that share both lengths, as matrices."""
+    known = (a.notna() & b.notna()).to_numpy()
+    la, lb = (s.str.len().fillna(-1).to_numpy(np.int64) for s in (a, b))
+    shapes, which = np.unique(np.stack([la, lb])[:, known], axis=1, return_inverse=True)
+    some = np.flatnonzero(known)
+    for k, (n, m) in enumerate(shapes.T.tolist()):
+        at = some[which == k]
+        yield at, _codes(a, at, n), _codes(b, at, m)
 
 
 @F.pandas_udf(IntegerType())
 def _hamming(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Pairs of equal lengths are compared as byte matrices; the others by sliding the shorter along the longer."""
-    out = pd.array([None] * len(a), dtype="Int32")
-    known = (a.notna() & b.notna()).to_numpy()
-    la, lb = a.str.len().to_numpy(), b.str.len().to_numpy()
-    same = known & (la == lb)
-    for n in np.unique(la[same]) if same.any() else []:
-        at = np.flatnonzero(same & (la == n))
-        n = int(n)
-        x, y = ((np.frombuffer("".join(s.iloc[at]).encode("utf-32-le"), np.uint32).reshape(len(at), n) if n else np.zeros((len(at), 0))) for s in (a, b))
-        out[at] = (x != y).sum(axis=1)
-    for i in np.flatnonzero(known & ~same):
-        out[i] = _slide_min(a.iloc[i], b.iloc[i])
-    return pd.Series(out)
+    """Pairs are compared as matrices, those of unequal lengths by sliding the shorter ones along the longer ones."""
+    out = np.full(len(a), -1, np.int64)
+    for at, x, y in _by_lengths(a, b):
+        x, y = (x, y) if x.shape[1] <= y.shape[1] else (y, x)
+        n = x.shape[1]
+        out[at] = np.min([(x != y[:, i : i + n]).sum(axis=1) for i in range(y.shape[1] - n + 1)], axis=0) if n else 0
+    return pd.Series(pd.array(np.where(out < 0, 0, out), dtype="Int32")).mask(pd.Series(out < 0))
 
 
 def hamming(a, b) -> Column:
@@ -86,20 +89,46 @@ def gotoh(a: str, b: str, open_: int, extend: int) -> tuple[str, str]:
     return "".join(reversed(top)), "".join(reversed(bottom))
 
 
+def affine_columns(x: np.ndarray, y: np.ndarray, open_: int, extend: int) -> np.ndarray:
+    """For pairs of rows, the columns that aren't matches in the alignment that ``gotoh`` draws.
+
+    Scores and, along the same choices as its way back, counts of such columns go forward together, all pairs in step.
+    """
+    pairs, n, m = len(x), x.shape[1], y.shape[1]
+    low = np.full(pairs, -(10**9), np.int64)
+    up_h = [np.full(pairs, -open_ - (j - 1) * extend if j else 0, np.int64) for j in range(m + 1)]
+    up_e, up_hc, up_ec = [low] * (m + 1), [np.full(pairs, j, np.int64) for j in range(m + 1)], [np.zeros(pairs, np.int64)] * (m + 1)
+    for i in range(1, n + 1):
+        h, e, hc, ec = [None] * (m + 1), [None] * (m + 1), [None] * (m + 1), [None] * (m + 1)
+        h[0] = e[0] = np.full(pairs, -open_ - (i - 1) * extend, np.int64)
+        hc[0] = ec[0] = np.full(pairs, i, np.int64)
+        f, fc = low, hc[0]
+        for j in range(1, m + 1):
+            same = x[:, i - 1] == y[:, j - 1]
+            opened = up_h[j] - open_
+            e[j] = np.maximum(opened, up_e[j] - extend)
+            ec[j] = 1 + np.where(e[j] == opened, up_hc[j], up_ec[j])
+            opened = h[j - 1] - open_
+            f, was = np.maximum(opened, f - extend), fc
+            fc = 1 + np.where(f == opened, hc[j - 1], was)
+            diagonal = up_h[j - 1] + np.where(same, MATCH, MISMATCH)
+            h[j] = np.maximum(diagonal, np.maximum(e[j], f))
+            hc[j] = np.where(h[j] == diagonal, up_hc[j - 1] + ~same, np.where(h[j] == e[j], ec[j], fc))
+        up_h, up_e, up_hc, up_ec = h, e, hc, ec
+    return up_hc[m]
+
+
 @F.pandas_udf(IntegerType())
 def _affine(a: pd.Series, b: pd.Series, o: pd.Series, e: pd.Series) -> pd.Series:
-    out, known = [], {}
-    for x, y, g, h in zip(a, b, o, e):
-        if x is None or y is None:
-            out.append(None)
-        elif x == y:
-            out.append(0)
-        else:
-            if (x, y) not in known:
-                p, q = gotoh(x, y, g, h)
-                known[x, y] = sum(c != d for c, d in zip(p, q))
-            out.append(known[x, y])
-    return pd.Series(out, dtype="Int32")
+    out = np.full(len(a), -1, np.int64)
+    if len(a):
+        for at, x, y in _by_lengths(a, b):
+            differ = (x != y).any(axis=1) if x.shape == y.shape else np.ones(len(at), bool)
+            out[at] = 0
+            if differ.any():
+                both, back = np.unique(np.concatenate([x[differ], y[differ]], axis=1), axis=0, return_inverse=True)
+                out[at[differ]] = affine_columns(both[:, : x.shape[1]], both[:, x.shape[1] :], int(o.iloc[0]), int(e.iloc[0]))[back]
+    return pd.Series(pd.array(np.where(out < 0, 0, out), dtype="Int32")).mask(pd.Series(out < 0))
 
 
 def gap_affine(a, b, open_: int = 5, extend: int = 5) -> Column:
@@ -128,6 +157,30 @@ def all_distances(df: DataFrame, spacer: str = "spacer_seq", region: str = "regi
     return d.withColumn("has_indels", F.col("edit") != F.col("hamming"))
 
 
+def edit_alignment(a: str, b: str) -> tuple[str, str]:
+    """An alignment of least edit distance: both strings with ``-``. Ties: diagonal, then a gap in ``b``, then in ``a``."""
+    n, m = len(a), len(b)
+    d = [[i + j if not i * j else 0 for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            d[i][j] = min(d[i - 1][j - 1] + (a[i - 1] != b[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    i, j, top, bottom = n, m, [], []
+    while i or j:
+        if i and j and d[i][j] == d[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            top.append(a[i])
+            bottom.append(b[j])
+        elif i and d[i][j] == d[i - 1][j] + 1:
+            i -= 1
+            top.append(a[i])
+            bottom.append("-")
+        else:
+            j -= 1
+            top.append("-")
+            bottom.append(b[j])
+    return "".join(reversed(top)), "".join(reversed(bottom))
+
+
 def _render(a: str, b: str, metric: str) -> str:
     if metric == "hamming":
         n = max(len(a), len(b))
@@ -135,12 +188,12 @@ def _render(a: str, b: str, metric: str) -> str:
         wrong = lambda p: sum(x != y for x, y in zip(*p))
         top, bottom = right if wrong(right) < wrong(left) else left
     else:
-        top, bottom = gotoh(a, b, 5, 5) if metric == "gap_affine" else gotoh(a, b, 1, 1)
+        top, bottom = gotoh(a, b, 5, 5) if metric == "gap_affine" else edit_alignment(a, b)
     return "\n".join((top, "".join("|" if x == y else "." if "-" not in (x, y) else " " for x, y in zip(top, bottom)), bottom))
 
 
 def render_alignment(df: DataFrame, metric: str = "edit", spacer: str = "spacer_seq", region: str = "region_seq") -> DataFrame:
-    """Adds ``alignment``: spacer, match line and region, one under the other. Hamming pads the shorter with ``@`` on the better side (ties: left)."""
+    """Adds ``alignment``: spacer, match line and region, one under the other, row by row: for frames of examples. Hamming pads the shorter with ``@`` on the better side (ties: left)."""
 
     @F.pandas_udf(StringType())
     def draw(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 #: IUPAC codes and their complements (fixed values).
@@ -91,8 +91,7 @@ def kmer_counts(df: DataFrame, k: int, relative: bool = False, alphabet: str | N
         words = words.where(F.col("kmer").rlike(f"^[{alphabet}]{{{k}}}$"))
     out = words.groupBy(id, "kmer").agg(F.count("*").alias("n"))
     if relative:
-        total = words.groupBy(id).agg(F.count("*").alias("_total"))
-        out = out.join(total, id).withColumn("share", F.col("n") / F.col("_total")).drop("_total")
+        out = out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(id)))
     return out
 
 
@@ -139,25 +138,37 @@ def kmers_long(df: DataFrame, id: str = "seqid", ks=(3, 4, 5, 6)) -> DataFrame:
     return df.unpivot([id], cols, "_k", "n").select(id, F.regexp_extract("_k", r"(\d+)$", 1).cast("int").alias("k"), "n")
 
 
-def _dust_masked(seq: str, window: int, threshold: int) -> int:
-    """Bases in perfect low-complexity intervals by triplet scores (Morgulis et al., 2006); a score is 10 * sum(c(c-1)/2) / (l - 1)."""
-    s = seq.upper()
-    mask = np.zeros(len(s), bool)
-    n = len(s) - 2
-    for i in range(max(n, 0)):
-        seen, score = {}, 0
-        for j in range(i, min(n, i + window - 2)):
-            t = s[j : j + 3]
-            score += seen.get(t, 0)
-            seen[t] = seen.get(t, 0) + 1
-            if j > i and 10 * score > threshold * (j - i):
-                mask[i : j + 3] = True
-    return int(mask.sum())
+def dust_counts(seqs: list[str], window: int, threshold: int) -> np.ndarray:
+    """For each sequence the bases in perfect low-complexity intervals by triplet scores (Morgulis et al., 2006); a score is 10 * sum(c(c-1)/2) / (l - 1).
+
+    All sequences side by side: an interval of l triplets gains the pairs that its last triplet makes, which are comparisons at shifts below l.
+    """
+    seqs = [s.upper() for s in seqs]
+    size = np.array([len(s) for s in seqs], np.int64)
+    letters = np.frombuffer("".join(seqs).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    doc = np.repeat(np.arange(len(seqs)), size)
+    n = max(len(letters) - 2, 0)
+    triplet = letters[:n] << np.uint64(42) | letters[1 : n + 1] << np.uint64(21) | letters[2 : n + 2]
+    score, edge = np.zeros(n, np.int64), np.zeros(len(letters) + 1, np.int64)
+    for last in range(1, window - 2):
+        m = n - last
+        if m <= 0:
+            break
+        for d in range(1, last + 1):
+            score[:m] += triplet[last - d : last - d + m] == triplet[last : last + m]
+        low = np.flatnonzero((doc[:m] == doc[last + 2 : last + 2 + m]) & (10 * score[:m] > threshold * last))
+        edge[low] += 1
+        np.add.at(edge, low + last + 3, -1)
+    return np.bincount(doc, np.cumsum(edge)[:-1] > 0, len(seqs)).astype(np.int64)
 
 
 @F.pandas_udf(IntegerType())
 def _dust(seqs: pd.Series, window: pd.Series, threshold: pd.Series) -> pd.Series:
-    return pd.Series([None if s is None else _dust_masked(s, w, t) for s, w, t in zip(seqs, window, threshold)], dtype="Int32")
+    known = seqs.notna().to_numpy()
+    out = np.zeros(len(seqs), np.int64)
+    if known.any():
+        out[known] = dust_counts(list(seqs[known]), int(window.iloc[0]), int(threshold.iloc[0]))
+    return pd.Series(pd.array(out, dtype="Int32")).mask(pd.Series(~known))
 
 
 def dust_masked(seq, window: int = 9, threshold: int = 15) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from protospark.functions.sequence import _c
+from protospark.session import cut
 
 
 def parse_duration(text) -> Column:
@@ -89,8 +90,14 @@ def label_settings(df: DataFrame, rules: Sequence[tuple[str, float, str]], defau
 
 
 def scale_sizes(df: DataFrame, size: str = "size") -> DataFrame:
-    """Rank of each distinct size, and its logarithm scaled to 3 to 10 over all rows."""
-    sizes = df.select(size).distinct().withColumn("size_rank", F.dense_rank().over(Window.orderBy(size)))
+    """Rank of each distinct size, and its logarithm scaled to 3 to 10 over all rows.
+
+    Distinct sizes are dealt by range and ranked within each range; the ranges' counts add up to what comes before.
+    """
+    part = cut(df.select(size).distinct().repartitionByRange(size).withColumn("_part", F.spark_partition_id()))
+    before = part.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(size))
+    sizes = part.withColumn("_place", inside).join(F.broadcast(before), "_part").select(size, (F.col("_place") + F.col("_before")).cast("int").alias("size_rank"))
     ends = df.agg(F.log10(F.min(size)).alias("_a"), F.log10(F.max(size)).alias("_b"))
     scaled = 3 + 7 * F.coalesce(F.try_divide(F.log10(size) - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0))
     return df.join(sizes, size).crossJoin(F.broadcast(ends)).withColumn("scaled", scaled).drop("_a", "_b")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from protospark.session import cut
+
 
 def parse_reduction(value: float, total: int) -> int:
     """Rows to keep: a share if the value is in (0, 1], else a number."""
@@ -46,10 +48,23 @@ def stratified_sample(df: DataFrame, target: int, rank: str | None = "class", gc
     chosen = d.where("_taxon is not null").withColumn("_place", place).join(quota, "_taxon").where("_place <= _quota").select("seqid").withColumn("_first", F.lit(True))
     if not top_up:
         return df.join(chosen.drop("_first"), "seqid", "left_semi")
-    have = chosen.agg(F.count("*").alias("_have"))
-    rest = d.join(chosen, "seqid", "left_anti").select("seqid", "_order").orderBy("_order").limit(int(target))
-    rest = rest.withColumn("_place", F.row_number().over(Window.orderBy("_order"))).crossJoin(F.broadcast(have)).where(F.col("_place") + F.col("_have") <= target).select("seqid")
-    return df.join(chosen.select("seqid").union(rest), "seqid", "left_semi")
+    # hash prefixes are counted, so that one prefix alone has to be sorted
+    chosen = cut(chosen)
+    lacking = int(target) - chosen.count()
+    rest = cut(d.join(chosen, "seqid", "left_anti").select("seqid", "_order", F.substring("_order", 1, 4).alias("_prefix"))) if lacking > 0 else None
+    if rest is None:
+        return df.join(chosen.select("seqid"), "seqid", "left_semi")
+    full, taken = "", 0  # prefixes up to ``full`` are taken whole
+    edge = None
+    for prefix, n in rest.groupBy("_prefix").count().orderBy("_prefix").collect():  # 65,536 at most
+        if taken + n > lacking:
+            edge = prefix
+            break
+        full, taken = prefix, taken + n
+    more = rest.where(F.col("_prefix") <= full).select("seqid")
+    if edge is not None:
+        more = more.union(rest.where(F.col("_prefix") == edge).orderBy("_order", "seqid").limit(lacking - taken).select("seqid"))
+    return df.join(chosen.select("seqid").union(more), "seqid", "left_semi")
 
 
 def subset_summary(full: DataFrame, subset: DataFrame, rank: str = "class") -> DataFrame:

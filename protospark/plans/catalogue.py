@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from protospark.functions import distance as dist, sequence as seq
 from protospark.operators import agreement as ag, catalog as cat, classify as cl, joins as jo, resources as rs, sampling as sm, search
 from protospark.plans.views import view, with_views
+from protospark.session import own_dir
 from protospark.sources import readers as rd
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +29,7 @@ def query(name: str, *views: str, sql: str | None = None):
     return add
 
 
+_DUR = lambda c: f"(coalesce(nullif(regexp_extract({c}, '^(?:(\\d+)-)?(\\d+):(\\d+):(\\d+)$', 1), '')::bigint, 0) * 86400 + regexp_extract({c}, '(\\d+):(\\d+):(\\d+)$', 1)::bigint * 3600 + regexp_extract({c}, '(\\d+):(\\d+):(\\d+)$', 2)::bigint * 60 + regexp_extract({c}, '(\\d+):(\\d+):(\\d+)$', 3)::bigint)"
 HK = 'spacer_id, contig_id, start, "end", strand'
 GK = "spacer_id, contig_id, strand"
 
@@ -61,7 +64,7 @@ def _(s):
     return w.select("spacer_id", F.size("w").cast("long").alias("n"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query("lcc_windows_long", "fx_contigs")
+@query("lcc_windows_long", "fx_contigs", sql="with p as (select contig_id, length, unnest(string_split(seq, '')) ch, unnest(range(1, length + 1)) i from fx_contigs), w as (select contig_id, length, i, " + ", ".join(f"sum((ch = '{b}')::int) over x / 50.0::double {b.lower()}" for b in "ACGT") + " from p window x as (partition by contig_id order by i rows between current row and 49 following)), v as (select contig_id, -(" + " + ".join(f"case when {b} > 0 then {b} * log2({b}) / 2 else 0 end" for b in "acgt") + ") v from w where i <= length - 49) select contig_id, count(*)::int n, round(min(v), 6) least from v group by 1")
 def _(c):
     w = c.withColumn("w", seq.lcc_windows_long("seq", 50))
     return w.select("contig_id", F.size("w").alias("n"), F.round(F.array_min("w"), 6).alias("least"))
@@ -95,7 +98,7 @@ def _(s):
     return seq.filter_low_complexity(s).select("spacer_id")
 
 
-@query("dust_masked", "fx_spacers")
+@query("dust_masked", "fx_spacers", sql="with t as (select spacer_id, list_transform(range(1, length(seq) - 1), lambda i: substring(seq, i::int, 3)) t from fx_spacers), c as (select spacer_id, t, i, l, list_sum(list_transform(range(i, i + l), lambda p: len(list_filter(t[p + 1:i + l], lambda x: x = t[p])))) s from t, unnest(range(1, len(t) + 1)) r(i), unnest(range(1, 7)) q(l) where i + l <= len(t)), m as (select distinct spacer_id, unnest(range(i, i + l + 3)) p from c where 10 * s > 15 * l), n as (select spacer_id, count(*) k from m group by 1) select spacer_id, coalesce(k, 0)::int masked from fx_spacers left join n using (spacer_id)")
 def _(s):
     return s.select("spacer_id", seq.dust_masked("seq").alias("masked"))
 
@@ -124,16 +127,46 @@ def _(h, s, c):
     return dist.all_distances(d, affine=False).drop("spacer_seq", "region_seq")
 
 
-@query("gap_affine", "fx_truth", "fx_spacers", "fx_contigs")
+@query("gap_affine", "fx_truth", "fx_spacers", "fx_contigs", sql="select spacer_id, contig_id, mismatches gap_affine from fx_truth")
 def _(t, s, c):
+    """Truth has at most one substitution, and that is cheaper than gaps."""
     return jo.attach_sequences(t, s, c).select("spacer_id", "contig_id", dist.gap_affine("spacer_seq", "region_seq").alias("gap_affine"))
 
 
-@query("rendering", "fx_truth", "fx_spacers", "fx_contigs")
+_VARIANT = "(ascii(substring(seq, 1, 1)) + ascii(substring(seq, 2, 1))) % 4"
+
+
+def _variants(s):
+    """Spacers with two letters less, two or three letters more, or one letter changed, in their middle."""
+    told = "case {v} when 0 then concat(substring(seq, 1, 11), substring(seq, 14)) when 1 then concat(substring(seq, 1, 12), 'AC', substring(seq, 13)) when 2 then concat(substring(seq, 1, 12), 'GTG', substring(seq, 13)) else concat(substring(seq, 1, 12), translate(substring(seq, 13, 1), 'ACGT', 'TGCA'), substring(seq, 14)) end".format(v=_VARIANT)
+    return s.withColumn("other", F.expr(told))
+
+
+@query("gap_affine_gaps", "fx_spacers", sql=f"select spacer_id, case {_VARIANT} when 2 then 3 when 3 then 1 else 2 end::int gap_affine from fx_spacers")
+def _(s):
+    """As all letters of the shorter one match, the best alignment has as many gaps as the lengths differ by."""
+    return _variants(s).select("spacer_id", dist.gap_affine("seq", "other").alias("gap_affine"))
+
+
+@query("hamming_unequal", "fx_spacers", sql="select spacer_id, list_min(list_transform(range(1, length(seq) - 13), lambda i: hamming(substring(seq, 3, 15), substring(reverse(seq), i::int, 15))))::int hamming from fx_spacers")
+def _(s):
+    return s.select("spacer_id", dist.hamming(F.substring("seq", 3, 15), F.reverse("seq")).alias("hamming"))
+
+
+@query("rendering", "fx_truth", "fx_spacers", "fx_contigs", sql=f'with x as (select t.*, substring(c.seq, (start + 1)::int, ("end" - start)::int) r, s.seq sp from fx_truth t join fx_contigs c using (contig_id) join fx_spacers s using (spacer_id)), y as (select *, {_REG} rg from x) select spacer_id, contig_id, sp || chr(10) || array_to_string(list_transform(range(1, length(sp) + 1), lambda i: case when sp[i] = rg[i] then \'|\' else \'.\' end), \'\') || chr(10) || rg alignment from y')
 def _(t, s, c):
     return dist.render_alignment(jo.attach_sequences(t, s, c), "hamming").select("spacer_id", "contig_id", "alignment")
 
 
+@query("rendering_edit", "fx_spacers", sql=f"select spacer_id, case {_VARIANT} when 2 then 3 when 3 then 1 else 2 end::int n_different, true same_letters from fx_spacers")
+def _(s):
+    """The drawing has as many columns that differ as the edit distance is, and both strings' letters in order."""
+    line = lambda i: F.element_at(F.split("alignment", "\n"), i)
+    d = dist.render_alignment(_variants(s), "edit", "seq", "other")
+    same = (F.translate(line(1), "-", "") == F.col("seq")) & (F.translate(line(3), "-", "") == F.col("other"))
+    return d.select("spacer_id", (F.length(line(2)) - F.regexp_count(line(2), F.lit(r"\|"))).cast("int").alias("n_different"), same.alias("same_letters"))
+
+
 @query("verify_truth", "fx_truth", "fx_contigs", "fx_spacers", sql=f'with x as (select t.*, substring(c.seq, (start + 1)::int, ("end" - start)::int) r, s.seq sp from fx_truth t join fx_contigs c using (contig_id) join fx_spacers s using (spacer_id)), d as (select mismatches m, levenshtein(sp, {_REG}) e from x) select count(*) n, count(*) filter (m <> e) n_wrong, coalesce(count(*) filter (m <> e)::double / nullif(count(*), 0), 0) wrong_share, count(*) filter (m <> e) = 0 passed from d')
 def _(t, c, s):
     return cl.verify_truth(t, c, s)
@@ -208,6 +241,12 @@ def _(t, h, c, s):
     return cl.compare(t, h, c, s)
 
 
+@query("compare_with_timings", "fx_truth", "fx_hits", "fx_contigs", "fx_spacers", "fx_accounting", sql=_CLS + _PERF.replace(" select *, coalesce(2 * precision_planned", ", fin as (select *, coalesce(2 * precision_planned") + f"), tm as (select split_part(JobName, '_long', 1) tool, avg({_DUR('Elapsed')}) mean from fx_accounting group by 1) select tool, recall_planned, f1_augmented, round(mean, 6) mean from fin left join tm using (tool)")
+def _(t, h, c, s, a):
+    timings = a.groupBy(F.element_at(F.split("JobName", "_long"), 1).alias("tool")).agg(F.avg(rs.parse_duration("Elapsed")).alias("mean"))
+    return cl.compare(t, h, c, s, timings=timings).select("tool", "recall_planned", "f1_augmented", F.round("mean", 6).alias("mean"))
+
+
 @query("false_negatives", "fx_truth", "fx_hits", "fx_contigs", "fx_spacers", sql=_CLS + ' select t.spacer_id, t.contig_id, t.start, t."end", t.strand, t.mismatches, k.tool from fx_truth t cross join (select distinct tool from fx_hits) k where not exists (select 1 from cf where cf.tool = k.tool and cf.spacer_id = t.spacer_id and cf.contig_id = t.contig_id and cf.strand = t.strand and cf.start_gt = t.start and cf.end_gt = t."end")')
 def _(t, h, c, s):
     return cl.false_negatives(t, cl.classify(t, h, c, s))
@@ -218,6 +257,11 @@ def _(t, h, c, s):
     return cl.missed_by_all(t, cl.classify(t, h, c, s))
 
 
+@query("missed_by_two", "fx_truth", "fx_hits", "fx_contigs", "fx_spacers", sql=_CLS + ' select t.* from fx_truth t where not exists (select 1 from cf where cf.tool in (\'tool_0\', \'tool_1\') and cf.spacer_id = t.spacer_id and cf.contig_id = t.contig_id and cf.strand = t.strand and cf.start_gt = t.start and cf.end_gt = t."end")')
+def _(t, h, c, s):
+    return cl.missed_by_all(t, cl.classify(t, h.where("tool in ('tool_0', 'tool_1')"), c, s))
+
+
 @query("examples", "fx_truth", "fx_hits", "fx_contigs", "fx_spacers", sql=_CLS + f", l as (select classification, {HK}, string_agg(distinct tool, ',' order by tool) tools from cf group by all) select * from (select *, row_number() over (partition by classification order by {HK}) r from l) where r <= 3".replace("select * from (select *, row_number()", "select * exclude (r), r::int r from (select *, row_number()"))
 def _(t, h, c, s):
     return cl.examples(cl.classify(t, h, c, s), s, c).drop("spacer_seq", "region_seq", "alignment")
@@ -428,6 +472,15 @@ def _(c):
     return sm.stratified_sample(c, 300).select("seqid", "class", "length", "gc", "hq")
 
 
+_POOL = _QB.replace("with q as", "with pool as (select * from fx_catalog where hq), q as").replace("from fx_catalog)", "from pool)").replace("from fx_catalog)", "from pool)")
+
+
+@query("subsample", "fx_contigs", "fx_catalog", sql=_POOL + ", o as (select *, md5('42:' || seqid) ord from q), k as (select (count(*) * 0.2)::int k from pool), ce as (select class, count(*) n from (select distinct class, gc_bin, length_bin from o where class is not null) group by 1), qu as (select class, greatest(1, greatest(1, (select k from k) // (select count(*) from ce)) // n) quota from ce), f as (select seqid from (select seqid, quota, row_number() over (partition by class, gc_bin, length_bin order by ord) p from o join qu using (class)) where p <= quota), r as (select seqid from (select seqid, row_number() over (order by ord) p from o where seqid not in (select seqid from f)) where p + (select count(*) from f) <= (select k from k)) select p.seqid, p.class, p.length, c.length sequence_length from pool p left join fx_contigs c on c.contig_id = p.seqid where p.seqid in (select seqid from f union all select seqid from r)")
+def _(c, m):
+    seqs, meta = sm.subsample(c.withColumnRenamed("contig_id", "seqid"), m, 0.2)
+    return meta.join(seqs.select("seqid", F.col("length").alias("sequence_length")), "seqid", "left").select("seqid", "class", "length", "sequence_length")
+
+
 @query("subset_summary", "fx_catalog", sql="with s as (select * from fx_catalog where hq and ('0x' || substr(md5('7:' || seqid), 1, 8))::bigint / 4294967296.0 < 0.25), f as (select class, count(*) n_full from fx_catalog group by 1), g as (select class, count(*) n, min(length) min_length, max(length) max_length, min(gc) min_gc, max(gc) max_gc from s group by 1) select g.*, n_full, n::double / n_full ratio from g join f on g.class is not distinct from f.class")
 def _(c):
     return sm.subset_summary(c, sm.sample_hq(c, 0.25, 7))
@@ -479,7 +532,6 @@ def _(c):
 
 
 # accounting
-_DUR = lambda c: f"(coalesce(nullif(regexp_extract({c}, '^(?:(\\d+)-)?(\\d+):(\\d+):(\\d+)$', 1), '')::bigint, 0) * 86400 + regexp_extract({c}, '(\\d+):(\\d+):(\\d+)$', 1)::bigint * 3600 + regexp_extract({c}, '(\\d+):(\\d+):(\\d+)$', 2)::bigint * 60 + regexp_extract({c}, '(\\d+):(\\d+):(\\d+)$', 3)::bigint)"
 _JE = f"with d as (select *, split_part(JobID, '.', 1) job, {_DUR('Elapsed')} el, {_DUR('TotalCPU')} cp, rtrim(MaxRSS, 'K')::double / 1024 rss from fx_accounting), je as (select job, arg_min(JobName, JobID) name, max(AllocCPUS) cpus, string_agg(distinct State, ',' order by State) states, '0:0' exit_codes, max(rss) rss_mb, 256000.0::double req_mb, sum(el)::bigint elapsed_s, sum(cp)::bigint cpu_s from d group by 1 having not bool_or(State like '%CANCELLED%' or State like '%FAILED%'))"
 
 
@@ -603,7 +655,7 @@ def _(h):
 
 @query("query_fractions", "fx_intervals", sql="select fraction, tool, count(*) n, avg(mismatches) mean from fx_intervals group by 1, 2")
 def _(i):
-    return rd.query_fractions(i, "select fraction, tool, count(*) n, avg(mismatches) mean from fractions group by 1, 2")
+    return rd.query_fractions(i, "select fraction, tool, count(*) n, avg(mismatches) mean from {fractions} group by 1, 2")
 
 
 @query("parse_dataset_name", "fx_truth", sql="select distinct 's/ns_' || start || '_nc_' || \"end\" || '_x' as name, start ns, \"end\" nc from fx_truth")
@@ -613,7 +665,90 @@ def _(t):
     return d.select("name", ns.alias("ns"), nc.alias("nc"))
 
 
+# files: written to the shared folder, then read
+def _path(df: DataFrame, name: str) -> str:
+    return f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
+
+
+@query("fasta_file", "fx_contigs", sql="select contig_id seqid, md5(seq) seq from fx_contigs")
+def _(c):
+    path = _path(c, "contigs.fasta")
+    rd.write_fasta(c.select(F.col("contig_id").alias("seqid"), "seq"), path)
+    return rd.read_fasta(c.sparkSession, path).withColumn("seq", F.md5(F.col("seq").cast("binary")))
+
+
+def _sassy_rows(h):
+    return h.select(F.col("spacer_id").alias("pat_id"), F.col("contig_id").alias("text_id"), F.col("mismatches").alias("cost"), F.when(F.col("strand"), "-").otherwise("+").alias("strand"), "start", "end", F.lit("ACGT").alias("match_region"), F.concat("spacer_length", F.lit("=")).alias("cigar"))
+
+
+def _tab_rows(h):
+    return h.select("contig_id", "spacer_id", "start", "end", F.when(F.col("strand"), "-").otherwise("+").alias("strand"))
+
+
+@query("read_all_tools", "fx_hits", "fx_spacers", sql=f'with l as ({_LEN}), x as (select spacer_id, contig_id, length::int spacer_length, strand, start, "end", mismatches, \'sassy\' tool from fx_hits join l using (spacer_id) where mismatches <= 3 union select spacer_id, contig_id, length::int, strand, start, start + spacer_length, (length - spacer_length + mismatches)::int, \'sam\' from fx_hits join l using (spacer_id) where mismatches <= 3 and length - spacer_length + mismatches between 0 and 3 union select spacer_id, contig_id, length::int, strand, start, "end", 0, \'tab\' from fx_hits join l using (spacer_id)) select * from x')
+def _(h, s):
+    spark = h.sparkSession
+    sassy, sam, tab = (_path(h, n) for n in ("sassy", "sam", "tab"))
+    rd.save(_sassy_rows(h), sassy, "tsv")
+    _sam(h).write.text(sam)
+    _tab_rows(h).write.csv(tab, sep="\t")
+    specs = [("sassy", "sassy", sassy), ("sam", "sam", sam), ("tab", "tab", tab), ("missing", "blast", _path(h, "none"))]
+    return rd.read_all_tools(spark, specs, _lengths(s), 3)
+
+
+@query("metadata_file", "fx_catalog", sql="select seqid, length, gc, hq from fx_catalog")
+def _(c):
+    path = _path(c, "catalog.tsv")
+    rd.save(c.select("seqid", "length", "gc", "hq"), path, "tsv")
+    return rd.read_metadata(c.sparkSession, path, schema="seqid string, length long, gc double, hq boolean")
+
+
+@query("load_fractions", "fx_intervals", sql="select (fraction / 10.0)::double fraction, tool, count(*) n from fx_intervals group by 1, 2")
+def _(i):
+    paths = {f / 10: _path(i, f"fraction_{f}.parquet") for f in range(3)}
+    for f, path in paths.items():
+        rd.save(i.where(F.col("fraction") == round(10 * f)).drop("fraction"), path)
+    return rd.load_fractions(i.sparkSession, {**paths, 0.9: _path(i, "none.parquet")}).groupBy("fraction", "tool").agg(F.count("*").alias("n"))
+
+
+@query("timings_file", "fx_accounting", sql=f"select round(avg({_DUR('Elapsed')}), 6) mean, 0.0::double stddev, 'run' command from fx_accounting group by AllocCPUS")
+def _(a):
+    path = _path(a, "timings")
+    runs = a.groupBy("AllocCPUS").agg(F.array(F.struct(F.round(F.avg(rs.parse_duration("Elapsed")), 6).alias("mean"), F.lit(None).cast("double").alias("stddev"), F.lit("run").alias("command"))).alias("results")).select("results")
+    runs.repartition(8).write.option("maxRecordsPerFile", 1).json(path)  # a file for each run
+    return rd.read_timings(a.sparkSession, [path]).select("mean", "stddev", "command")
+
+
+@query("accounting_file", "fx_accounting", sql=_JE + " select *, round(100 * cpu_s / nullif(elapsed_s * cpus, 0)::double, 2) cpu_pct, round(100 * rss_mb / req_mb, 2) mem_pct from je")
+def _(a):
+    path = _path(a, "accounting")
+    a.write.csv(path, sep="|", header=True)
+    return rs.job_efficiency(rd.read_accounting(a.sparkSession, path))
+
+
+@query("read_sam_clips", "fx_hits", "fx_spacers", sql=f"select distinct spacer_id, contig_id, length::int spacer_length, strand, start, start + spacer_length - 1 \"end\", (length - spacer_length + mismatches + 4)::int mismatches from fx_hits join ({_LEN}) using (spacer_id) where length - spacer_length + mismatches + 4 between 0 and 6 and mismatches + 2 <= 6")
+def _(h, s):
+    """Two letters clipped, one letter of the contig skipped."""
+    cigar = F.concat(F.lit("2S"), F.col("spacer_length") - 5, F.lit("M1D3M"))
+    lines = h.select(F.concat_ws("\t", "spacer_id", F.when(F.col("strand"), "16").otherwise("0"), "contig_id", F.col("start") + 1, F.lit("60"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.lit("AS:i:9"), F.concat(F.lit("NM:i:"), "mismatches")).alias("value"))
+    return rd.hits_of_sam(lines, _lengths(s), 6)
+
+
+@query("read_blast_gaps", "fx_hits", "fx_spacers", sql=f'select distinct spacer_id, contig_id, length::int spacer_length, strand, start, "end", (mismatches + start % 2)::int mismatches from fx_hits join ({_LEN}) using (spacer_id) where mismatches + start % 2 <= 4')
+def _(h, s):
+    """Gaps in rows of odd starts, queries that run backwards in the others."""
+    n, m, odd = F.col("spacer_length"), F.col("mismatches"), F.col("start") % 2
+    a, b = F.col("start") + 1, F.col("end")
+    low, high = F.when(F.col("strand"), b).otherwise(a), F.when(F.col("strand"), a).otherwise(b)
+    rows = h.select(F.col("spacer_id").alias("query"), F.col("contig_id").alias("target"), (n - m).alias("nident"), n.alias("alnlen"), m.alias("mismatch"), n.alias("qlen"), odd.cast("int").alias("gapopen"), F.when(odd == 1, 1).otherwise(n).alias("qstart"), F.when(odd == 1, n).otherwise(1).alias("qend"), F.when(odd == 1, low).otherwise(high).alias("tstart"), F.when(odd == 1, high).otherwise(low).alias("tend"))
+    return rd.hits_of_blast(rows, _lengths(s), 4)
+
+
 # search
-@query("protospacer_search", "fx_spacers", "fx_contigs")
+#: The same pigeonhole as a join: whole pieces of each spacer and strand with all words of the contigs.
+_SEARCH = "with n0 as (select distinct seq from fx_spacers where length(seq) > 3), n1 as (select seq, false strand, seq x from n0 union all select seq, true, reverse(translate(seq, 'ACGT', 'TGCA')) from n0), p as (select *, length(x) // 4 q, (j * length(x)) // 4 off from n1, (values (0), (1), (2), (3)) v(j)), n as (select *, substring(x, off::int + 1, q::int) word from p), c as (select contig_id, seq cseq, length, unnest(range(0, length)) pos from fx_contigs), w as (select contig_id, pos, q, substring(cseq, pos::int + 1, q::int) word, substring(cseq, greatest(pos - 40, 0)::int + 1, 90) around, greatest(pos - 40, 0) base, length from c, (select distinct q from p) z where pos + q <= length), m as (select n.seq, n.strand, w.contig_id, w.pos - n.off s, length(n.x) l, hamming(substring(around, (w.pos - n.off - base + 1)::int, length(n.x)::int), n.x) d from w join n using (q, word) where w.pos >= n.off and w.pos - n.off + length(n.x) <= w.length), h as (select distinct seq, strand, contig_id, s, l, d from m where d <= 3) select spacer_id, contig_id, s start, s + l \"end\", strand, d::int mismatches from h join fx_spacers using (seq)"
+
+
+@query("protospacer_search", "fx_spacers", "fx_contigs", sql=_SEARCH)
 def _(s, c):
     return search.protospacer_search(s, c, 3)

@@ -136,12 +136,12 @@ def read_ground_truth(spark: SparkSession, path: str, max_mismatches: int = 5) -
     return truth_of(rows, max_mismatches)
 
 
-def read_metadata(spark: SparkSession, path: str, required: Sequence[str] = ("seqid", "length", "gc")) -> DataFrame:
-    """Parquet, CSV or TSV by the path's ending."""
+def read_metadata(spark: SparkSession, path: str, required: Sequence[str] = ("seqid", "length", "gc"), schema: str | None = None) -> DataFrame:
+    """Parquet, CSV or TSV by the path's ending. With a schema, text tables are read once; without, once more to find the types."""
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
-        df = spark.read.csv(path, sep="\t" if ".tsv" in path else ",", header=True, inferSchema=True)
+        df = spark.read.csv(path, sep="\t" if ".tsv" in path else ",", header=True, schema=schema, inferSchema=None if schema else True)
     if lacking := [c for c in required if c not in df.columns]:
         raise ValueError(f"{path} lacks {', '.join(lacking)}")
     return df
@@ -164,10 +164,9 @@ def load_fractions(spark: SparkSession, paths: Mapping[float, str]) -> DataFrame
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def query_fractions(fractions: DataFrame, sql: str, out: str | None = None, view: str = "fractions") -> DataFrame:
-    """SQL over the fractions as a view; saved as Parquet if ``out`` is given."""
-    fractions.createOrReplaceTempView(view)
-    df = fractions.sparkSession.sql(sql)
+def query_fractions(fractions: DataFrame, sql: str, out: str | None = None) -> DataFrame:
+    """SQL over the table ``{fractions}`` (braces are part of the SQL's text); saved as Parquet if ``out`` is given. No view is left behind."""
+    df = fractions.sparkSession.sql(sql, fractions=fractions)
     if out:
         save(df, out)
     return df

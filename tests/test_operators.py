@@ -49,6 +49,56 @@ def test_distances(spark):
     assert (top, bottom) == ("ACGTACGT", "ACGT-CGT")
 
 
+def test_alignments_with_gaps_against_plain_versions(spark):
+    rng = random.Random(13)
+    word = lambda a, b: "".join(rng.choices("ACGT", k=rng.randint(a, b)))
+    pairs = [(a := word(5, 14), a[:3] + a[rng.randint(4, 5):] + word(0, 3)) for _ in range(40)] + [(word(0, 9), word(0, 9)) for _ in range(80)] + [(None, "A"), ("A", None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for open_, extend in ((5, 5), (10, 1), (3, 2)):
+        for a, b, g in df.select("a", "b", dist.gap_affine("a", "b", open_, extend)).collect():
+            assert g == (None if a is None or b is None else sum(p != q for p, q in zip(*dist.gotoh(a, b, open_, extend))))
+    for a, b, e in df.where("a is not null and b is not null").select("a", "b", F.levenshtein("a", "b")).collect():
+        top, bottom = dist.edit_alignment(a, b)
+        assert sum(p != q for p, q in zip(top, bottom)) == e and top.replace("-", "") == a and bottom.replace("-", "") == b
+    assert dist.edit_alignment("ACGTACGT", "AGGTACGT") == ("ACGTACGT", "AGGTACGT")
+
+
+def test_dust_against_a_plain_loop(spark):
+    def plain(s, window, threshold):
+        s, n, mask = s.upper(), len(s) - 2, [False] * len(s)
+        for i in range(max(n, 0)):
+            seen, score = {}, 0
+            for j in range(i, min(n, i + window - 2)):
+                t = s[j : j + 3]
+                score += seen.get(t, 0)
+                seen[t] = seen.get(t, 0) + 1
+                if j > i and 10 * score > threshold * (j - i):
+                    mask[i : j + 3] = [True] * (j + 3 - i)
+        return sum(mask)
+
+    rng = random.Random(17)
+    seqs = ["", "A", "AAAA", "acgtacgtacgt", "é" * 9] + ["".join(rng.choices("ACG", [6, 2, 1], k=rng.randint(3, 60))) for _ in range(60)]
+    df = spark.createDataFrame([(s,) for s in [*seqs, None]], "s string")
+    for window, threshold in ((9, 15), (9, 5), (20, 20)):
+        for s, got in df.select("s", seq.dust_masked("s", window, threshold)).collect():
+            assert got == (None if s is None else plain(s, window, threshold))
+
+
+def test_search_in_parts_and_with_repeats(spark, monkeypatch):
+    """Several shards and blocks, equal spacers and contigs, letters that match nothing, spacers longer than a word of 32 letters."""
+    rng = random.Random(19)
+    contigs = [(f"c{i}", "".join(rng.choices("ACGTN", [8, 8, 8, 8, 1], k=n))) for i, n in enumerate((900, 500, 90, 0))]
+    contigs += [("c0", contigs[0][1]), ("none", None)]
+    spacers = [(f"s{i}", contigs[i % 2][1][a : a + n]) for i, (a, n) in enumerate(((0, 30), (470, 30), (200, 75), (200, 75), (820, 80), (333, 41)))] + [("short", "ACG"), ("null", None)]
+    flip = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = sorted((s, c, i, i + len(q), strand, d) for s, q in spacers if q and len(q) > 3 for strand, x in ((False, q), (True, flip(q))) for c, t in contigs if t for i in range(len(t) - len(q) + 1) if (d := sum(a != b or a == "N" or b == "N" for a, b in zip(x, t[i : i + len(q)]))) <= 3)
+    monkeypatch.setattr(search, "SHARD", 2)
+    monkeypatch.setattr(search, "BLOCK", 128)
+    monkeypatch.setattr(search, "CANDIDATES", 64)
+    got = search.protospacer_search(spark.createDataFrame(spacers, "spacer_id string, seq string"), spark.createDataFrame(contigs, "contig_id string, seq string"), 3)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 4
+
+
 def test_worked_example_of_three_tools(spark):
     sp, ct = "s_10034", "c_1828"
     truth = spark.createDataFrame([(sp, ct, 5001, 5036, True, 1)], TRUTH)
