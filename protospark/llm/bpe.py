@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
 import mmap
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from protospark.llm.common import batches, cut, table
+from protospark.llm.text import raw
 
 #: Words that the transducer holds at most (the most frequent of the corpus), and characters of each.
 LEXICON, WORD_CHARS = 1 << 16, 64
-#: Distinct pieces that a worker remembers or counts at once at most, and their characters.
-CACHE, CACHE_CHARS = 1 << 19, 1 << 24
+#: Characters of consecutive texts that a worker takes at once.
+RUN_CHARS = 1 << 23
 #: Words of more bytes are merged by a heap of pairs.
 LONG = 48
 #: The split pattern of the byte-level vocabularies (fixed value).
@@ -33,11 +33,59 @@ _SPLIT = regex.compile(PATTERN)
 #: A space before a visible character always begins a word, so texts may be cut there, and each piece split by itself.
 _SPACE = re.compile(r" (?=\S)")
 _WIDE = re.compile(r" (?:\s|$)")
+#: Marks the cuts; a text that has it is cut in Python.
+_MARK = "\uf8ff"
+#: Pieces that are one word for certain.
+_ONE_WORD = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
 
 def pieces(text: str) -> list[str]:
-    """``text`` cut before each space that a visible character follows; all pieces but the first have lost that space."""
-    return _SPACE.split(text) if _WIDE.search(text) else text.split(" ")
+    """``text`` cut before each space that a visible character follows."""
+    head, *rest = _SPACE.split(text)
+    return [head, *(" " + p for p in rest)] if head else [" " + p for p in rest]
+
+
+def cut_texts(texts: list[str], vocab: Vocabulary | None = None) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts, flat, and where each text's begin; with a vocabulary, its special strings are pieces of their own."""
+    special = vocab.special if vocab else {}
+    plain = [not (_WIDE.search(t) or _MARK in t or any(s in t for s in special)) for t in texts]
+    fast = pa.array([t if ok else "" for t, ok in zip(texts, plain, strict=True)], pa.large_string())
+    lists = pc.split_pattern(pc.replace_substring(fast, " ", _MARK + " "), _MARK)
+    flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    full = pc.greater(pc.binary_length(flat), 0)
+    doc = np.repeat(np.arange(len(texts)), size)[full.to_numpy(zero_copy_only=False)]
+    flat, size = flat.filter(full), np.bincount(doc, minlength=len(texts))
+    if not all(plain):
+        more = {}
+        for i in (i for i, ok in enumerate(plain) if not ok):
+            parts = vocab.cut.split(texts[i]) if vocab and vocab.cut else [texts[i]]
+            more[i] = [x for p in parts if p for x in ([p] if p in special else pieces(p))]
+        slow = pa.array([x for xs in more.values() for x in xs], pa.large_string())
+        owner = np.r_[doc, np.repeat(np.fromiter(more, np.int64), [len(xs) for xs in more.values()])]
+        flat = pa.concat_arrays([flat.cast(pa.large_string()), slow]).take(pa.array(np.argsort(owner, kind="stable")))
+        size = np.bincount(owner, minlength=len(texts))
+    return flat.cast(pa.large_string()), np.r_[0, np.cumsum(size)]
+
+
+def split_pieces(distinct: pa.Array, special=()) -> tuple[pa.Array, np.ndarray]:
+    """The words of distinct pieces, flat, and how many each has."""
+    one = pc.match_substring_regex(distinct, _ONE_WORD).to_numpy(zero_copy_only=False)
+    rest = [[p] if p in special else _SPLIT.findall(p) for p in distinct.filter(pa.array(~one)).to_pylist()]
+    n = np.ones(len(distinct), np.int64)
+    n[~one] = [len(ws) for ws in rest]
+    words = pa.concat_arrays([distinct.filter(pa.array(one)), pa.array(list(chain.from_iterable(rest)), pa.large_string())])
+    owner = np.repeat(np.r_[np.flatnonzero(one), np.flatnonzero(~one)], np.r_[n[one], n[~one]])
+    return words.take(pa.array(np.argsort(owner, kind="stable"))), n
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``start[0], start[0] + 1, ...``: ``n`` numbers from each start."""
+    end = np.cumsum(n)
+    return np.repeat(start - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)
+
+
+def _joined(values: pa.Array, begin: np.ndarray, by: str | bytes) -> pa.Array:
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(begin, pa.int64()), values), pa.scalar(by, values.type))
 
 
 def byte_chars() -> dict[str, int]:
@@ -70,14 +118,26 @@ class Vocabulary:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        return self.encode_words([word])[0]
+        return tuple(self.encode_words([word])[0].tolist())
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Merge by rank, leftmost first, until no pair merges; all words of up to ``LONG`` bytes step together."""
-        out: list = [self._merge_long([self.single[b] for b in w]) if len(w) > LONG else () for w in words]
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, flat; how many each has): merged by rank, leftmost first, until no pair merges.
+
+        All words of up to ``LONG`` bytes step together.
+        """
         some = [i for i, w in enumerate(words) if 0 < len(w) <= LONG]
+        long = {i: self._merge_long([self.single[b] for b in w]) for i, w in enumerate(words) if len(w) > LONG}
+        flat = [np.fromiter(chain.from_iterable(long.values()), np.int64)]
+        owner = [np.repeat(np.fromiter(long, np.int64, len(long)), [len(x) for x in long.values()])]
+        flat += (short := self._merge_short(words, some))[0]
+        owner += short[1]
+        flat, owner = np.concatenate(flat), np.concatenate(owner).astype(np.int64)
+        return flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+    def _merge_short(self, words: list[bytes], some: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         if not some:
-            return out
+            return [], []
+        out_flat, out_owner, name = [], [], np.array(some)
         size = np.fromiter((len(words[i]) for i in some), np.int64, len(some))
         ids = np.array(self.single, np.int64)[np.frombuffer(b"".join(words[i] for i in some), np.uint8)]
         word = np.repeat(np.arange(len(some)), size)
@@ -99,10 +159,8 @@ class Vocabulary:
             done = best >> 32 == none
             if done.any():
                 over = np.repeat(done, np.diff(np.r_[begin, len(ids)]))
-                cuts = np.flatnonzero(np.r_[True, word[over][1:] != word[over][:-1]])
-                flat = ids[over].tolist()
-                for w, x, y in zip(word[over][cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(flat)]):
-                    out[some[w]] = tuple(flat[x:y])
+                out_flat.append(ids[over])
+                out_owner.append(name[word[over]])
                 shift = np.cumsum(over)
                 best = best[~done]
                 best = best - shift[best & 0xFFFFFFFF]
@@ -118,7 +176,7 @@ class Vocabulary:
             rank[at] = np.where(last[at], none, ranks(ids[at], ids[np.minimum(at + 1, len(ids) - 1)]))
             left = at[(at > 0) & (word[np.maximum(at - 1, 0)] == word[at])] - 1
             rank[left] = ranks(ids[left], ids[left + 1])
-        return out
+        return out_flat, out_owner
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a heap of (rank, place) over a linked list: a word of n bytes takes n log n steps."""
@@ -141,17 +199,11 @@ class Vocabulary:
                 heapq.heappush(heap, (merge[p][0], h, p))
         return tuple(x for x in ids if x >= 0)
 
-    def words(self, text: str) -> list[str]:
-        """Words and special strings in order; a special string is a word of its own."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return _SPLIT.findall(text)
-        return [w for part in self.cut.split(text) if part for w in ([part] if part in self.special else _SPLIT.findall(part))]
-
 
-def compile_lexicon(words: list[bytes], rows: list[tuple[int, ...]]) -> bytes:
+def compile_lexicon(words: list[bytes], ids: np.ndarray, n: np.ndarray) -> bytes:
     """The minimal acyclic transducer of sorted distinct ``words``: states share suffixes, arcs carry numbers.
 
-    The numbers on a word's path add up to its row, and ``rows`` (token ids) follow the automaton. Built in one pass
+    The numbers on a word's path add up to its row, and the words' token ids (``ids``, flat; ``n`` of each) follow the automaton. Built in one pass
     over the sorted words: what the next word doesn't share is frozen, and equal frozen states become one.
     """
     register: dict[tuple, int] = {}
@@ -194,9 +246,7 @@ def compile_lexicon(words: list[bytes], rows: list[tuple[int, ...]]) -> bytes:
             i += 1
     # arcs of a state lie together in order of their labels: (state, label) is sorted
     key = np.repeat(np.arange(len(arcs), dtype=np.int64), sizes) * 256 + label
-    lengths = np.zeros(len(rows) + 1, np.int64)
-    lengths[1:] = np.cumsum([len(r) for r in rows])
-    ids = np.fromiter(chain.from_iterable(rows), np.int64)
+    lengths = np.r_[0, np.cumsum(n)]
     parts = [key, to, add, np.array(finals, np.int64), lengths, ids]
     kinds = [np.int64, *[np.int32] * 5]
     return np.array([root, *map(len, parts)], np.int64).tobytes() + b"".join(p.astype(k).tobytes() for p, k in zip(parts, kinds, strict=True))
@@ -215,12 +265,9 @@ class Lexicon:
             at += n * np.dtype(kind).itemsize
         self.key, self.to, self.add, self.final, self.lengths, self.ids = parts
 
-    def rows(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
-        """Token ids of each word that the transducer accepts, all words stepping together."""
-        data = np.frombuffer(b"".join(words), np.uint8)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        begin = np.cumsum(size) - size
-        state, row, live = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64), np.arange(len(words))
+    def rows(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The row of each word (``size`` bytes of ``data`` from ``begin`` on) that the transducer accepts, or -1; all words step together."""
+        state, row, live = np.full(len(size), self.root, np.int64), np.zeros(len(size), np.int64), np.arange(len(size))
         for t in range(int(size.max(initial=0))):
             live = live[size[live] > t]
             if not len(live) or not len(self.key):
@@ -233,39 +280,28 @@ class Lexicon:
             row[live] += self.add[arc]
             state[live] = self.to[arc]
         found = (state >= 0) & (self.final[np.maximum(state, 0)] > 0) & (size > 0)
-        if not len(self.key):
-            found[:] = False
-        return [tuple(self.ids[self.lengths[r] : self.lengths[r + 1]].tolist()) if f else None for f, r in zip(found.tolist(), row.tolist())]
+        return np.where(found & (len(self.key) > 0), row, -1)
 
 
-def _count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of a task: pieces are counted first, and words in their distinct ones."""
-    seen: Counter = Counter()
-    first: Counter = Counter()
-    chars = 0
-
-    def out():
-        n: Counter = Counter()
-        for counter, space in ((seen, " "), (first, "")):
-            for piece, k in counter.items():
-                for w in (space + piece,) if piece.isalpha() else _SPLIT.findall(space + piece):
-                    n[w] += k
-        words = [w for w in n if len(w) <= WORD_CHARS]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[w] for w in words], pa.int64())], ["word", "n"])
-
+def _runs(batches_: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(the first column, texts) of consecutive rows with about ``RUN_CHARS`` characters together; a null text is empty."""
     for batch in batches_:
-        for text in batch.column(0).to_pylist():
-            if text:
-                head, *rest = pieces(text)
-                first[head] += 1
-                seen.update(rest)
-                chars += len(text)
-            if chars > CACHE_CHARS:
-                chars = 0
-                if len(seen) + len(first) > CACHE or sum(map(len, seen)) + sum(map(len, first)) > CACHE_CHARS:
-                    yield out()
-                    seen, first = Counter(), Counter()
-    yield out()
+        texts = [t or "" for t in batch.column(column).to_pylist()]
+        at = np.cumsum([0, *map(len, texts)]) // RUN_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield batch.column(0).slice(a, b - a), texts[a:b]
+
+
+def _count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of runs of texts: pieces are counted first, and words in their distinct ones. Spark adds up a task's rows before the shuffle."""
+    for _, texts in _runs(batches_, 0):
+        seen = cut_texts(texts)[0].value_counts()
+        words, n = split_pieces(seen.field("values"))
+        n = np.repeat(seen.field("counts").to_numpy(), n)
+        short = pc.less_equal(pc.utf8_length(words), WORD_CHARS)
+        yield pa.RecordBatch.from_arrays([words.filter(short).cast(pa.string()), pa.array(n).filter(short)], ["word", "n"])
 
 
 def _on_this_machine(name: str, body) -> str:
@@ -279,95 +315,82 @@ def _on_this_machine(name: str, body) -> str:
 
 
 class _Codec:
-    """Encoded and decoded pieces, remembered: a piece's token count, its ids (or their digits), and the bytes its ids decode to."""
+    """Encodes runs of texts: their distinct pieces, and these pieces' distinct words, are encoded once each."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, emit: str):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon):
         self.vocab, self.lexicon = vocab, lexicon
-        digits = [str(i) for i in range(max(vocab.bytes, default=-1) + 1)]
-        self.join = tuple if emit == "ids" else lambda ids: ",".join(map(digits.__getitem__, ids))
-        self.special = {s: self.entry((i,)) for s, i in vocab.special.items()}
-        self.known: tuple[dict[str, tuple], dict[str, tuple]] = ({}, {})  # pieces at the beginning of a part, and after a space
-        self.chars = 0
-
-    def entry(self, ids: tuple[int, ...]) -> tuple:
-        return len(ids), self.join(ids), b"".join(map(self.vocab.bytes.__getitem__, ids))
-
-    def learn(self, new: tuple[set[str], set[str]]) -> None:
-        # letters only are one word
-        split = [{p: [space + p] if p.isalpha() else _SPLIT.findall(space + p) for p in ps} for ps, space in zip(new, ("", " "), strict=True)]
-        words = list(set(chain.from_iterable(ws for of in split for ws in of.values())))
-        raw = [w.encode() for w in words]
-        told = self.lexicon.rows(raw)
-        unseen = [i for i, ids in enumerate(told) if ids is None]
-        for i, ids in zip(unseen, self.vocab.encode_words([raw[i] for i in unseen]), strict=True):
-            told[i] = ids
-        of_word = dict(zip(words, told, strict=True))
-        for known, of in zip(self.known, split, strict=True):
-            for p, ws in of.items():
-                known[p] = self.entry(of_word[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(of_word.__getitem__, ws))))
-                self.chars += len(p)
-
-    def tokens(self, texts: list[str]) -> Iterator[list[tuple]]:
-        """For each text an entry for each piece and each special string, in order."""
-        cut, parts = self.vocab.cut, []
-        new: tuple[set[str], set[str]] = (set(), set())
-        for text in texts:
-            some = [text] if cut is None or not any(s in text for s in self.special) else cut.split(text)
-            parts.append([p if p in self.special else pieces(p) for p in some if p])
-            for p in parts[-1]:
-                if type(p) is list:
-                    new[0].add(p[0])
-                    new[1].update(p[1:])
-        if self.chars > CACHE_CHARS or sum(map(len, self.known)) > CACHE:
-            self.known, self.chars = ({}, {}), 0
-        self.learn(tuple(n - k.keys() for n, k in zip(new, self.known, strict=True)))
-        first, rest = self.known
-        for some in parts:
-            out: list[tuple] = []
-            for p in some:
-                if type(p) is list:
-                    if p[0]:
-                        out.append(first[p[0]])
-                    out.extend(map(rest.__getitem__, p[1:]))
-                else:
-                    out.append(self.special[p])
-            yield out
-
-
-def _runs(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
-    """Consecutive texts of about so many characters together."""
-    run, n = [], 0
-    for t in texts:
-        run.append(t or "")
-        n += len(run[-1])
-        if n >= chars:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
+        most = max(vocab.bytes, default=-1) + 1
+        self.digits = pa.array([str(i) for i in range(most)], pa.large_string())
+        self.raw = pa.array([vocab.bytes.get(i, b"") for i in range(most)], pa.large_binary())
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids somewhere in an array, and for each word where its own begin and how many they are."""
+        data, offs = raw(words)
+        row = self.lexicon.rows(data, offs[:-1], np.diff(offs))
+        unseen = np.flatnonzero(row < 0)
+        body = data.tobytes()
+        told = [body[offs[i] : offs[i + 1]] for i in unseen.tolist()]
+        special = {s.encode(): i for s, i in self.vocab.special.items()}
+        ids, n = self.vocab.encode_words(told)
+        start = np.zeros(len(row), np.int64)
+        count = start.copy()
+        known = np.maximum(row, 0)
+        if (row >= 0).any():
+            start, count = self.lexicon.lengths[known].astype(np.int64), np.diff(self.lexicon.lengths)[known].astype(np.int64)
+        start[unseen], count[unseen] = len(self.lexicon.ids) + np.cumsum(n) - n, n
+        ids = np.r_[self.lexicon.ids, ids]
+        for i, w in zip(unseen.tolist(), told, strict=True):
+            if w in special:
+                start[i], count[i] = len(ids), 1
+                ids = np.r_[ids, special[w]]
+        return ids, start, count
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct pieces and where each one's begin, the texts' pieces and where each text's begin, and the texts' token counts."""
+        flat, doc_begin = cut_texts(texts, self.vocab)
+        pieces_ = flat.dictionary_encode()
+        words, n_words = split_pieces(pieces_.dictionary, self.vocab.special)
+        words = words.dictionary_encode()
+        ids, start, count = self.words(words.dictionary)
+        word = words.indices.to_numpy()
+        ids = ids[_ranges(start[word], count[word])]
+        ends = np.r_[0, np.cumsum(count[word])]
+        piece_begin = ends[np.r_[0, np.cumsum(n_words)]]
+        piece = pieces_.indices.to_numpy()
+        total = np.r_[0, np.cumsum(np.diff(piece_begin)[piece])]
+        return ids, piece_begin, piece, doc_begin, np.diff(total[doc_begin])
+
+    def digests(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[str]]:
+        """Token counts, and digests of the ids and of the text that they decode to."""
+        ids, piece_begin, piece, doc_begin, n = self.encode(texts)
+        at, take = pa.array(ids), pa.array(piece)
+        out = []
+        for of_id, by in ((self.digits, ","), (self.raw, b"")):
+            of_piece = _joined(of_id.take(at), piece_begin, by)
+            out.append(_joined(of_piece.take(take), doc_begin, by))
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        return n, [sha(x.as_buffer()) for x in out[0]], [sha(bytes(x.as_buffer()).decode("utf-8", "replace").encode()) for x in out[1]]
+
+    def lists(self, texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+        """Token counts and ids."""
+        ids, piece_begin, piece, doc_begin, n = self.encode(texts)
+        size = np.diff(piece_begin)[piece]
+        flat = ids[_ranges(piece_begin[piece], size)]
+        return n, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
 def _codec(path: str, name: str, body, emit: str):
     """``emit``: ``digests`` or ``ids``."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of small tuples, none in cycles
-        try:
-            codec = _Codec(Vocabulary(path), Lexicon(_on_this_machine(name, body)), emit)
-            for batch in batches_:
-                n, ids_of, sha = [], [], []
-                for got in chain.from_iterable(map(codec.tokens, _runs(batch.column(1).to_pylist()))):
-                    counts, ids, raw = zip(*got, strict=True) if got else ((), (), ())
-                    n.append(sum(counts))
-                    if emit == "ids":
-                        ids_of.append(list(chain.from_iterable(ids)))
-                        continue
-                    ids_of.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                    sha.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
-                out = [pa.array(ids_of, pa.list_(pa.int32()))] if emit == "ids" else [pa.array(ids_of, pa.string()), pa.array(sha, pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *out], ["doc_id", "n_tokens", *(["ids"] if emit == "ids" else ["ids_sha256", "decoded_sha256"])])
-        finally:
-            gc.enable()
+        codec = _Codec(Vocabulary(path), Lexicon(_on_this_machine(name, body)))
+        for doc_ids, texts in _runs(batches_, 1):
+            if emit == "ids":
+                n, lists = codec.lists(texts)
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(n), lists], ["doc_id", "n_tokens", "ids"])
+            else:
+                n, ids_sha, text_sha = codec.digests(texts)
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(n), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -391,7 +414,7 @@ def lexicon_of(docs: DataFrame, vocab_path: str, size: int = LEXICON) -> bytes:
     """The transducer of the most frequent words of all texts."""
     vocab = Vocabulary(vocab_path)
     words = sorted(w.encode() for w in frequent_words(docs, size) if w not in vocab.special)
-    return compile_lexicon(words, vocab.encode_words(words))
+    return compile_lexicon(words, *vocab.encode_words(words))
 
 
 def encode(docs: DataFrame, vocab_path: str, emit: str = "ids", size: int = LEXICON) -> DataFrame:
