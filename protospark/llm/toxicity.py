@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from protospark.llm.common import batches, held_out, table
-from protospark.llm.features import fit_logistic, word_features
+from protospark.llm.features import BLOCK, fit_logistic, word_features
 from protospark.llm.text import chunks, mix
 
 #: Bound of the labelled sample on which lexicons, label model and classifier are fitted.
@@ -114,7 +115,10 @@ def _sample_features(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def unlike(feats: list[np.ndarray], sketches: int = 4) -> list[int]:
     """Indices of the sample's texts without near copies of earlier ones, whose rare words would look like evidence: those that share no pair of min-hashes, over features of at most a twentieth of the texts, with them."""
-    seen, kept, often = set(), [], np.bincount(np.concatenate(feats), minlength=SIZE) * 20 > len(feats)
+    count = np.zeros(SIZE, np.int64)
+    for f in feats:
+        count[f] += 1  # a text's features are distinct
+    seen, kept, often = set(), [], count * 20 > len(feats)
     for i, f in enumerate(feats):
         f = f[~often[f]]
         least = [int(mix(f.astype(np.uint64) + np.uint64(k << 40)).min()) for k in range(sketches)] if len(f) else []
@@ -127,37 +131,49 @@ def unlike(feats: list[np.ndarray], sketches: int = 4) -> list[int]:
 
 def excess(row: np.ndarray, col: np.ndarray, q: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each feature, over the texts ``of``: standard deviations above the mean of ``q``, the sum of ``q`` and the number of its texts."""
-    at = of[row]
-    toxic, seen, share = np.bincount(col[at], q[row[at]], SIZE), np.bincount(col[at], minlength=SIZE), q[of].mean()
+    toxic, seen, share = np.zeros(SIZE), np.zeros(SIZE), q[of].mean()
+    for a in range(0, len(row), BLOCK):
+        r, c = row[a : a + BLOCK], col[a : a + BLOCK]
+        at = of[r]
+        toxic += np.bincount(c[at], q[r[at]], SIZE)
+        seen += np.bincount(c[at], minlength=SIZE)
     return (toxic - share * seen) / np.sqrt(np.maximum(share * (1 - share) * seen, 1e-9)), toxic, seen
 
 
+def hits(row: np.ndarray, col: np.ndarray, lexicon: np.ndarray, n: int) -> np.ndarray:
+    """How many features of a lexicon each of ``n`` texts has."""
+    return sum((np.bincount(row[a : a + BLOCK][lexicon[col[a : a + BLOCK]]], minlength=n) for a in range(0, len(row), BLOCK)), np.zeros(n))
+
+
 def lexicon_votes(row: np.ndarray, col: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Votes of the mined lexicons (texts x 5), each fold's mined on the others."""
     fold = np.arange(len(y)) % FOLDS
-    hits = np.zeros((3, len(y)))
+    found = np.zeros((3, len(y)))
     for k in range(FOLDS):
         if y[fold != k].min(initial=1) == y[fold != k].max(initial=0):
             continue
         away, toxic, seen = excess(row, col, y, fold != k)
-        mined, mine = (away >= MINED) & (toxic >= LEAST_SEEN), fold[row] == k
-        for h, share in zip(hits, (0, LIKELY, SURE), strict=True):
-            h += np.bincount(row[mine], (mined & (toxic >= share * seen))[col[mine]], len(y))
-    mined, likely, sure = hits
+        mined = (away >= MINED) & (toxic >= LEAST_SEEN)
+        for f, share in zip(found, (0, LIKELY, SURE), strict=True):
+            f += hits(row, col, mined & (toxic >= share * seen), len(y)) * (fold == k)
+    mined, likely, sure = found
     return np.stack([likely > 0, likely > 1, mined > 3, mined > 7, sure > 0], axis=1).astype(int)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on labelled rows outside the held-out fold: the ``SAMPLE_ROWS`` with the smallest id hashes.
+    """Fit on labelled rows outside the held-out fold: the ``SAMPLE_ROWS`` with the smallest id hashes, of an id the least text
+    of at most ``SAMPLE_CHARS`` characters.
 
     Labels serve to mine lexicons (for other folds than their own), nothing else: the label model starts from the voters'
     majority and never sees them, and the classifier learns its posteriors.
     With no labelled rows, or rows of one class only, the model is the constant share of that class (0.5 without rows).
     """
     marked = labels.where(~held_out()).where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    few = marked.orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE_ROWS)
+    few = marked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
     rows = docs.select(F.col("doc_id").alias("id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(few), "id").select("id", "y", "text")
-    got = rows.mapInArrow(_sample_features, "id long, y int, feats binary, votes binary").orderBy(F.xxhash64("id"), "id", "feats").limit(SAMPLE_ROWS).collect()
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))  # ids that several rows share are one text, so the sample is bounded
+    got = rows.mapInArrow(_sample_features, "id long, y int, feats binary, votes binary").collect()
+    got.sort(key=lambda r: (hashlib.md5(str(r[0]).encode()).digest(), r[0]))
     y = np.array([r[1] for r in got], float)
     flat = LabelModel()
     if not len(y) or y.min() == y.max():
@@ -165,9 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(np.zeros(SIZE, np.float32), float(np.log(p / (1 - p))), flat, {})
     feats = [np.frombuffer(r[2], np.int32) for r in got]
     single = unlike(feats)
-    got, feats, y = [got[i] for i in single], [feats[i] for i in single], y[single]
-    row, col = np.repeat(np.arange(len(y)), [len(f) for f in feats]), np.concatenate(feats).astype(np.int64)
-    patterns = np.array([np.frombuffer(r[3], np.uint8).astype(int) - 1 for r in got])
+    patterns = np.array([np.frombuffer(got[i][3], np.uint8).astype(int) - 1 for i in single])
+    feats, y = [feats[i] for i in single], y[single]
+    row, col = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in feats]), np.concatenate(feats)
+    del got, feats
     mined = lexicon_votes(row, col, y)
     insult = patterns[:, : len(INSULTS)].any(axis=1)
     none = np.stack([(mined[:, 0] == 0) & ~insult, (mined[:, 4] == 0) & ~insult], axis=1)
