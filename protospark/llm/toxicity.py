@@ -27,7 +27,7 @@ LEAST_SEEN, MINED, LIKELY, SURE, USUAL = 4, 6.0, 0.75, 0.97, 5.0
 #: Besides whole words, the beginnings of so many bytes of longer ones are features.
 PREFIXES = (4, 5, 6, 7)
 #: Lexicons are mined for each of so many folds from all others, so no vote of theirs has seen the label of its text.
-FOLDS = 5
+FOLDS = 10
 
 #: Common insults by language (fixed lists).
 INSULTS = {
