@@ -90,13 +90,14 @@ def _scan_texts(docs: DataFrame, texts: list[tuple[str, str]], t: float) -> Data
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, header_lines: dict[str, str] = HEADER_LINES, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
-    """``doc_id, licence, score, n_lines``: licences whose notice a line, or whose header or text a part of the text resembles (Dice >= ``threshold``).
+    """``doc_id, licence, score, n_lines``: licences whose notice a line, or whose notice, header or text a part of the text resembles (Dice >= ``threshold``).
 
-    ``score`` is the best one; ``n_lines`` counts lines, and each of ``texts`` found in a row as one more.
+    ``score`` is the best one; ``n_lines`` counts lines, and each of ``texts`` found in a row as one more. A notice that only a part
+    of a line or of several lines resembles (within a sentence, or wrapped) is found with 0 lines.
 
     A line of b bigrams can reach the threshold only with a template of a bigrams where ``b`` is within ``a * t / (2 - t)`` and
     ``a * (2 - t) / t``: the templates, listed under each such b, are joined by equality and broadcast (a constant number of rows).
-    Of longer texts, rows that hold enough of the bigrams are compared by windows (of lengths within the same bounds) that bigrams
+    Of parts of texts, rows that hold enough of the bigrams are compared by windows (of lengths within the same bounds) that bigrams
     found once in the text place. Null and empty texts, and lines of fewer than two words, match nothing. Repeated ids are one
     document; a null id is one too.
     """
@@ -113,23 +114,42 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     both = grams.join(F.broadcast(notice), "n")
     dice = lambda c: 2.0 * F.size(F.array_intersect("grams", c)) / (F.col("n") + F.size(c))
     hits = both.withColumn("score", dice("t_grams")).where(F.col("score") >= t).where(dice("o_grams") < t)  # the notice has counted such a line
-    hits = hits.select("doc_id", "licence", "score")
-    hits = hits.union(_scan_texts(docs.select("doc_id", "text"), texts, t)) if texts else hits
-    return hits.groupBy("doc_id", "licence").agg(F.max("score").alias("score"), F.count("*").alias("n_lines"))
+    hits = hits.select("doc_id", "licence", "score", F.lit(1).alias("lines"))
+    docs = docs.select("doc_id", "text")
+    hits = hits.union(_scan_texts(docs, sorted(templates.items()), t).withColumn("lines", F.lit(0)))
+    hits = hits.union(_scan_texts(docs, texts, t).withColumn("lines", F.lit(1))) if texts else hits
+    return hits.groupBy("doc_id", "licence").agg(F.max("score").alias("score"), F.sum("lines").alias("n_lines"))
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(TEMPLATES.items()))
-_GRAMS = "list_distinct(case when len({0}) > 1 then list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]) else []::varchar[] end)"
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
+
+
+_ROWS = [_template(k, v, THRESHOLD)[0] for k, v in sorted(TEMPLATES.items())]
+_VALUES = ", ".join(f"('{k}', {_sql_list(g)}, {need}, {_sql_list(spans)})" for k, g, need, _, spans in _ROWS)
+_ANCHORS = ", ".join(f"('{k}', {q}, '{gram}')" for k, _, _, anchors, _ in _ROWS for q, gram in anchors)
+_GRAMS = "case when len({0}) > 1 then list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]) else []::varchar[] end"
+_WORDS = "list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '')"
+#: The notices, in lines and in windows; headers and whole texts are left to tests.
 OP6_SQL = rf"""
-with t as (select licence, list_filter(regexp_split_to_array(lower(notice), '[^a-z0-9]+'), lambda x: x <> '') w from (values {_VALUES}) v(licence, notice)),
-tg as (select licence, {_GRAMS.format('w')} g from t),
+with t as (select * from (values {_VALUES}) v(licence, tg, need, spans)),
+a as (select * from (values {_ANCHORS}) v(licence, q, gram)),
 l as (select doc_id, unnest(string_split(text, chr(10))) line from documents),
-lw as (select doc_id, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') w from l),
-lg as (select doc_id, {_GRAMS.format('w')} g from lw where len(w) between 2 and 40),
-s as (select doc_id, licence, 2.0::double * len(list_intersect(lg.g, tg.g)) / (len(lg.g) + len(tg.g)) score from lg, tg where len(list_intersect(lg.g, tg.g)) > 0)
-select doc_id, licence, max(score) score, count(*) n_lines from s where score >= 0.9 group by 1, 2
+lw as (select doc_id, {_WORDS.format('line')} w from l),
+lg as (select doc_id, list_distinct({_GRAMS.format('w')}) g from lw where len(w) > 1),
+s as (select doc_id, licence, 2.0::double * len(list_intersect(g, tg)) / (len(g) + len(tg)) score, 1 n
+  from lg join t on len(g) between ceil(len(tg) * 0.9 / 1.1 - 1e-9) and floor(len(tg) * 1.1 / 0.9 + 1e-9) where list_has_any(g, tg)),
+dw as (select doc_id, row_number() over () k, {_WORDS.format('text')} w from documents where text is not null),
+dg as (select doc_id, k, {_GRAMS.format('w')} g from dw),
+m as (select doc_id, k, licence, g, tg, spans from dg join t on list_has_any(g, tg) where len(list_intersect(list_distinct(g), tg)) >= need),
+p as (select k, licence, unnest(g) gram, unnest(range(1, len(g) + 1)) p from m),
+st as (select distinct k, licence, greatest(p - q + 1, 1) b from p join a using (licence, gram)),
+w as (select doc_id, licence, tg, list_distinct(g[b:b + n - 1]) g from (select *, unnest(spans) n from m) join st using (k, licence)),
+x as (select doc_id, licence, 2.0::double * len(list_intersect(g, tg)) / (len(g) + len(tg)) score, 0 n from w),
+u as (select * from s union all select * from x)
+select doc_id, licence, max(score) score, sum(n)::bigint n_lines from u where score >= 0.9 group by 1, 2
 """
