@@ -1,6 +1,9 @@
 """A training corpus from raw documents: toxicity, near duplicates, repeated passages, source mix, tokens.
 
 Each stage takes what its predecessor kept, as a table of the columns of ``documents``; the last returns token digests.
+All stages take empty tables, null and empty texts (which have no words: like nothing else, and taken by the mix in a source's whole epochs only), null
+ids (their rows stay, each by itself), rows that share an id (one document to the near duplicates, rows of their own elsewhere),
+null sources and languages, texts of any length; columns beyond those of ``documents`` are left out.
 """
 
 from __future__ import annotations

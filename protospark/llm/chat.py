@@ -55,7 +55,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
     repeated rows are turns of their own. Null roles and texts are empty; null ids are one conversation. Other columns are ignored.
     A conversation is one output row, so it has to fit into a task.
     """
-    batches(rows.sparkSession, 500)
+    batches(rows.sparkSession)
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("m"))
     convs = turns.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: F.struct(m.role.alias("role"), m.text.alias("text"))).alias("messages"))
 

@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from protospark.session import cut
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where unset (tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = tempfile.mkdtemp(prefix="protospark-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: lineage ends there, and lost executors lose nothing.
-
-    The files lie in ``<shared>/protospark/<application id>/``, to be deleted when the application has ended.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/protospark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["batches", "cut", "held_out", "table", "without"]
 
 
-def batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows and 16 MB, so that long texts don't fill a Python worker; the same for every operator, as lazy plans read it later."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -244,7 +244,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, w
     compared with those of their own length only. Ties go to the smaller id; an id that is repeated is one row for each of its vectors.
     """
     spark = vectors.sparkSession
-    batches(spark, 4000)
+    batches(spark)
     e = F.col("embedding")
     fine = ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))) & F.exists(e, lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), e, is_query.alias("asks")).where("id is not null and embedding is not null").where(fine)

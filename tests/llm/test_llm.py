@@ -471,6 +471,55 @@ def test_pipeline_stages(spark):
     assert got.count() == docs.count() and got.where("n_tokens < 0").count() == 0
 
 
+def test_pipeline_stages_on_odd_documents(spark, odd):
+    """Each stage on nulls, empty and long texts, repeated ids, clashing columns, and on nothing."""
+    import corpus_pipeline as p
+
+    docs = odd.withColumn("n_chars", F.length("text").cast("long"))
+    for part in (docs, docs.limit(0)):
+        for name, stage in p.STAGES:
+            out = stage(spark, part, DATA)
+            rows = out.collect()
+            if name != "bpe":
+                assert out.columns == list(p.COLUMNS)
+            if part is docs:
+                ids = Counter(r.doc_id for r in rows)
+                if name == "near_duplicates":
+                    assert ids == Counter([None, 1, 2, 3, 4, 6, 8, 8, 9])
+                if name == "substring_dedup":
+                    assert ids[7] == 1 and ids[8] == 2 and ids[None] == 1
+                if name == "mixing":
+                    assert max(ids.values()) <= 4 and ids.keys() <= {None, *range(1, 10)}
+                if name == "bpe":
+                    assert len(rows) == 11
+            else:
+                assert rows == []
+
+
+def test_licence_notices_within_and_across_lines(spark):
+    """Wrapped, inside a sentence, and in long lines, against a plain search over all windows of nearby lengths."""
+    notice = licences.TEMPLATES["GPL-3.0"]
+    words = notice.split()
+    filler = " ".join(f"word{i}" for i in range(60))
+    texts = {
+        1: " ".join(words[:5]) + "\n" + " ".join(words[5:]), 2: f"{filler} {notice} {filler}", 3: f"# {filler}\n * " + "\n * ".join(words) + f"\n{filler}",
+        4: f"{filler} released under the MIT\nlicense {filler}", 5: " ".join(words[:7]) + f" {filler}", 6: "released under the mit something license", 7: notice, 8: None, 9: "",
+    }
+    norm = lambda s: [w for w in re.split("[^a-z0-9]+", s.lower()) if w]
+    grams = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:])]
+    want = {}
+    for i, t in texts.items():
+        for k, v in licences.TEMPLATES.items():
+            g, tg = grams(norm(t or "")), set(grams(norm(v)))
+            best = max((2 * len(set(g[a : a + n]) & tg) / (len(set(g[a : a + n])) + len(tg)) for a in range(len(g)) for n in range(1, 2 * len(tg))), default=0)
+            if best >= 0.9:
+                want[i, k] = round(best, 9)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("score", F.lit("x"))
+    got = licences.scan(df, texts=[]).collect()
+    assert {(r.doc_id, r.licence): round(r.score, 9) for r in got} == want and (1, "GPL-3.0") in want and (4, "MIT") in want
+    assert {r.doc_id for r in got if r.n_lines} == {7}
+
+
 def test_licence_headers_and_texts(spark):
     from pathlib import Path
 
