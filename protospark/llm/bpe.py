@@ -18,7 +18,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from protospark.llm.common import batches, cut, table
+from protospark.llm.common import batches, cut, in_arrow, table
 from protospark.llm.text import raw
 
 #: Words that the transducer holds at most (the most frequent of the corpus), and characters of each.
@@ -400,7 +400,7 @@ def frequent_words(docs: DataFrame, size: int) -> list[str]:
 
     How often is read off a histogram, so the driver gets no more than ``size`` words of ``WORD_CHARS`` characters, whatever the number of tasks.
     """
-    counts = docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = docs.select("text").transform(in_arrow, _count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counts = cut(counts.withColumn("level", F.floor(F.log2("n") * 64)))
     least, total = None, 0
     for level, n in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
@@ -432,7 +432,7 @@ def encode(docs: DataFrame, vocab_path: str, emit: str = "ids", size: int = LEXI
     lexicon = lexicon_of(docs, vocab_path, size)
     name = f"lexicon-{hashlib.sha256(lexicon).hexdigest()[:16]}.bin"
     kinds = "ids array<int>" if emit == "ids" else "ids_sha256 string, decoded_sha256 string"
-    return docs.mapInArrow(_codec(vocab_path, name, docs.sparkSession.sparkContext.broadcast(lexicon), emit), f"doc_id long, n_tokens long, {kinds}")
+    return docs.transform(in_arrow, _codec(vocab_path, name, docs.sparkSession.sparkContext.broadcast(lexicon), emit), f"doc_id long, n_tokens long, {kinds}")
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
@@ -444,7 +444,7 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
             texts = [b"".join(map(of.__getitem__, ids or [])).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").transform(in_arrow, run, "doc_id long, text string")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

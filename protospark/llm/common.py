@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from protospark.session import cut
 
-__all__ = ["batches", "cut", "held_out", "table", "without"]
+__all__ = ["batches", "cut", "held_out", "in_arrow", "table", "without"]
 
 
 def batches(spark: SparkSession) -> None:
@@ -15,6 +19,20 @@ def batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def in_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(f, schema)``; a task's Python worker, which Spark keeps for later tasks, gives back the memory that it no longer uses."""
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches_)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from protospark.llm.common import batches, cut, table
+from protospark.llm.common import batches, cut, in_arrow, table
 from protospark.llm.graph import components
 from protospark.llm.shared import bucket_bits, occurrences
 from protospark.llm.text import LOWER, Words, chunks, mix, per_document, rolling
@@ -91,7 +91,7 @@ def _sum_cells(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rarity(docs: DataFrame, width: int) -> np.ndarray:
     """A level per cell (``CELLS`` bytes, whatever the input): logarithm of how many shingles of all documents fall into it."""
-    parts = docs.select("id", "text").mapInArrow(_count_cells(width), "part int, body binary").repartition("part").mapInArrow(_sum_cells, "part int, body binary")
+    parts = docs.select("id", "text").transform(in_arrow, _count_cells(width), "part int, body binary").repartition("part").transform(in_arrow, _sum_cells, "part int, body binary")
     level = np.zeros(CELLS, np.uint8)
     for k, body in parts.collect():
         level[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(body, np.uint8)
@@ -211,9 +211,9 @@ def verified(pairs: DataFrame, docs: DataFrame, digest: DataFrame, width: int =
         both = salted.join(_of_ids(rows, salted, "b").select(F.col("id").alias("b"), *named["b"]), "b").join(left, ["a", "salt"])
         return both.select("a", "b", *(f"{c}_{x}" for c in columns for x in "ab"))
 
-    near = met(digest.select("id", "n", "profile"), "n", "profile").mapInArrow(_within_bound(percent), "a long, b long").distinct()
+    near = met(digest.select("id", "n", "profile"), "n", "profile").transform(in_arrow, _within_bound(percent), "a long, b long").distinct()
     salted = cut(near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16))))
-    return met(docs, "text").mapInArrow(_similar(width, percent), "a long, b long")
+    return met(docs, "text").transform(in_arrow, _similar(width, percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -234,7 +234,7 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
     spark = docs.sparkSession
     batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    digest = cut(docs.mapInArrow(_digest(width), "id long, n long, a long, b long, profile binary"))
+    digest = cut(docs.transform(in_arrow, _digest(width), "id long, n long, a long, b long, profile binary"))
     known = digest.where("id is not null and n > 0")
     classes = known.groupBy("n", "a", "b").agg(F.min("id").alias("cls"), F.count("*").alias("copies"))
     several = cut(classes.where("copies > 1"))
@@ -245,7 +245,7 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
 
     sizes = {r[0]: r[1] for r in classes.where(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
     boundary = boundary_of(sizes)
-    small = cut(fresh.mapInArrow(_subsets(width, boundary), "c long, key long, id long, n long"))
+    small = cut(fresh.transform(in_arrow, _subsets(width, boundary), "c long, key long, id long, n long"))
     hub = small.groupBy("c", "key").agg(F.min(F.struct("n", "id")).alias("hub"))
     light = small.join(hub, ["c", "key"]).where("id <> hub.id and 3 * (n + hub.n) <= 7 * c").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
 

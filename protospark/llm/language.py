@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from protospark.llm.common import batches, held_out, table
+from protospark.llm.common import batches, held_out, in_arrow, table
 from protospark.llm.features import span_hash, trimmed
 from protospark.llm.text import Words, chunks, mix, points, raw
 
@@ -278,7 +278,7 @@ def language(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     batches(spark)
     model = spark.sparkContext.broadcast(fit(docs))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_label(model), "doc_id long, lang_pred string, score double, n_spans long")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(in_arrow, _label(model), "doc_id long, lang_pred string, score double, n_spans long")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

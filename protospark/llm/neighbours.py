@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from protospark.llm.common import batches, cut, table
+from protospark.llm.common import batches, cut, in_arrow, table
 from protospark.llm.text import mix
 
 #: Hash tables, bucket width on unit vectors (a projection of a random unit vector has spread 1), and buckets visited per table (at least, at most).
@@ -95,7 +95,7 @@ def sampled_distances(classes: DataFrame, k: int) -> list[float]:
     """Distances of unit vectors to their k-th neighbour, for ``SAMPLE`` queries by a hash of the id."""
     unit = lambda v: (w := np.asarray(v, float) / np.abs(v).max()) / np.linalg.norm(w)
     queries = {r.cls: unit(r.vec) for r in classes.where("asks").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).collect()}
-    found = classes.select("cls", "vec").mapInArrow(_nearest(queries, k), "query long, score double").groupBy("query")
+    found = classes.select("cls", "vec").transform(in_arrow, _nearest(queries, k), "query long, score double").groupBy("query")
     kth = found.agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query", F.element_at("s", F.least(F.lit(k), F.size("s"))).alias("s")).orderBy("query")
     return [float(np.sqrt(max(0.0, 2 - 2 * r.s))) for r in kth.collect()]
 
@@ -262,10 +262,10 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, w
     how = (tables, m, width, seed, groups)
     source = classes.select("cls", "vec")
     kind = source.schema["vec"].dataType.simpleString()
-    sizes = source.mapInArrow(_index(*how, False), "grp long").groupBy("grp").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("parts"))
-    index = source.mapInArrow(_index(*how, True), f"grp long, bucket long, cls long, vec {kind}").join(sizes, "grp")
+    sizes = source.transform(in_arrow, _index(*how, False), "grp long").groupBy("grp").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("parts"))
+    index = source.transform(in_arrow, _index(*how, True), f"grp long, bucket long, cls long, vec {kind}").join(sizes, "grp")
     index = index.select("grp", F.pmod(F.xxhash64("cls"), "parts").alias("part"), "bucket", "cls", "vec")
-    asked = classes.where("asks").select("cls", "vec").mapInArrow(_probe(*how, probes), f"grp long, query long, qvec {kind}, probes array<long>")
+    asked = classes.where("asks").select("cls", "vec").transform(in_arrow, _probe(*how, probes), f"grp long, query long, qvec {kind}, probes array<long>")
     asked = asked.join(sizes, "grp").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     found = index.groupBy("grp", "part").cogroup(asked.groupBy("grp", "part")).applyInArrow(_compare(k + 1), _FOUND)
     found = found.groupBy("query", "cls").agg(F.max("score").alias("score"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from protospark.llm.common import batches, held_out, table
+from protospark.llm.common import batches, held_out, in_arrow, table
 from protospark.llm.features import fit_logistic, gram_features, platt, span_hash, sparse_scores
 from protospark.llm.text import SPACE, Words, chunks, per_document, rolling
 
@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     few = marked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
     rows = docs.select(F.col("doc_id").alias("id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(few), "id")
     rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).select(F.xxhash64("id").alias("id"), "y", "text")
-    got = sorted(rows.mapInArrow(_sample, "id long, y int, feats binary, vals binary").collect())
+    got = sorted(rows.transform(in_arrow, _sample, "id long, y int, feats binary, vals binary").collect())
     y = np.array([r[1] for r in got], float)
     part = np.arange(len(y)) % 5 == 4
     if not len(y) or len(set(y[~part])) < 2 or len(set(y[part])) < 2:
@@ -114,7 +114,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     batches(spark)
     model = spark.sparkContext.broadcast(fit(docs, labels))
-    told = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_judge(model), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double")
+    told = docs.select(F.col("doc_id").cast("long"), "text").transform(in_arrow, _judge(model), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return told.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= THRESHOLD))
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from protospark.llm.common import in_arrow
 from protospark.llm.text import mix
 
 #: Postings that a bucket holds on average; a bucket is what a reduce task has in memory at once.
@@ -158,9 +159,9 @@ def occurrences(rows: DataFrame, columns: list[str], keys_of: Callable, bits: in
         if parts:
             yield out()
 
-    packed = rows.select(*columns).mapInArrow(pack, _PACKED)
-    answers = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "bucket int, body binary")
-    return answers.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, _FOUND)
+    packed = rows.select(*columns).transform(in_arrow, pack, _PACKED)
+    answers = packed.repartition("bucket").sortWithinPartitions("bucket").transform(in_arrow, unpack, "bucket int, body binary")
+    return answers.repartition("bucket").sortWithinPartitions("bucket").transform(in_arrow, gather, _FOUND)
 
 
 def bucket_bits(postings: int) -> int:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from protospark.llm.common import batches, cut, table
+from protospark.llm.common import batches, cut, in_arrow, table
 from protospark.llm.shared import bucket_bits, occurrences
 from protospark.llm.text import Words, chunks, rolling
 
@@ -145,7 +145,7 @@ def substring_dedup(docs: DataFrame, length: int = 20, period: int = 13, texts:
     more = [f"_carry{i}" for i in range(len(carry))]
     kind = {c: docs.schema[c].dataType.simpleString() for c in carry}
     docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(m) for c, m in zip(carry, more))), more)
-    digest = cut(docs.select("id", "text").mapInArrow(_digest, "id long, n long, a long, b long"))
+    digest = cut(docs.select("id", "text").transform(in_arrow, _digest, "id long, n long, a long, b long"))
     first = cut(digest.where(F.col("n") >= length).groupBy("n", "a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last"))
     first = F.broadcast(first) if first.count() <= BROADCAST_CLASSES else first  # beyond that, a large group is split as a skewed join
     copies = cut(digest.join(first, ["n", "a", "b"]).where("id <> first").select("id"))
@@ -160,7 +160,7 @@ def substring_dedup(docs: DataFrame, length: int = 20, period: int = 13, texts:
     starts = occurrences(marked, ["id", "text", "pos"], _windows(length, period), bits, later=True).select("id", F.col("pos").alias("starts"))
     told = dealt.join(starts, "id", "left").join(copies.withColumn("whole", F.lit(True)), "id", "left")
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts + "".join(f", {m} {kind[c]}" for c, m in zip(carry, more))
-    out = told.select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts", *more).mapInArrow(_strip(length, texts), kinds)
+    out = told.select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "starts", *more).transform(in_arrow, _strip(length, texts), kinds)
     return out.withColumnsRenamed(dict(zip(more, carry)))
 
 

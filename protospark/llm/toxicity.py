@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from protospark.llm.common import batches, held_out, table
+from protospark.llm.common import batches, held_out, in_arrow, table
 from protospark.llm.features import BLOCK, fit_logistic, word_features
 from protospark.llm.text import chunks, mix
 
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     few = marked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
     rows = docs.select(F.col("doc_id").alias("id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(few), "id").select("id", "y", "text")
     rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))  # ids that several rows share are one text, so the sample is bounded
-    got = rows.mapInArrow(_sample_features, "id long, y int, feats binary, votes binary").collect()
+    got = rows.transform(in_arrow, _sample_features, "id long, y int, feats binary, votes binary").collect()
     got.sort(key=lambda r: (hashlib.md5(str(r[0]).encode()).digest(), r[0]))
     y = np.array([r[1] for r in got], float)
     flat = LabelModel()
@@ -223,7 +223,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     told = spark.sparkContext.broadcast((model.weights, model.bias))
     docs = docs.select(*(c for c in docs.columns if c not in ("score", "text")), "text")
-    return docs.mapInArrow(_score(told), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.transform(in_arrow, _score(told), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
