@@ -25,6 +25,8 @@ POSTING_COST = 3
 BROADCAST_IDS = 1 << 20
 #: Rounds in which the members of an inverted list are compared with so many of them only: in the first round the smallest id is one.
 STAR_ROUNDS, HUBS = 2, 4
+#: Members of a list within a band of sizes that one block holds.
+LIST = 1 << 12
 #: Cells into which a set's shingles are counted, by hash: what two sets have in common is at most the sum of the cells' minima.
 PROFILE, FULL = 128, 65535
 
@@ -216,6 +218,26 @@ def verified(pairs: DataFrame, docs: DataFrame, digest: DataFrame, width: int =
     return met(docs, "text").transform(in_arrow, _similar(width, percent), "a long, b long")
 
 
+def _banded(posts: DataFrame) -> DataFrame:
+    """Pairs of list members whose sizes and ranks may fit, each with its other member's columns as ``o_``.
+
+    With x the member of smaller set, an overlap of 3/7 of both sizes from its rank on needs ``rank <= n / 7`` in x: what lies
+    deeper in its set is looked up, but not looked for. Members are matched within bands of sizes, and lists of more than
+    ``LIST`` members in a band are dealt in blocks, each of which meets all that look it up.
+    """
+    band = lambda size: F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(8 / 7)))
+    most = F.least(F.col("low"), F.floor((7 * (F.col("n") - F.col("rank")) - 3 * F.col("low")) / 3))
+    least = F.floor(3 * F.col("low") / 4)
+    small = posts.where("7 * rank <= 7 * n - 6 * low").withColumn("band", F.explode(F.sequence(band(F.col("low")), band(F.col("n")))))
+    blocks = small.groupBy("key", "band").agg(F.ceil(F.count("*") / LIST).alias("blocks"))
+    large = posts.withColumn("most", most).where(F.col("most") >= least).withColumn("band", F.explode(F.sequence(band(least), band(F.col("most"))))).drop("most")
+    large = large.join(blocks, ["key", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    small = small.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
+    met = ["key", "band", "block"]
+    other = small.select(*met, *(F.col(c).alias(f"o_{c}") for c in ("id", "n", "low", "rank", "component")))
+    return large.join(other, met).where("id <> o_id and (o_low < low or o_low = low and o_id < id)")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id``: components of the links of Jaccard similarity 0.75 or more.
 
@@ -226,7 +248,7 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
        linked to the smallest only: sets a <= b that c suffices for both link to it, so no link between components is lost.
     3. Large sets, and the small ones that may be similar to them, post their rarest shingles to inverted lists. Members of
        a list are first compared with four of them, in two rounds; then, only where a list still spans several components,
-       with members of the others. Every pair is verified on its whole texts.
+       with those members of the others that sizes and ranks allow, in blocks. Every pair is verified on its whole texts.
 
     Null or empty texts have an empty set, and are linked with nothing (``component_id`` is their own id). Rows that share an
     id are one document. A row whose id is null takes no part and gets a null component. Other columns are ignored.
@@ -276,7 +298,7 @@ def jaccard_components(docs: DataFrame, width: int = 5) -> DataFrame:
             pairs = pairs.join(rows.select(*(F.col(c).alias(f"o_{c}") for c in ("id", "n", "low", "component"))), "o_id").where(near("", "o_", ""))
         else:
             posts = cut(posts.join(mixed.select("key"), "key", "left_semi"))
-            pairs = posts.join(posts.select("key", *(F.col(c).alias(f"o_{c}") for c in ("id", "n", "low", "rank", "component"))), "key").where("id < o_id and " + near("", "o_", "", "o_"))
+            pairs = _banded(posts).where(near("", "o_", "", "o_"))
         pairs = pairs.where("component <> o_component").select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         links = cut(links.union(verified(pairs, fresh, digest, width)).distinct())

@@ -235,6 +235,26 @@ def test_jaccard_odd(spark, odd):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
 
 
+def test_jaccard_bands_against_all_pairs(spark, monkeypatch):
+    """Every pair of a list that sizes and ranks allow is met, across bands and blocks; copies under one id have a range of sizes."""
+    monkeypatch.setattr(jaccard_join, "LIST", 8)
+    rng = np.random.default_rng(7)
+    posts = []
+    for key in range(3):
+        for i in range(120):
+            n = int(rng.integers(1, 90))
+            posts.append((key, int(rng.integers(0, max(1, n // 4 + 1))), 1000 * key + i, n, n if i % 10 else max(1, n - int(rng.integers(0, 9))), i))
+
+    def fit(x, y):
+        (_, r, _, n, low, _), (_, r2, _, n2, low2, _) = x, y
+        return 4 * n >= 3 * low2 and 4 * n2 >= 3 * low and 7 * (n - r) >= 3 * (low + low2) and 7 * (n2 - r2) >= 3 * (low + low2)
+
+    want = {(x[2], y[2]) for x in posts for y in posts if x[0] == y[0] and x[2] < y[2] and fit(x, y)}
+    df = spark.createDataFrame(posts, "key long, rank int, id long, n long, low long, component long")
+    got = {(min(r.id, r.o_id), max(r.id, r.o_id)) for r in jaccard_join._banded(df).collect()}
+    assert want and want <= got
+
+
 def test_jaccard_against_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = []
