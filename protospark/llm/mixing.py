@@ -54,8 +54,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     Null texts have size 0 (taken: 0), null sources are one source, rows with equal ids and texts count one after the other.
     """
     quality = text_quality() if quality is None else quality
-    fine = _FINE
-    while docs.count() > fine * _ROWS:
+    fine, n = _FINE, docs.count()
+    while n > fine * _ROWS:
         fine *= 2
     drawn = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
