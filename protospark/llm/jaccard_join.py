@@ -25,8 +25,8 @@ POSTING_COST = 3
 BROADCAST_IDS = 1 << 20
 #: Rounds in which the members of an inverted list are compared with so many of them only: in the first round the smallest id is one.
 STAR_ROUNDS, HUBS = 2, 4
-#: Members of a list within a band of sizes that one block holds.
-LIST = 1 << 12
+#: Members of a list within a band of sizes that one block holds on average.
+LIST = 1 << 9
 #: Cells into which a set's shingles are counted, by hash: what two sets have in common is at most the sum of the cells' minima.
 PROFILE, FULL = 128, 65535
 
@@ -222,18 +222,27 @@ def _banded(posts: DataFrame) -> DataFrame:
     """Pairs of list members whose sizes and ranks may fit, each with its other member's columns as ``o_``.
 
     With x the member of smaller set, an overlap of 3/7 of both sizes from its rank on needs ``rank <= n / 7`` in x: what lies
-    deeper in its set is looked up, but not looked for. Members are matched within bands of sizes, and lists of more than
-    ``LIST`` members in a band are dealt in blocks, each of which meets all that look it up.
+    deeper in its set looks others up, but isn't looked up itself. Members are matched within bands of sizes. Of a list with
+    over ``LIST`` rows on either side of a band both sides are dealt in blocks, and each block meets all of the other side's
+    apart from the rest, so a task has the pairs of two blocks only.
     """
     band = lambda size: F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(8 / 7)))
     most = F.least(F.col("low"), F.floor((7 * (F.col("n") - F.col("rank")) - 3 * F.col("low")) / 3))
     least = F.floor(3 * F.col("low") / 4)
     small = posts.where("7 * rank <= 7 * n - 6 * low").withColumn("band", F.explode(F.sequence(band(F.col("low")), band(F.col("n")))))
-    blocks = small.groupBy("key", "band").agg(F.ceil(F.count("*") / LIST).alias("blocks"))
     large = posts.withColumn("most", most).where(F.col("most") >= least).withColumn("band", F.explode(F.sequence(band(least), band(F.col("most"))))).drop("most")
-    large = large.join(blocks, ["key", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    small = small.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
-    met = ["key", "band", "block"]
+    sides = small.select("key", "band", F.lit(1).alias("s"), F.lit(0).alias("l")).union(large.select("key", "band", F.lit(0).alias("s"), F.lit(1).alias("l")))
+    sides = sides.groupBy("key", "band").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(x) / LIST)).alias(x) for x in "sl")).where("s > 1 or l > 1")
+    sides = cut(sides)
+    sides = F.broadcast(sides) if sides.count() <= BROADCAST_IDS else sides
+
+    def dealt(rows: DataFrame, own: str, others: str) -> DataFrame:
+        """One block of its own side for each row, and every block of the other side."""
+        rows = rows.join(sides, ["key", "band"], "left").withColumns({x: F.coalesce(x, F.lit(1)) for x in "sl"})
+        return rows.withColumn(f"{own}_block", F.pmod(F.xxhash64("id"), F.col(own))).withColumn(f"{others}_block", F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("s", "l")
+
+    large, small = dealt(large, "l", "s"), dealt(small, "s", "l")
+    met = ["key", "band", "s_block", "l_block"]
     other = small.select(*met, *(F.col(c).alias(f"o_{c}") for c in ("id", "n", "low", "rank", "component")))
     return large.join(other, met).where("id <> o_id and (o_low < low or o_low = low and o_id < id)")
 
