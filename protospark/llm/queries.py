@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from protospark.llm import bpe, chat, jaccard_join, language, licences, mixing, neighbours, quality, substring_dedup, toxicity
+from protospark.llm import bpe, chat, jaccard_join, language, licences, mixing, neighbours, quality, runs, spelling, substring_dedup, toxicity, urls
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_language_id": language.op10_language_id,
+    "op11_url_filters": urls.op11_url_filters,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,7 @@ ORACLE_SQL = {
     "op6_licences": licences.OP6_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
+    "op11_url_filters": urls.OP11_SQL,
+    "op12_spelling_variants": spelling.OP12_SQL,
+    "op13_periodic_runs": runs.OP13_SQL,
 }
