@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
+from protospark.sources.blocks import BlockedSequences
+
 #: IUPAC codes and their complements (fixed values).
 IUPAC, COMPLEMENT = "ACGTURYSWKMBDHVN", "TGCAAYRSWMKVHDBN"
 _c = lambda c: F.col(c) if isinstance(c, str) else c
@@ -53,28 +55,38 @@ def lcc_windows(seq, window: int) -> Column:
     return F.transform(starts, lambda i: lcc(F.substring(seq, i, window)))
 
 
+def _window_lcc(text: bytes, window: int) -> np.ndarray:
+    """LCC of every window, from running counts."""
+    b = np.frombuffer(text.upper(), np.uint8)
+    total = np.zeros(max(0, len(b) - window + 1))
+    for ch in b"ACGT":
+        n = np.cumsum(np.r_[0, b == ch])
+        p = (n[window:] - n[:-window]) / window
+        total -= np.where(p > 0, p * np.log2(np.maximum(p, 1e-300)) / 2, 0)
+    return total
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def _lcc_long(seqs: pd.Series, windows: pd.Series) -> pd.Series:
-    out = []
-    for s, w in zip(seqs, windows):
-        if s is None or len(s) < w:
-            out.append(np.zeros(0))
-            continue
-        b = np.frombuffer(s.upper().encode("utf-8", "replace"), np.uint8)
-        total = np.zeros(len(b) - w + 1)
-        for ch in b"ACGT":
-            n = np.cumsum(np.r_[0, b == ch])
-            p = (n[w:] - n[:-w]) / w
-            total -= np.where(p > 0, p * np.log2(np.maximum(p, 1e-300)) / 2, 0)
-        out.append(total)
-    return pd.Series(out)
+    return pd.Series([np.zeros(0) if s is None else _window_lcc(s.encode("latin-1", "replace"), w) for s, w in zip(seqs, windows)])
 
 
 def lcc_windows_long(seq, window: int) -> Column:
-    """As ``lcc_windows``, for contigs: running counts in Arrow batches."""
+    """As ``lcc_windows``, for contigs that fit a task: running counts in Arrow batches. Longer ones: ``lcc_windows_blocks``."""
     return _lcc_long(_c(seq), F.lit(window))
 
 
+def lcc_windows_blocks(blocks: BlockedSequences, window: int) -> DataFrame:
+    """``<id>, start, lcc``: the LCC of the windows of each stored block, ``lcc[i]`` that of the window at ``start + i``; no contig is put together or shuffled.
+
+    A block gives the windows that begin in it, so ``window`` may be longer than the blocks' overlap by one letter at most. Blocks in which no window begins give no row.
+    """
+    if window > blocks.overlap + 1:
+        raise ValueError(f"windows of {window} letters need blocks that overlap by {window - 1}")
+    told = blocks.table.select(blocks.id, (F.col("block") * blocks.size).alias("start"), _lcc_long(F.expr(f"substring(seq, 1, own + {window - 1})"), F.lit(window)).alias("lcc"))
+    return told.where(F.size("lcc") > 0)
+
+
 def kmers(seq, k: int) -> Column:
     """All windows of ``k`` letters, in order. Letters are split once, so that long texts take time in proportion to their length."""
     cut = lambda chars: F.transform(

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from protospark.functions.distance import region_of
+from protospark.functions.sequence import revcomp
 from protospark.schemas import GROUP_KEY, HIT_KEY
+from protospark.sources.blocks import BlockedSequences
 
 
 def attach_spacers(hits: DataFrame, spacers: DataFrame) -> DataFrame:
@@ -15,17 +17,21 @@ def attach_spacers(hits: DataFrame, spacers: DataFrame) -> DataFrame:
     return hits.join(spacers.select("spacer_id", F.col("seq").alias("spacer_seq")), "spacer_id", "left")
 
 
-def attach_regions(hits: DataFrame, contigs: DataFrame) -> DataFrame:
+def attach_regions(hits: DataFrame, contigs: DataFrame | BlockedSequences) -> DataFrame:
     """Adds ``region_seq``: the contig between ``start`` and ``end``, reverse complemented once where ``strand`` is true.
 
-    Regions are cut before they are joined back, so rows never carry whole contigs.
+    Regions are cut before they are joined back, so rows never carry whole contigs. Of contigs stored as blocks, regions join their blocks only,
+    and no contig is shuffled; a region that begins beyond its contig's end is then null instead of empty.
     """
     key = ["contig_id", "start", "end", "strand"]
+    if isinstance(contigs, BlockedSequences):
+        cut_ = contigs.regions(hits.select(*key).distinct(), "_cut")
+        return hits.join(cut_.select(*key, F.when(F.col("strand"), revcomp("_cut")).otherwise(F.col("_cut")).alias("region_seq")), key, "left")
     needed = hits.select(*key).distinct().join(contigs.select("contig_id", "seq"), "contig_id")
     return hits.join(needed.select(*key, region_of("seq", "start", "end", "strand").alias("region_seq")), key, "left")
 
 
-def attach_sequences(hits: DataFrame, spacers: DataFrame, contigs: DataFrame, drop_missing: bool = False) -> DataFrame:
+def attach_sequences(hits: DataFrame, spacers: DataFrame, contigs: DataFrame | BlockedSequences, drop_missing: bool = False) -> DataFrame:
     out = attach_regions(attach_spacers(hits, spacers), contigs)
     return out.where("spacer_seq is not null and region_seq is not null") if drop_missing else out
 

@@ -64,10 +64,10 @@ def _(s):
     return w.select("spacer_id", F.size("w").cast("long").alias("n"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query("lcc_windows_long", "fx_contigs", sql="with p as (select contig_id, length, unnest(string_split(seq, '')) ch, unnest(range(1, length + 1)) i from fx_contigs), w as (select contig_id, length, i, " + ", ".join(f"sum((ch = '{b}')::int) over x / 50.0::double {b.lower()}" for b in "ACGT") + " from p window x as (partition by contig_id order by i rows between current row and 49 following)), v as (select contig_id, -(" + " + ".join(f"case when {b} > 0 then {b} * log2({b}) / 2 else 0 end" for b in "acgt") + ") v from w where i <= length - 49) select contig_id, count(*)::int n, round(min(v), 6) least from v group by 1")
+@query("lcc_windows_long", "fx_blocks", sql="with p as (select contig_id, length, unnest(string_split(seq, '')) ch, unnest(range(1, length + 1)) i from fx_contigs), w as (select contig_id, length, i, " + ", ".join(f"sum((ch = '{b}')::int) over x / 50.0::double {b.lower()}" for b in "ACGT") + " from p window x as (partition by contig_id order by i rows between current row and 49 following)), v as (select contig_id, -(" + " + ".join(f"case when {b} > 0 then {b} * log2({b}) / 2 else 0 end" for b in "acgt") + ") v from w where i <= length - 49) select contig_id, count(*)::int n, round(min(v), 6) least from v group by 1")
 def _(c):
-    w = c.withColumn("w", seq.lcc_windows_long("seq", 50))
-    return w.select("contig_id", F.size("w").alias("n"), F.round(F.array_min("w"), 6).alias("least"))
+    w = seq.lcc_windows_blocks(c, 50).select("contig_id", F.size("lcc").alias("n"), F.array_min("lcc").alias("least"))
+    return w.groupBy("contig_id").agg(F.sum("n").cast("int").alias("n"), F.round(F.min("least"), 6).alias("least"))
 
 
 @query("kmer_counts", "fx_spacers", sql="with w as (select spacer_id, substring(seq, i::int, 4) kmer from fx_spacers, unnest(range(1, length(seq) - 2)) r(i)), c as (select spacer_id, kmer, count(*) n from w group by 1, 2) select *, n::double / sum(n) over (partition by spacer_id) share from c")
@@ -116,18 +116,18 @@ _REG = 'case when strand then reverse(translate(r, \'ACGT\', \'TGCA\')) else r e
 _SEQS = f'with h as (select distinct {HK} from fx_hits), x as (select h.*, substring(c.seq, (start + 1)::int, ("end" - start)::int) r, s.seq sp from h join fx_contigs c using (contig_id) join fx_spacers s using (spacer_id)), y as (select *, {_REG} rg from x)'
 
 
-@query("attach_sequences", "fx_hits", "fx_spacers", "fx_contigs", sql=_SEQS + f" select {HK}, sp spacer_seq, rg region_seq from y")
+@query("attach_sequences", "fx_hits", "fx_spacers", "fx_blocks", sql=_SEQS + f" select {HK}, sp spacer_seq, rg region_seq from y")
 def _(h, s, c):
     return jo.attach_sequences(cl.unique_hits(h), s, c)
 
 
-@query("distances", "fx_hits", "fx_spacers", "fx_contigs", sql=_SEQS + f', d as (select *, case when length(sp) = length(rg) then hamming(sp, rg) end h, levenshtein(sp, rg) e from y) select {HK}, h::int hamming, e::int edit, e <> h has_indels from d where length(sp) = length(rg)')
+@query("distances", "fx_hits", "fx_spacers", "fx_blocks", sql=_SEQS + f', d as (select *, case when length(sp) = length(rg) then hamming(sp, rg) end h, levenshtein(sp, rg) e from y) select {HK}, h::int hamming, e::int edit, e <> h has_indels from d where length(sp) = length(rg)')
 def _(h, s, c):
     d = jo.attach_sequences(cl.unique_hits(h), s, c).where("length(spacer_seq) = length(region_seq)")
     return dist.all_distances(d, affine=False).drop("spacer_seq", "region_seq")
 
 
-@query("gap_affine", "fx_truth", "fx_spacers", "fx_contigs", sql="select spacer_id, contig_id, mismatches gap_affine from fx_truth")
+@query("gap_affine", "fx_truth", "fx_spacers", "fx_blocks", sql="select spacer_id, contig_id, mismatches gap_affine from fx_truth")
 def _(t, s, c):
     """Truth has at most one substitution, and that is cheaper than gaps."""
     return jo.attach_sequences(t, s, c).select("spacer_id", "contig_id", dist.gap_affine("spacer_seq", "region_seq").alias("gap_affine"))
@@ -153,7 +153,7 @@ def _(s):
     return s.select("spacer_id", dist.hamming(F.substring("seq", 3, 15), F.reverse("seq")).alias("hamming"))
 
 
-@query("rendering", "fx_truth", "fx_spacers", "fx_contigs", sql=f'with x as (select t.*, substring(c.seq, (start + 1)::int, ("end" - start)::int) r, s.seq sp from fx_truth t join fx_contigs c using (contig_id) join fx_spacers s using (spacer_id)), y as (select *, {_REG} rg from x) select spacer_id, contig_id, sp || chr(10) || array_to_string(list_transform(range(1, length(sp) + 1), lambda i: case when sp[i] = rg[i] then \'|\' else \'.\' end), \'\') || chr(10) || rg alignment from y')
+@query("rendering", "fx_truth", "fx_spacers", "fx_blocks", sql=f'with x as (select t.*, substring(c.seq, (start + 1)::int, ("end" - start)::int) r, s.seq sp from fx_truth t join fx_contigs c using (contig_id) join fx_spacers s using (spacer_id)), y as (select *, {_REG} rg from x) select spacer_id, contig_id, sp || chr(10) || array_to_string(list_transform(range(1, length(sp) + 1), lambda i: case when sp[i] = rg[i] then \'|\' else \'.\' end), \'\') || chr(10) || rg alignment from y')
 def _(t, s, c):
     return dist.render_alignment(jo.attach_sequences(t, s, c), "hamming").select("spacer_id", "contig_id", "alignment")
 
@@ -167,7 +167,7 @@ def _(s):
     return d.select("spacer_id", (F.length(line(2)) - F.regexp_count(line(2), F.lit(r"\|"))).cast("int").alias("n_different"), same.alias("same_letters"))
 
 
-@query("verify_truth", "fx_truth", "fx_contigs", "fx_spacers", sql=f'with x as (select t.*, substring(c.seq, (start + 1)::int, ("end" - start)::int) r, s.seq sp from fx_truth t join fx_contigs c using (contig_id) join fx_spacers s using (spacer_id)), d as (select mismatches m, levenshtein(sp, {_REG}) e from x) select count(*) n, count(*) filter (m <> e) n_wrong, coalesce(count(*) filter (m <> e)::double / nullif(count(*), 0), 0) wrong_share, count(*) filter (m <> e) = 0 passed from d')
+@query("verify_truth", "fx_truth", "fx_blocks", "fx_spacers", sql=f'with x as (select t.*, substring(c.seq, (start + 1)::int, ("end" - start)::int) r, s.seq sp from fx_truth t join fx_contigs c using (contig_id) join fx_spacers s using (spacer_id)), d as (select mismatches m, levenshtein(sp, {_REG}) e from x) select count(*) n, count(*) filter (m <> e) n_wrong, coalesce(count(*) filter (m <> e)::double / nullif(count(*), 0), 0) wrong_share, count(*) filter (m <> e) = 0 passed from d')
 def _(t, c, s):
     return cl.verify_truth(t, c, s)
 
@@ -218,7 +218,7 @@ def _(h):
     return cl.unique_hits(h)
 
 
-@query("classify", "fx_truth", "fx_hits", "fx_contigs", "fx_spacers", sql=_CLS + " select * from cf")
+@query("classify", "fx_truth", "fx_hits", "fx_blocks", "fx_spacers", sql=_CLS + " select * from cf")
 def _(t, h, c, s):
     return cl.classify(t, h, c, s)
 
@@ -236,33 +236,33 @@ _PERF = (
 )
 
 
-@query("tool_performance", "fx_truth", "fx_hits", "fx_contigs", "fx_spacers", sql=_CLS + _PERF)
+@query("tool_performance", "fx_truth", "fx_hits", "fx_blocks", "fx_spacers", sql=_CLS + _PERF)
 def _(t, h, c, s):
     return cl.compare(t, h, c, s)
 
 
-@query("compare_with_timings", "fx_truth", "fx_hits", "fx_contigs", "fx_spacers", "fx_accounting", sql=_CLS + _PERF.replace(" select *, coalesce(2 * precision_planned", ", fin as (select *, coalesce(2 * precision_planned") + f"), tm as (select split_part(JobName, '_long', 1) tool, avg({_DUR('Elapsed')}) mean from fx_accounting group by 1) select tool, recall_planned, f1_augmented, round(mean, 6) mean from fin left join tm using (tool)")
+@query("compare_with_timings", "fx_truth", "fx_hits", "fx_blocks", "fx_spacers", "fx_accounting", sql=_CLS + _PERF.replace(" select *, coalesce(2 * precision_planned", ", fin as (select *, coalesce(2 * precision_planned") + f"), tm as (select split_part(JobName, '_long', 1) tool, avg({_DUR('Elapsed')}) mean from fx_accounting group by 1) select tool, recall_planned, f1_augmented, round(mean, 6) mean from fin left join tm using (tool)")
 def _(t, h, c, s, a):
     timings = a.groupBy(F.element_at(F.split("JobName", "_long"), 1).alias("tool")).agg(F.avg(rs.parse_duration("Elapsed")).alias("mean"))
     return cl.compare(t, h, c, s, timings=timings).select("tool", "recall_planned", "f1_augmented", F.round("mean", 6).alias("mean"))
 
 
-@query("false_negatives", "fx_truth", "fx_hits", "fx_contigs", "fx_spacers", sql=_CLS + ' select t.spacer_id, t.contig_id, t.start, t."end", t.strand, t.mismatches, k.tool from fx_truth t cross join (select distinct tool from fx_hits) k where not exists (select 1 from cf where cf.tool = k.tool and cf.spacer_id = t.spacer_id and cf.contig_id = t.contig_id and cf.strand = t.strand and cf.start_gt = t.start and cf.end_gt = t."end")')
+@query("false_negatives", "fx_truth", "fx_hits", "fx_blocks", "fx_spacers", sql=_CLS + ' select t.spacer_id, t.contig_id, t.start, t."end", t.strand, t.mismatches, k.tool from fx_truth t cross join (select distinct tool from fx_hits) k where not exists (select 1 from cf where cf.tool = k.tool and cf.spacer_id = t.spacer_id and cf.contig_id = t.contig_id and cf.strand = t.strand and cf.start_gt = t.start and cf.end_gt = t."end")')
 def _(t, h, c, s):
     return cl.false_negatives(t, cl.classify(t, h, c, s))
 
 
-@query("missed_by_all", "fx_truth", "fx_hits", "fx_contigs", "fx_spacers", sql=_CLS + ' select t.* from fx_truth t where not exists (select 1 from cf where cf.spacer_id = t.spacer_id and cf.contig_id = t.contig_id and cf.strand = t.strand and cf.start_gt = t.start and cf.end_gt = t."end")')
+@query("missed_by_all", "fx_truth", "fx_hits", "fx_blocks", "fx_spacers", sql=_CLS + ' select t.* from fx_truth t where not exists (select 1 from cf where cf.spacer_id = t.spacer_id and cf.contig_id = t.contig_id and cf.strand = t.strand and cf.start_gt = t.start and cf.end_gt = t."end")')
 def _(t, h, c, s):
     return cl.missed_by_all(t, cl.classify(t, h, c, s))
 
 
-@query("missed_by_two", "fx_truth", "fx_hits", "fx_contigs", "fx_spacers", sql=_CLS + ' select t.* from fx_truth t where not exists (select 1 from cf where cf.tool in (\'tool_0\', \'tool_1\') and cf.spacer_id = t.spacer_id and cf.contig_id = t.contig_id and cf.strand = t.strand and cf.start_gt = t.start and cf.end_gt = t."end")')
+@query("missed_by_two", "fx_truth", "fx_hits", "fx_blocks", "fx_spacers", sql=_CLS + ' select t.* from fx_truth t where not exists (select 1 from cf where cf.tool in (\'tool_0\', \'tool_1\') and cf.spacer_id = t.spacer_id and cf.contig_id = t.contig_id and cf.strand = t.strand and cf.start_gt = t.start and cf.end_gt = t."end")')
 def _(t, h, c, s):
     return cl.missed_by_all(t, cl.classify(t, h.where("tool in ('tool_0', 'tool_1')"), c, s))
 
 
-@query("examples", "fx_truth", "fx_hits", "fx_contigs", "fx_spacers", sql=_CLS + f", l as (select classification, {HK}, string_agg(distinct tool, ',' order by tool) tools from cf group by all) select * from (select *, row_number() over (partition by classification order by {HK}) r from l) where r <= 3".replace("select * from (select *, row_number()", "select * exclude (r), r::int r from (select *, row_number()"))
+@query("examples", "fx_truth", "fx_hits", "fx_blocks", "fx_spacers", sql=_CLS + f", l as (select classification, {HK}, string_agg(distinct tool, ',' order by tool) tools from cf group by all) select * from (select *, row_number() over (partition by classification order by {HK}) r from l) where r <= 3".replace("select * from (select *, row_number()", "select * exclude (r), r::int r from (select *, row_number()"))
 def _(t, h, c, s):
     return cl.examples(cl.classify(t, h, c, s), s, c).drop("spacer_seq", "region_seq", "alignment")
 
@@ -279,7 +279,7 @@ def _multi(t, h, c, s):
     return cl.multi_metric(t, h, c, s, affine=False)
 
 
-_MV = ("fx_truth", "fx_hits", "fx_contigs", "fx_spacers")
+_MV = ("fx_truth", "fx_hits", "fx_blocks", "fx_spacers")
 
 
 @query("multi_metric", *_MV, sql=_MM + f" select {HK}, tools, region_start, region_end, hamming, edit, start_gt, end_gt, classification, coalesce(mismatches_gt, hamming)::int planned_mismatches from mm")

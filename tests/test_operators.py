@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from protospark.operators import agreement as ag, classify as cl, joins as jo, r
 from protospark.plans import catalogue
 from protospark.schemas import HITS, TRUTH
 from protospark.sources import readers as rd
+from protospark.sources.blocks import store_blocks
 
 DATA = "/root/testdata/sf0.001"
 
@@ -222,3 +224,67 @@ def test_empty_tables(spark):
     assert cl.compare(truth, hits, c, s).count() == 0
     assert cl.multi_metric(truth, hits, c, s).count() == 0
     assert search.protospacer_search(s, c).count() == 0
+
+
+def test_search_of_long_contigs_and_hot_words(spark, monkeypatch):
+    """A contig of 2.5 million letters in blocks, spacers that share one word, low complexity; against all windows in numpy."""
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"ACGT", np.uint8)
+    long = letters[rng.integers(0, 4, 2_500_000)]
+    long[1_000_000:1_000_400] = ord("A")
+    long[77:90] = ord("N")
+    word = "ACGTTGCAACGTTG"
+    spacers = {f"w{i}": word + "".join(rng.choice(list("ACGT"), 20)) for i in range(300)} | {"a": "A" * 33, "t": "T" * 26}
+    for i in range(12):
+        at = int(rng.integers(0, 2_499_900)) if i else (1 << 20) - 17
+        piece = bytearray(long[at : at + 25 + i].tobytes())
+        for j in rng.integers(0, len(piece), i % 5):
+            piece[j] = b"ACGT"[b"ACGT".find(piece[j]) ^ 1]
+        spacers[f"s{i}"] = piece.decode().replace("N", "A")
+    monkeypatch.setattr(search, "FINE", 1 << 19)
+    got = search.protospacer_search(spark.createDataFrame(list(spacers.items()), "spacer_id string, seq string"), spark.createDataFrame([("long", long.tobytes().decode())], "contig_id string, seq string"), 3)
+    flip = str.maketrans("ACGT", "TGCA")
+    want = set()
+    for name, seq in spacers.items():
+        if name[0] == "w" and name > "w110":
+            continue
+        for strand, x in ((False, seq), (True, seq[::-1].translate(flip))):
+            wrong = np.zeros(len(long) - len(x) + 1, np.uint8)
+            for j, ch in enumerate(x.encode()):
+                wrong += long[j : j + len(wrong)] != ch
+            want |= {(name, int(i), int(i) + len(x), strand, int(wrong[i])) for i in np.flatnonzero(wrong <= 3)}
+    rows = [r for r in got.collect() if not (r.spacer_id[0] == "w" and r.spacer_id > "w110")]
+    assert len(rows) == len(want) and {(r.spacer_id, r.start, r.end, r.strand, r.mismatches) for r in rows} == want
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    index = search.Index(list(spacers.values()), 3)
+    index.find(search._CODE[long[:500_000]])
+    assert index.candidates < 50_000  # a tenth of a candidate a letter
+
+
+def test_blocked_sequences(spark):
+    """A contig of 2.5 million letters: regions over block edges, long regions, windows, whole again; the second use doesn't shuffle contigs."""
+    rng = random.Random(9)
+    long = "".join(rng.choices("ACGT", k=2_500_000))
+    seqs = {"long": long, "b": long[:5000], "edge": long[: 3 * (1 << 16)], "short": "ACGTN", "empty": "", "none": None}
+    df = spark.createDataFrame(list(seqs.items()), "contig_id string, seq string")
+    blocks = store_blocks(df, buckets=6)
+    rows = [("long", a, a + n, strand) for a, n, strand in ((0, 30, False), ((1 << 16) - 10, 40, True), ((1 << 16) * 7 - 1, 1025, False), (65000, 300000, True), (2_499_990, 10, False), (2_499_990, 99, False), (2_499_990, 5000, True))]
+    rows += [("b", 4990, 5200, False), ("edge", (1 << 16) * 2 - 5, (1 << 16) * 3, True), ("short", 1, 4, True), ("nobody", 1, 4, True), ("none", 0, 3, False)] + [("long", a, a + 33, False) for a in rng.choices(range(2_499_000), k=60)]
+    hits = spark.createDataFrame(rows, "contig_id string, start long, `end` long, strand boolean")
+    want = {(r.contig_id, r.start, r.end, r.strand): r.region_seq for r in jo.attach_regions(hits, df).collect()}
+    for use in range(2):
+        got = jo.attach_regions(hits, blocks)
+        assert {(r.contig_id, r.start, r.end, r.strand): r.region_seq for r in got.collect()} == want
+    plan = jo.attach_regions(hits.hint("merge"), blocks)._jdf.queryExecution().executedPlan().toString()
+    scan = plan.index("FileScan parquet")
+    assert "Bucketed: true" in plan and not any("Exchange" in line for line in plan[:scan].splitlines()[-4:])  # filter, project, sort above the scan
+    assert {r.contig_id: r.seq for r in blocks.whole().collect()} == {k: v for k, v in seqs.items() if v}
+    assert {r.contig_id for r in blocks.where_ids(df.where("contig_id in ('b', 'short')").select("contig_id")).whole().collect()} == {"b", "short"}
+    told = {(r.contig_id, r.start): r.lcc for r in seq.lcc_windows_blocks(blocks, 101).collect()}
+    for name in ("long", "b", "edge"):
+        whole = seq._window_lcc(seqs[name].encode(), 101)
+        mine = np.concatenate([told[k] for k in sorted(told) if k[0] == name])
+        assert len(mine) == len(whole) and np.allclose(mine, whole)
+    assert ("short", 0) not in told
+    with pytest.raises(ValueError):
+        seq.lcc_windows_blocks(blocks, 2000)
