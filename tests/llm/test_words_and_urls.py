@@ -218,3 +218,37 @@ def test_pages_are_judged(spark):
         assert Counter(tuple(r) for r in urls.judge(df).collect()) == got
     finally:
         urls.BROADCAST_HOSTS = monkey
+
+
+def test_recurring_postings_are_spread(spark):
+    """Postings whose key recurs within a task's run go to many buckets, not to that of the smallest key; keys that agree in 64 bits only are told apart."""
+    from protospark.llm import shared
+
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**63, 300, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+
+    def keys_of(batch):
+        n = batch.num_rows
+        return keys[np.arange(n) % 300], np.arange(n), np.zeros(n, np.int64)
+
+    sizes = []
+    old = shared.in_arrow
+    shared.in_arrow = lambda df, f, schema: sizes.append((f, schema)) or old(df, f, schema)
+    try:
+        rows = spark.range(4000).select("id")
+        got = shared.occurrences(rows.repartition(2), ["id"], keys_of, 6)
+        assert got.count() == 4000
+        packed = Counter()
+        for b in sizes[0][0](iter(rows.toArrow().to_batches())):
+            for kind, bucket in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                packed[kind, bucket] += 1
+        assert len([b for k, b in packed if k == 1]) == 64 and max(n for (k, _), n in packed.items() if k) == 1
+    finally:
+        shared.in_arrow = old
+
+    def wide(batch):
+        n = batch.num_rows
+        return np.full(n, 7, np.uint64), np.arange(n), np.zeros(n, np.int64), (batch.column(0).to_numpy() // 2).astype(np.uint32)
+
+    told = shared.occurrences(spark.range(5).select("id").coalesce(1), ["id"], wide, 6, later=True, wide=True).collect()
+    assert sorted(r.id for r in told) == [1, 3]
