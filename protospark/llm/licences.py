@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from math import ceil
+from math import ceil, floor
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -31,8 +31,6 @@ HEADER_LINES = {"Apache-2.0": 'Licensed under the Apache License, Version 2.0 (t
 #: Standard file headers and whole licence texts, compared with windows of whole documents: (licence, text).
 TEXTS = [(p.name.rsplit(".", 2)[0], p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
 THRESHOLD = 0.9
-#: Bigrams of a text by which windows are laid, and lengths of windows to either side of the text's own.
-ANCHORS, SPANS = 40, 5
 
 
 def words_of(text: Column) -> Column:
@@ -48,45 +46,60 @@ def bigrams_of(words: Column) -> Column:
 
 
 def _template(licence: str, text: str, t: float) -> tuple:
-    """Row of a text: its bigrams, how many of them a document has to hold, anchors, window lengths; and words of which any such document has one.
+    """Row of a text: its distinct bigrams, how many of them a window has to hold, the longest window; and words of which any such document has one.
 
     Dice >= t needs ``a * t / (2 - t)`` of the text's a bigrams, so a document can't lack all words that touch more than the rest.
     """
     words = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
     grams = [f"{x} {y}" for x, y in zip(words, words[1:])]
-    seen, n = Counter(grams), len(grams)
+    seen = list(dict.fromkeys(grams))
     need = ceil(len(seen) * t / (2 - t) - 1e-9)
-    once = [i for i, g in enumerate(grams) if seen[g] == 1]
-    anchors = [(i + 1, grams[i]) for i in once[:: max(1, len(once) // ANCHORS)]]
-    low, high = n * t / (2 - t), n * (2 - t) / t
-    spans = sorted({n, *(round(low + (n - low) * i / SPANS) for i in range(SPANS)), *(round(n + (high - n) * (i + 1) / SPANS) for i in range(SPANS))})
     touch, must = Counter(w for g in seen for w in set(g.split(" "))), []
     for w in sorted(touch, key=lambda w: (len(w) < 6, -touch[w], w)):
         if sum(any(x in must for x in g.split(" ")) for g in seen) > len(seen) - need:
             break
         must.append(w)
-    return (licence, list(seen), need, anchors, spans), must
+    return licence, seen, need, floor(len(grams) * (2 - t) / t + 1e-9), must
 
 
 def _scan_texts(docs: DataFrame, texts: list[tuple[str, str]], t: float) -> DataFrame:
-    """``doc_id, licence, score`` per row and text: the best Dice of the text with windows of the document, if >= ``t``."""
-    rows, musts = zip(*(_template(licence, text, t) for licence, text in texts))
-    known = docs.sparkSession.createDataFrame(list(rows), "licence string, t_grams array<string>, need int, anchors array<struct<q:int,gram:string>>, spans array<int>")
-    some = docs.where(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(sorted({w for m in musts for w in m}))})(?![a-z0-9])"))
-    words = some.select("doc_id", F.explode(F.array(words_of(F.col("text")))).alias("words")).where(F.size("words") > 1)
-    pair = lambda i: F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1))
-    grams = words.select("doc_id", F.explode(F.array(F.transform(F.sequence(F.lit(1), F.size("words") - 1), pair))).alias("grams"))
-    both = grams.crossJoin(F.broadcast(known)).where(F.size("grams") >= F.col("need")).where(F.size(F.array_intersect("grams", "t_grams")) >= F.col("need"))
-    places = lambda a: F.filter(F.sequence(F.lit(1), F.size("grams")), lambda p: F.element_at("grams", p) == a["gram"])
-    starts = F.array_distinct(F.flatten(F.transform("anchors", lambda a: F.transform(places(a), lambda p: F.greatest(p - a["q"] + 1, F.lit(1))))))
-    both = both.select("doc_id", "licence", "grams", "t_grams", "spans", F.explode(F.array(starts)).alias("starts"))
-
-    def dice(start, span):
-        window = F.slice("grams", start, span)
-        return 2.0 * F.size(F.array_intersect(window, F.col("t_grams"))) / (F.size(F.array_distinct(window)) + F.size("t_grams"))
+    """``doc_id, licence, score`` per row and text: the best Dice of the text with windows of the document, if >= ``t``.
 
-    best = F.array_max(F.flatten(F.transform("starts", lambda s: F.transform("spans", lambda n: dice(s, n)))))
-    return both.select("doc_id", "licence", F.explode(F.array(best)).alias("score")).where(F.col("score") >= t)
+    A window is any stretch of neighbouring bigrams of the document, up to ``(2 - t) / t`` times as long as the text; all of them count. One that reaches ``t``
+    holds ``need`` of the text's bigrams, and the best begins at one of them, so only bigrams of the text that ``need - 1`` more follow within a window's length
+    are starts. From a start on, a running count of distinct bigrams (those whose last place is before the start) gives the Dice of every end.
+    """
+    rows = [_template(licence, text, t) for licence, text in texts]
+    known = docs.sparkSession.createDataFrame(rows, "licence string, t_grams array<string>, need int, longest int, must array<string>")
+    musts = sorted({w for r in rows for w in r[-1]})
+    once = lambda c: F.explode(F.array(c))  # noqa: E731 - evaluates an expression once
+    some = docs.where(F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(musts)})(?![a-z0-9])"))
+    words = some.select("doc_id", once(words_of(F.col("text"))).alias("words")).where(F.size("words") > 1)
+    pair = lambda i: F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1))
+    words = words.withColumn("some", once(F.array_intersect(F.array(*map(F.lit, musts)), "words")))
+    grams = words.select("doc_id", "some", once(F.transform(F.sequence(F.lit(1), F.size("words") - 1), pair)).alias("grams"))
+    both = grams.join(F.broadcast(known), F.arrays_overlap("some", "must") & (F.size("grams") >= F.col("need"))).where(F.size(F.array_intersect("grams", "t_grams")) >= F.col("need"))
+    both = both.withColumn("own", once(F.transform("grams", lambda g: F.array_contains("t_grams", g))))
+    both = both.withColumn("at", once(F.filter(F.sequence(F.lit(1), F.size("grams")), lambda p: F.element_at("own", p))))
+    last = lambda i: F.element_at("at", i + F.col("need") - 1)
+    from_ = F.filter(F.sequence(F.lit(1), F.greatest(F.size("at") - F.col("need") + 1, F.lit(1))), lambda i: F.when(i + F.col("need") - 1 <= F.size("at"), last(i) - F.element_at("at", i) < F.col("longest")).otherwise(F.lit(False)))
+    both = both.withColumn("starts", once(F.transform(from_, lambda i: F.element_at("at", i)))).where(F.size("starts") > 0)
+    # each place: is the bigram the text's, and how far back is it last found (0: not within a window's length)
+    low = lambda p: F.greatest(p - F.col("longest"), F.lit(1))
+    back = lambda p: F.array_position(F.reverse(F.slice("grams", low(p), p - low(p))), F.element_at("grams", p)).cast("int")
+    places = F.transform(F.sequence(F.lit(1), F.size("grams")), lambda p: F.struct(p.alias("p"), F.element_at("own", p).alias("own"), back(p).alias("back")))
+    both = both.withColumn("places", once(places))
+    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("h"), F.lit(0.0).cast("double").alias("best"))
+
+    def best(s):
+        def step(a, x):
+            new = (x["back"] == 0) | (x["p"] - x["back"] < s)
+            d, h = a["d"] + new.cast("int"), a["h"] + (new & x["own"]).cast("int")
+            return F.struct(d.alias("d"), h.alias("h"), F.greatest(a["best"], 2.0 * h / (d + F.size("t_grams"))).alias("best"))
+
+        return F.aggregate(F.slice("places", s, F.col("longest")), start, step, lambda a: a["best"])
+
+    return both.select("doc_id", "licence", once(F.array_max(F.transform("starts", best))).alias("score")).where(F.col("score") >= t)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, header_lines: dict[str, str] = HEADER_LINES, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
@@ -97,8 +110,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
     A line of b bigrams can reach the threshold only with a template of a bigrams where ``b`` is within ``a * t / (2 - t)`` and
     ``a * (2 - t) / t``: the templates, listed under each such b, are joined by equality and broadcast (a constant number of rows).
-    Of parts of texts, rows that hold enough of the bigrams are compared by windows (of lengths within the same bounds) that bigrams
-    found once in the text place. Null and empty texts, and lines of fewer than two words, match nothing. Repeated ids are one
+    Of parts of texts, rows that hold enough of the bigrams are compared by all windows of lengths within the same bounds. Null and empty texts, and lines of fewer than two words, match nothing. Repeated ids are one
     document; a null id is one too.
     """
     spark = docs.sparkSession
@@ -107,7 +119,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     notice = notice.select("licence", bigrams_of(words_of(F.col("notice"))).alias("t_grams"), bigrams_of(words_of(F.col("other"))).alias("o_grams"))
     t = threshold
     notice = notice.withColumn("n", F.explode(F.sequence(F.ceil(F.size("t_grams") * t / (2 - t) - 1e-9).cast("int"), F.floor(F.size("t_grams") * (2 - t) / t + 1e-9).cast("int"))))
-    shortest = min(ceil(max(1, len(v.split()) - 1) * t / (2 - t)) for _, v, _ in lines_of)
+    sizes = [len({*zip(w, w[1:])}) for _, v, _ in lines_of if (w := [x for x in re.split("[^a-z0-9]+", v.lower()) if x])]
+    shortest = min((ceil(n * t / (2 - t) - 1e-9) for n in sizes if n), default=1)
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 2 * shortest)
     lines = lines.select("doc_id", words_of(F.col("line")).alias("words")).where(F.size("words") > shortest // 2)
     grams = lines.select("doc_id", bigrams_of(F.col("words")).alias("grams")).withColumn("n", F.size("grams"))
@@ -129,15 +142,13 @@ def _sql_list(values) -> str:
     return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
 
 
-_ROWS = [_template(k, v, THRESHOLD)[0] for k, v in sorted(TEMPLATES.items())]
-_VALUES = ", ".join(f"('{k}', {_sql_list(g)}, {need}, {_sql_list(spans)})" for k, g, need, _, spans in _ROWS)
-_ANCHORS = ", ".join(f"('{k}', {q}, '{gram}')" for k, _, _, anchors, _ in _ROWS for q, gram in anchors)
+_ROWS = [_template(k, v, THRESHOLD) for k, v in sorted(TEMPLATES.items())]
+_VALUES = ", ".join(f"('{k}', {_sql_list(g)}, {need}, {longest})" for k, g, need, longest, _ in _ROWS)
 _GRAMS = "case when len({0}) > 1 then list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]) else []::varchar[] end"
 _WORDS = "list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '')"
 #: The notices, in lines and in windows; headers and whole texts are left to tests.
 OP6_SQL = rf"""
-with t as (select * from (values {_VALUES}) v(licence, tg, need, spans)),
-a as (select * from (values {_ANCHORS}) v(licence, q, gram)),
+with t as (select * from (values {_VALUES}) v(licence, tg, need, longest)),
 l as (select doc_id, unnest(string_split(text, chr(10))) line from documents),
 lw as (select doc_id, {_WORDS.format('line')} w from l),
 lg as (select doc_id, list_distinct({_GRAMS.format('w')}) g from lw where len(w) > 1),
@@ -145,10 +156,9 @@ s as (select doc_id, licence, 2.0::double * len(list_intersect(g, tg)) / (len(g)
   from lg join t on len(g) between ceil(len(tg) * 0.9 / 1.1 - 1e-9) and floor(len(tg) * 1.1 / 0.9 + 1e-9) where list_has_any(g, tg)),
 dw as (select doc_id, row_number() over () k, {_WORDS.format('text')} w from documents where text is not null),
 dg as (select doc_id, k, {_GRAMS.format('w')} g from dw),
-m as (select doc_id, k, licence, g, tg, spans from dg join t on list_has_any(g, tg) where len(list_intersect(list_distinct(g), tg)) >= need),
-p as (select k, licence, unnest(g) gram, unnest(range(1, len(g) + 1)) p from m),
-st as (select distinct k, licence, greatest(p - q + 1, 1) b from p join a using (licence, gram)),
-w as (select doc_id, licence, tg, list_distinct(g[b:b + n - 1]) g from (select *, unnest(spans) n from m) join st using (k, licence)),
+m as (select doc_id, licence, g, tg, need, longest from dg join t on list_has_any(g, tg) where len(list_intersect(list_distinct(g), tg)) >= need),
+b as (select *, unnest(range(1, len(g) - need + 2)) b from m),
+w as (select doc_id, licence, tg, list_distinct(g[b:b + n - 1]) g from (select *, unnest(range(need, longest + 1)) n from b) z),
 x as (select doc_id, licence, 2.0::double * len(list_intersect(g, tg)) / (len(g) + len(tg)) score, 0 n from w),
 u as (select * from s union all select * from x)
 select doc_id, licence, max(score) score, sum(n)::bigint n_lines from u where score >= 0.9 group by 1, 2
