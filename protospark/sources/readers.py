@@ -7,8 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from protospark.functions.sequence import _cigar_sum, cigar_ref_span, fix_cigar
 from protospark.schemas import HITS, TRUTH
+from protospark.sources.sam import sam_records
 
 _HIT = [c.split()[0].strip("`") for c in HITS.split(", ")][:-1]
 
@@ -72,23 +72,17 @@ def read_blast_tab(spark: SparkSession, path: str, lengths: DataFrame, max_misma
 
 
 def hits_of_sam(lines: DataFrame, lengths: DataFrame, max_mismatches: int = 5, mode: str = "aligned") -> DataFrame:
-    """SAM lines (``value``). Unmapped records and headers are skipped; unknown spacers and negative counts are dropped.
+    """SAM lines (``value``). Unmapped and malformed records and headers are skipped; unknown spacers and negative counts are dropped.
 
     ``aligned``: aligned bases are M, = and X; clips and the NM tag add to mismatches. ``cigar_total``: all CIGAR numbers are aligned.
     """
-    f = F.split("value", "\t")
-    d = lines.where(~F.col("value").startswith("@") & (F.size(f) >= 11)).select("value", f.alias("f"))
-    d = d.select("value", F.element_at("f", 1).alias("spacer_id"), F.element_at("f", 2).cast("int").alias("flag"), F.element_at("f", 3).alias("contig_id"), (F.element_at("f", 4).cast("long") - 1).alias("start"), fix_cigar(F.element_at("f", 6)).alias("cigar"))
-    d = d.where("flag & 4 = 0").join(lengths.select("spacer_id", F.col("length").alias("_len")), "spacer_id")
-    tag = F.coalesce(F.regexp_extract("value", r"\t(?i:NM):i:(\d+)", 1).try_cast("long"), F.lit(0))
-    clip = _cigar_sum("cigar", "S")
-    d = d.withColumns({"_nm": tag + clip if mode == "aligned" else tag, "_clip": clip})
+    d = sam_records(lines).join(lengths.select("spacer_id", F.col("length").alias("_len")), "spacer_id")
     if mode == "aligned":
-        d = d.withColumns({"mismatches": F.col("_len") - _cigar_sum("cigar", "M=X") + F.col("_nm"), "end": F.col("start") + cigar_ref_span("cigar")})
-        d = d.where((F.col("mismatches") <= max_mismatches) & (F.col("_nm") <= max_mismatches))
+        d = d.withColumn("nm", F.col("nm") + F.col("clip"))
+        d = d.withColumns({"mismatches": F.col("_len") - F.col("aligned") + F.col("nm"), "end": F.col("start") + F.col("span")})
+        d = d.where((F.col("mismatches") <= max_mismatches) & (F.col("nm") <= max_mismatches))
     else:
-        total = _cigar_sum("cigar", "A-Z=")
-        d = d.withColumns({"mismatches": F.col("_len") - total + F.col("_clip") + F.col("_nm"), "end": F.col("start") + total}).where(F.col("mismatches") <= max_mismatches)
+        d = d.withColumns({"mismatches": F.col("_len") - F.col("total") + F.col("clip") + F.col("nm"), "end": F.col("start") + F.col("total")}).where(F.col("mismatches") <= max_mismatches)
     d = d.where("mismatches >= 0")
     return _finish(d.withColumn("strand", F.expr("flag & 16 <> 0")).select("spacer_id", "contig_id", "strand", "start", "end", "mismatches"), lengths)
 

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from protospark.functions import distance as dist, sequence as seq
 from protospark.operators import agreement as ag, classify as cl, joins as jo, resources as rs, search
 from protospark.plans import catalogue
 from protospark.schemas import HITS, TRUTH
-from protospark.sources import readers as rd
+from protospark.sources import readers as rd, sam
 from protospark.sources.blocks import store_blocks
 
 DATA = "/root/testdata/sf0.001"
@@ -288,3 +289,35 @@ def test_blocked_sequences(spark):
     assert ("short", 0) not in told
     with pytest.raises(ValueError):
         seq.lcc_windows_blocks(blocks, 2000)
+
+
+def test_sam_columns_against_a_loop(spark, tmp_path):
+    """Random records, odd tags and CIGARs; a file read with splits at any byte gives the same rows."""
+    import re
+
+    rng = random.Random(12)
+    lines = ["@HD\tVN:1.6", "", "short\t0", "@\t0\tc\t5\t60\t5M\t*\t0\t0\t*\t*", "s\tx\tc\t5\t60\t5M\t*\t0\t0\t*\t*", "s\t0\tc\t\t60\t5M\t*\t0\t0\t*\t*", "s\t0\tc\t7\t60\t*\t*\t0\t0\t*\tNM:i:9"]
+    for i in range(400):
+        cigar = "".join(f"{rng.choice(['', '', rng.randint(1, 200)])}{rng.choice('MIDNSHP=X')}" for _ in range(rng.randint(1, 6)))
+        tags = [rng.choice(["AS:i:4", "NM:i:3", "nm:i:12", "NM:i:", "NM:i:x", "NM:i:5z", "XX:Z:NM:i:7", "NM:f:3", "Nm:i:0"]) for _ in range(rng.randint(0, 4))]
+        lines.append("\t".join([f"s{i % 40}é", str(rng.choice([0, 4, 16, 20, 256, 272])), f"c{i % 7}", str(rng.randint(0, 10**6)), "60", cigar, "*", "0", "0", "A" * (i % 50), "*", *tags]))
+    want = []
+    for line in lines:
+        f = line.split("\t")
+        if line.startswith("@") or len(f) < 11 or not f[1].isdigit() or not f[3].isdigit() or int(f[1]) & 4:
+            continue
+        ops = [(int(n), o) for n, o in re.findall(r"(\d+)([A-Z=])", re.sub("(?<=[A-Z=])(?=[A-Z=])", "1", f[5]))]
+        tag = next((int(m[1]) for t in f[11:] if (m := re.match(r"(?i:NM):i:(\d+)", t))), 0)
+        total = lambda letters: sum(n for n, o in ops if o in letters)
+        want.append((f[0], f[2], int(f[1]), int(f[3]) - 1, total("M=X"), total("MDN=X"), sum(n for n, _ in ops), total("S"), tag))
+    (tmp_path / "a.sam").write_text("\n".join(lines) + "\n")
+    whole = sorted(map(tuple, sam.sam_records(spark.read.text(str(tmp_path))).collect()))
+    assert whole == sorted(want) and len(want) > 200
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "777")
+    try:
+        parts = spark.read.text(str(tmp_path))
+        assert parts.rdd.getNumPartitions() > 20 and sorted(map(tuple, sam.sam_records(parts).collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sam.parse(pa.array([], pa.string())).num_rows == 0 and sam.parse(pa.array([None, "x"])).num_rows == 0
