@@ -6,16 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from protospark.operators.quantiles import quantiles
 from protospark.schemas import GROUP_KEY
 
 REGION = [*GROUP_KEY, "region_start"]
 
 
 def tool_summary(df: DataFrame, distance: str = "mismatches") -> DataFrame:
-    return df.groupBy("tool").agg(
+    """Per tool: rows, spacers, contigs, and mean, exact median and extremes of the distance."""
+    told = df.groupBy("tool").agg(
         F.count("*").alias("n"), F.count_distinct("spacer_id").alias("n_spacers"), F.count_distinct("contig_id").alias("n_contigs"),
-        F.avg(distance).alias("mean"), F.median(distance).alias("median"), F.min(distance).alias("min"), F.max(distance).alias("max"),
+        F.avg(distance).alias("mean"), F.min(distance).alias("min"), F.max(distance).alias("max"),
     )
+    middle = quantiles(df, [distance], [0.5], ["tool"]).select(F.col("tool").alias("_tool"), F.element_at("quantiles", 1).alias("median"))
+    return told.join(middle, F.col("tool").eqNullSafe(F.col("_tool")), "left").select("tool", "n", "n_spacers", "n_contigs", "mean", "median", "min", "max")
 
 
 def recall_by_dataset(df: DataFrame, dataset: str = "fraction", key: Sequence[str] = REGION) -> DataFrame:
@@ -141,8 +145,9 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, least, quartiles and largest of each column."""
     long = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).unpivot([], list(cols), "column", "v")
-    q = lambda p: F.percentile("v", F.lit(p))
-    return long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("v").alias("max"))
+    told = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = lambda i: F.element_at("quantiles", i)
+    return told.join(quantiles(df, cols, [0.25, 0.5, 0.75]), "column", "left").select("column", "n", "mean", "std", "min", q(1).alias("q25"), q(2).alias("median"), q(3).alias("q75"), "max")
 
 
 def histogram(df: DataFrame, col: str, low: float, high: float, bins: int) -> DataFrame:

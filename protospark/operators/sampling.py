@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from protospark.operators.quantiles import quantiles
 from protospark.session import cut
 
 
@@ -27,7 +28,7 @@ def sample_hq(df: DataFrame, fraction: float, seed: int) -> DataFrame:
 
 def quantile_bins(df: DataFrame, col: str, n: int = 10, out: str | None = None) -> DataFrame:
     """Adds the quantile bin (0 to n - 1) of a column; upper edges are closed, equal edges make one bin."""
-    edges = df.agg(F.percentile(col, F.array(*(F.lit(i / n) for i in range(1, n)))).alias("_edges"))
+    edges = quantiles(df, [col], [i / n for i in range(1, n)]).agg(F.first("quantiles").alias("_edges"))  # a row also without values
     bin_ = F.size(F.filter(F.array_distinct("_edges"), lambda e: F.col(col) > e))
     return df.crossJoin(F.broadcast(edges)).withColumn(out or f"{col}_bin", bin_).drop("_edges")
 

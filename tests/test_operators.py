@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from protospark.functions import distance as dist, sequence as seq
-from protospark.operators import agreement as ag, classify as cl, joins as jo, resources as rs, search
+from protospark.operators import agreement as ag, classify as cl, joins as jo, quantiles as qu, resources as rs, search
 from protospark.plans import catalogue
 from protospark.schemas import HITS, TRUTH
 from protospark.sources import readers as rd, sam
@@ -321,3 +321,26 @@ def test_sam_columns_against_a_loop(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sam.parse(pa.array([], pa.string())).num_rows == 0 and sam.parse(pa.array([None, "x"])).num_rows == 0
+
+
+@pytest.mark.parametrize("limit, buckets", [(1 << 20, 1 << 12), (3, 4)])
+def test_quantiles_against_numpy(spark, monkeypatch, limit, buckets):
+    """Ties, outliers, one value, no value, null groups; small limits force buckets within buckets."""
+    monkeypatch.setattr(qu, "SORTED", limit)
+    monkeypatch.setattr(qu, "BUCKETS", buckets)
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.random(), 0.5, 0.5, 1e12, -3.0]), rng.randint(0, 5)) for _ in range(300)]
+    rows += [("one", 7.0, 7), ("none", None, None), ("nan", float("nan"), None), ("two", -1e300, 1), ("two", 1e300, 2)]
+    df = spark.createDataFrame(rows, "g string, x double, y long")
+    ps = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.column): r.quantiles for r in qu.quantiles(df, ["x", "y"], ps, ["g"]).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        for i, c in ((1, "x"), (2, "y")):
+            v = [float(r[i]) for r in rows if r[0] == g and r[i] is not None and r[i] == r[i]]
+            if v:
+                want[g, c] = np.quantile(np.array(v) / 4, ps) * 4
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12) for k in want)
+    whole = qu.quantiles(df, ["y"], [0.5]).collect()
+    assert len(whole) == 1 and whole[0].quantiles == [np.median([r[2] for r in rows if r[2] is not None])]
+    assert qu.quantiles(df.limit(0), ["x"], [0.5]).count() == 0
