@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from protospark.sources.blocks import BlockedSequences
@@ -138,10 +138,18 @@ def filter_repetitive(df: DataFrame, k: int = 6, max_count: int = 4, seq: str =
     return df.where(most_repeated_kmer(seq, k) <= max_count)
 
 
-def filter_low_complexity(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """Sequences without N, with no base (nor G and C together) at 95 % or more, entropy over 1, under four repeated 6-mers."""
+def filter_low_complexity(df: DataFrame, seq: str = "seq", counts: Observation | None = None) -> DataFrame:
+    """Sequences without N, with no base (nor G and C together) at 95 % or more, entropy over 1, under four repeated 6-mers.
+
+    ``counts`` is filled by the first action on the result, without another pass: ``rows``, ``removed`` and ``removed_pct`` (null without rows).
+    """
     d = base_composition(df, seq).withColumns({"entropy": shannon_entropy(seq), "n_nonunique_kmer_6": n_nonunique_kmers(seq, 6)})
-    return d.where((F.col("n") == 0) & (F.greatest("a", "g", "c", "t", "gc") < 0.95) & (F.col("entropy") > 1) & (F.col("n_nonunique_kmer_6") < 4))
+    keep = (F.col("n") == 0) & (F.greatest("a", "g", "c", "t", "gc") < 0.95) & (F.col("entropy") > 1) & (F.col("n_nonunique_kmer_6") < 4)
+    if counts is None:
+        return d.where(keep)
+    d = d.withColumn("_keep", F.coalesce(keep, F.lit(False)))
+    rows, removed = F.count(F.lit(1)), F.count_if(~F.col("_keep"))
+    return d.observe(counts, rows.alias("rows"), removed.alias("removed"), (100 * F.try_divide(removed, rows)).alias("removed_pct")).where("_keep").drop("_keep")
 
 
 def kmers_long(df: DataFrame, id: str = "seqid", ks=(3, 4, 5, 6)) -> DataFrame:

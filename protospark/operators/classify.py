@@ -76,6 +76,22 @@ def false_negatives(truth: DataFrame, classified: DataFrame) -> DataFrame:
     return truth.crossJoin(F.broadcast(tools)).join(found, [*key, "tool"], "left_anti")
 
 
+def false_negative_counts(truth: DataFrame, classified: DataFrame) -> DataFrame:
+    """Per tool, and for ``all_tools`` together: truth rows (``n_truth``), those missed, and their share in per cent.
+
+    Found rows are counted, so the truth never meets the tools.
+    """
+    found = classified.where(F.col("classification") == PLANNED).select("tool", "spacer_id", "contig_id", "strand", F.col("start_gt").alias("start"), F.col("end_gt").alias("end")).distinct()
+    key = ["spacer_id", "contig_id", "strand", "start", "end"]
+    hit = truth.select(*key).join(found, key)
+    own = hit.groupBy("tool").agg(F.count("*").alias("n_found"))
+    every = hit.select(*key).distinct().agg(F.count("*").alias("n_found")).select(F.lit("all_tools").alias("tool"), "n_found")
+    tools = classified.select("tool").distinct().join(own, "tool", "left").fillna(0, ["n_found"]).unionByName(every)
+    total = F.broadcast(truth.agg(F.count("*").alias("n_truth")))
+    missed = F.col("n_truth") - F.col("n_found")
+    return tools.crossJoin(total).select("tool", "n_truth", missed.alias("n_missed"), (100 * _ratio(missed, F.col("n_truth"))).alias("missed_pct"))
+
+
 def missed_by_all(truth: DataFrame, classified: DataFrame) -> DataFrame:
     """Truth rows that no tool has found."""
     found = classified.where(F.col("classification") == PLANNED).select("spacer_id", "contig_id", "strand", F.col("start_gt").alias("start"), F.col("end_gt").alias("end"))
@@ -111,9 +127,11 @@ def multi_metric(truth, hits, contigs, spacers, max_distance: int = 5, tol: int
     return d.withColumns({"classification": kind, "planned_mismatches": F.coalesce("mismatches_gt", "hamming")})
 
 
-def metrics_at(df: DataFrame, metrics: Sequence[str], thresholds: Sequence[int]) -> DataFrame:
+def metrics_at(df: DataFrame, metrics: Sequence[str], thresholds: Sequence[int], space: DataFrame | None = None) -> DataFrame:
     """Counts by class and recall, precision and invalid share for each distance and threshold, in one pass.
 
+    With ``space`` (one row, as from ``dataset_stats``) also spurious locations per million pairs of spacer and contig, and per 10^18 products of bases.
+
     ``df``: as from ``multi_metric``. A location in plan counts as found if within the threshold, one not in plan as spurious.
     """
     long = df.select("classification", *metrics).unpivot(["classification"], list(metrics), "metric", "distance")
@@ -124,7 +142,11 @@ def metrics_at(df: DataFrame, metrics: Sequence[str], thresholds: Sequence[int])
         n(planned).alias("n_planned"), n(planned & within).alias("true_positives"), n(~planned & within).alias("spurious"), n(~planned & ~within).alias("invalid"), F.count("*").alias("n")
     )
     tp, sp, bad = F.col("true_positives"), F.col("spurious"), F.col("invalid")
-    return out.withColumns({"recall_planned": _ratio(tp, F.col("n_planned")), "precision_planned": _ratio(tp, tp + sp + bad), "precision_augmented": _ratio(tp + sp, tp + sp + bad), "invalid_pct": 100 * _ratio(bad, F.col("n"))})
+    out = out.withColumns({"recall_planned": _ratio(tp, F.col("n_planned")), "precision_planned": _ratio(tp, tp + sp + bad), "precision_augmented": _ratio(tp + sp, tp + sp + bad), "invalid_pct": 100 * _ratio(bad, F.col("n"))})
+    if space is None:
+        return out
+    size = F.broadcast(space.select((F.col("n_spacers") * F.col("n_contigs").cast("double")).alias("_pairs"), (F.col("spacer_bp") * F.col("contig_bp").cast("double")).alias("_bp2")))
+    return out.crossJoin(size).withColumns({"spurious_per_m_pairs": F.try_divide(sp * 1e6, F.col("_pairs")), "spurious_per_gbp2": F.try_divide(sp * 1e18, F.col("_bp2"))}).drop("_pairs", "_bp2")
 
 
 def threshold_sweep(df: DataFrame, truth: DataFrame, thresholds: Sequence[int], metric: str = "edit") -> DataFrame:
@@ -156,15 +178,28 @@ def rate_summary(rates: DataFrame) -> DataFrame:
 
 
 def metric_agreement(df: DataFrame, metrics: Sequence[str] = ("hamming", "edit"), ts: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
-    """Means, extremes, how often the distances agree, and how many pass each threshold."""
+    """Means, extremes, how often the distances agree (counts and per cent), and how many pass each threshold."""
     a, b = metrics[0], metrics[1]
     cols = [f(m).alias(f"{k}_{m}") for m in metrics for k, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
-    cols += [F.count_if(F.col(x) == F.col(y)).alias(f"n_{x}_{y}") for i, x in enumerate(metrics) for y in metrics[i + 1 :]]
+    share = lambda c: 100 * _ratio(F.count_if(c), F.count("*"))
+    cols += [f.alias(f"{k}_{x}_{y}") for i, x in enumerate(metrics) for y in metrics[i + 1 :] for k, f in (("n", F.count_if(F.col(x) == F.col(y))), ("pct", share(F.col(x) == F.col(y))))]
     cols += [F.count_if(F.col(m) <= t).alias(f"pass_{m}_{t}") for m in metrics for t in ts]
     same = F.col(a) == F.col(b)
     for m in metrics[2:]:
         same = same & (F.col(m) == F.col(a))
-    return df.agg(F.count("*").alias("n"), F.count_if(same).alias("n_all_equal"), *cols)
+    return df.agg(F.count("*").alias("n"), F.count_if(same).alias("n_all_equal"), share(same).alias("pct_all_equal"), *cols)
+
+
+def disagreements(df: DataFrame, n: int, metrics: Sequence[str] = ("hamming", "edit"), seed: int = 42) -> DataFrame:
+    """A sample of ``n`` locations whose distances differ (one may be missing), by a seeded hash of their key: the same in every run.
+
+    Each task keeps its ``n`` smallest hashes, and these are merged, so no sort of all rows.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in HIT_KEY))
+    differ = F.lit(False)
+    for m in metrics[1:]:
+        differ = differ | ~F.col(m).eqNullSafe(F.col(metrics[0]))
+    return df.where(differ).withColumn("_order", F.md5(text.cast("binary"))).orderBy("_order", *HIT_KEY).limit(n).drop("_order")
 
 
 def by_region(df: DataFrame) -> DataFrame:

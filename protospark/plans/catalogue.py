@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from protospark.functions import distance as dist, sequence as seq
 from protospark.operators import agreement as ag, catalog as cat, classify as cl, joins as jo, resources as rs, sampling as sm, search
@@ -93,11 +93,28 @@ def _(s):
     return seq.filter_repetitive(s, 3, 4).select("spacer_id")
 
 
-@query("filter_low_complexity", "fx_spacers", sql=_NON + f", e as (select spacer_id, -sum(p * log2(p)) e from (select spacer_id, ch, count(*)::double / any_value(n) p from (select spacer_id, unnest(string_split(seq, '')) ch, length(seq) n from fx_spacers) group by 1, 2) group by 1), cc as (select spacer_id, {_COMP} from fx_spacers) select cc.spacer_id from cc join e using (spacer_id) join u using (spacer_id) where k = 6 and cc.n = 0 and greatest(a, t, c, g, gc) < 0.95 and e > 1 and u < 4".replace("greatest(a, t, c, g, gc)", "greatest(cc.a, cc.t, cc.c, cc.g, cc.gc)"))
+_QC = _NON + f", e as (select spacer_id, -sum(p * log2(p)) e from (select spacer_id, ch, count(*)::double / any_value(n) p from (select spacer_id, unnest(string_split(seq, '')) ch, length(seq) n from fx_spacers) group by 1, 2) group by 1), cc as (select spacer_id, {_COMP} from fx_spacers)"
+_KEPT = 'cc.n = 0 and greatest(cc.a, cc.t, cc.c, cc.g, cc.gc) < 0.95 and e > 1 and u < 4'
+
+
+@query("filter_low_complexity", "fx_spacers", sql=_QC + f" select cc.spacer_id from cc join e using (spacer_id) join u using (spacer_id) where k = 6 and {_KEPT}")
 def _(s):
     return seq.filter_low_complexity(s).select("spacer_id")
 
 
+def _observed(df: DataFrame, counts: Observation) -> DataFrame:
+    """What an observation has counted while ``df`` was computed."""
+    df.write.format("noop").mode("overwrite").save()
+    got = counts.get
+    return df.sparkSession.createDataFrame([tuple(got.values())], ", ".join(f"{k} {'double' if k.endswith('pct') else 'long'}" for k in got))
+
+
+@query("filter_low_complexity_counts", "fx_spacers", sql=_QC + f", x as (select count(*) as rows, count(*) filter (not coalesce({_KEPT}, false)) removed from cc left join e using (spacer_id) left join (select * from u where k = 6) u using (spacer_id)) select *, 100 * removed / nullif(rows, 0)::double removed_pct from x")
+def _(s):
+    counts = Observation()
+    return _observed(seq.filter_low_complexity(s, counts=counts), counts)
+
+
 @query("dust_masked", "fx_spacers", sql="with t as (select spacer_id, list_transform(range(1, length(seq) - 1), lambda i: substring(seq, i::int, 3)) t from fx_spacers), c as (select spacer_id, t, i, l, list_sum(list_transform(range(i, i + l), lambda p: len(list_filter(t[p + 1:i + l], lambda x: x = t[p])))) s from t, unnest(range(1, len(t) + 1)) r(i), unnest(range(1, 7)) q(l) where i + l <= len(t)), m as (select distinct spacer_id, unnest(range(i, i + l + 3)) p from c where 10 * s > 15 * l), n as (select spacer_id, count(*) k from m group by 1) select spacer_id, coalesce(k, 0)::int masked from fx_spacers left join n using (spacer_id)")
 def _(s):
     return s.select("spacer_id", seq.dust_masked("seq").alias("masked"))
@@ -252,6 +269,11 @@ def _(t, h, c, s):
     return cl.false_negatives(t, cl.classify(t, h, c, s))
 
 
+@query("false_negative_counts", "fx_truth", "fx_hits", "fx_blocks", "fx_spacers", sql=_CLS + ", fd as (select distinct cf.tool, t.spacer_id, t.contig_id, t.strand, t.start, t.\"end\" from fx_truth t join cf on cf.spacer_id = t.spacer_id and cf.contig_id = t.contig_id and cf.strand = t.strand and cf.start_gt = t.start and cf.end_gt = t.\"end\"), fo as (select tool, count(*) n from fd group by 1 union all select 'all_tools', count(*) from (select distinct * exclude (tool) from fd)), ft as (select count(*) n_truth from fx_truth) select tool, n_truth, n_truth - coalesce(n, 0) n_missed, 100 * (n_truth - coalesce(n, 0)) / n_truth::double missed_pct from (select distinct tool from cf union all select 'all_tools') left join fo using (tool), ft")
+def _(t, h, c, s):
+    return cl.false_negative_counts(t, cl.classify(t, h, c, s))
+
+
 @query("missed_by_all", "fx_truth", "fx_hits", "fx_blocks", "fx_spacers", sql=_CLS + ' select t.* from fx_truth t where not exists (select 1 from cf where cf.spacer_id = t.spacer_id and cf.contig_id = t.contig_id and cf.strand = t.strand and cf.start_gt = t.start and cf.end_gt = t."end")')
 def _(t, h, c, s):
     return cl.missed_by_all(t, cl.classify(t, h, c, s))
@@ -262,9 +284,12 @@ def _(t, h, c, s):
     return cl.missed_by_all(t, cl.classify(t, h.where("tool in ('tool_0', 'tool_1')"), c, s))
 
 
-@query("examples", "fx_truth", "fx_hits", "fx_blocks", "fx_spacers", sql=_CLS + f", l as (select classification, {HK}, string_agg(distinct tool, ',' order by tool) tools from cf group by all) select * from (select *, row_number() over (partition by classification order by {HK}) r from l) where r <= 3".replace("select * from (select *, row_number()", "select * exclude (r), r::int r from (select *, row_number()"))
+_LINES = "case when length(sp) = length(rr) then sp || chr(10) || array_to_string(list_transform(range(1, length(sp) + 1), lambda i: case when sp[i] = rr[i] then '|' else '.' end), '') || chr(10) || rr end"
+
+
+@query("examples", "fx_truth", "fx_hits", "fx_blocks", "fx_spacers", sql=_CLS + f", l as (select classification, {HK}, string_agg(distinct tool, ',' order by tool) tools from cf group by all), lr as (select *, row_number() over (partition by classification order by {HK}) n from l), lx as (select lr.*, sp, {_REG} rr from lr join k using ({HK}) where n <= 3) select classification, {HK}, tools, n::int r, {_LINES} alignment from lx")
 def _(t, h, c, s):
-    return cl.examples(cl.classify(t, h, c, s), s, c).drop("spacer_seq", "region_seq", "alignment")
+    return cl.examples(cl.classify(t, h, c, s), s, c, metric="hamming").drop("spacer_seq", "region_seq")
 
 
 _RH = _RG.replace("with a as (select *", 'with h0 as (select spacer_id, contig_id, start, "end", strand, min(mismatches) reported_mismatches, string_agg(distinct tool, \',\' order by tool) tools from fx_hits group by all), a as (select *').replace("fx_intervals", "h0")
@@ -300,15 +325,26 @@ def _(t, h, c, s):
     return cl.metrics_at(_multi(t, h, c, s), ["hamming", "edit"], range(8))
 
 
+@query("metrics_by_space", *_MV, "fx_contigs", sql=_MM + ", " + _AT + ", sz as (select (select count(*) from fx_spacers)::double * (select count(*) from fx_contigs) pairs, (select sum(length(seq)) from fx_spacers)::double * (select sum(length) from fx_contigs) bp2) select metric, threshold, spurious, round(spurious * 1e6 / pairs, 6) spurious_per_m_pairs, round(spurious * 1e18 / bp2 / 1e6, 6) spurious_per_gbp2_m from mt, sz")
+def _(t, h, c, s, contigs):
+    d = cl.metrics_at(_multi(t, h, c, s), ["hamming", "edit"], range(8), rs.dataset_stats(s.withColumn("length", F.length("seq")), contigs))
+    return d.select("metric", "threshold", "spurious", F.round("spurious_per_m_pairs", 6).alias("spurious_per_m_pairs"), F.round(F.col("spurious_per_gbp2") / 1e6, 6).alias("spurious_per_gbp2_m"))
+
+
+@query("disagreements", *_MV, sql=_MM + f" select {HK}, hamming, edit from mm where hamming is distinct from edit order by md5('42:' || spacer_id || ':' || contig_id || ':' || start || ':' || \"end\" || ':' || strand), {HK} limit 20")
+def _(t, h, c, s):
+    return cl.disagreements(_multi(t, h, c, s), 20).select("spacer_id", "contig_id", "start", "end", "strand", "hamming", "edit")
+
+
 @query("threshold_sweep", *_MV, sql=_MM + ", tt as (select unnest(range(0, 6))::int threshold), tr as (select threshold, count(*) n_truth from fx_truth, tt where mismatches <= threshold group by 1), rd as (select *, classification = 'positive_in_plan' and mismatches_gt <= threshold pl from mm, tt where reported_mismatches <= threshold), o as (select threshold, count(distinct case when pl then (spacer_id, contig_id, strand, start_gt, end_gt) end) identified, count(*) filter (not coalesce(pl, false) and edit <= threshold) spurious, count(*) filter (not coalesce(pl, false) and not coalesce(edit <= threshold, false)) invalid, count(*) n from rd group by 1) select threshold, n_truth, identified, spurious, invalid, n, n_truth - identified missed, 100 * coalesce(identified / nullif(n_truth, 0)::double, 0) identified_pct, 100 * coalesce((n_truth - identified) / nullif(n_truth, 0)::double, 0) missed_pct, 100 * coalesce(spurious / nullif(n, 0)::double, 0) spurious_pct, 100 * coalesce(invalid / nullif(n, 0)::double, 0) invalid_pct from tr left join o using (threshold)")
 def _(t, h, c, s):
     return cl.threshold_sweep(_multi(t, h, c, s), t, range(6))
 
 
-_AGR = ", ".join([*(f"{k}({m}){'::double' if k == 'avg' else ''} {n}_{m}" for m in ("hamming", "edit") for k, n in (("avg", "mean"), ("min", "min"), ("max", "max"))), "count(*) filter (hamming = edit) n_hamming_edit", *(f"count(*) filter ({m} <= {t}) pass_{m}_{t}" for m in ("hamming", "edit") for t in range(1, 6))])
+_AGR = ", ".join([*(f"{k}({m}){'::double' if k == 'avg' else ''} {n}_{m}" for m in ("hamming", "edit") for k, n in (("avg", "mean"), ("min", "min"), ("max", "max"))), "count(*) filter (hamming = edit) n_hamming_edit, 100 * count(*) filter (hamming = edit) / count(*)::double pct_hamming_edit", *(f"count(*) filter ({m} <= {t}) pass_{m}_{t}" for m in ("hamming", "edit") for t in range(1, 6))])
 
 
-@query("metric_agreement", *_MV, sql=_MM + f" select count(*) n, count(*) filter (hamming = edit) n_all_equal, {_AGR} from mm")
+@query("metric_agreement", *_MV, sql=_MM + f" select count(*) n, count(*) filter (hamming = edit) n_all_equal, 100 * count(*) filter (hamming = edit) / count(*)::double pct_all_equal, {_AGR} from mm")
 def _(t, h, c, s):
     return cl.metric_agreement(_multi(t, h, c, s))
 
@@ -638,6 +674,14 @@ def _(h, s):
     return rd.hits_of_sam(_sam(h), _lengths(s), 3)
 
 
+@query("sam_dropped", "fx_hits", "fx_spacers", sql=f"select count(*) records, count(*) filter (length is null) unknown_spacer, count(*) filter (d < 0) negative, count(*) filter (d >= 0 and greatest(d, mismatches) > 2) over_limit from (select *, length - spacer_length + mismatches d from fx_hits left join (select * from ({_LEN}) where split_part(spacer_id, '_', 2)::bigint % 3 > 0) using (spacer_id))")
+def _(h, s):
+    """A third of the spacers are unknown to the reader."""
+    counts = Observation()
+    known = _lengths(s).where("cast(split_part(spacer_id, '_', 2) as bigint) % 3 > 0")
+    return _observed(rd.hits_of_sam(_sam(h), known, 2, counts=counts), counts)
+
+
 @query("read_sam_cigar_total", "fx_hits", "fx_spacers", sql=f'select distinct spacer_id, contig_id, length::int spacer_length, strand, start, start + spacer_length "end", (length - spacer_length + mismatches)::int mismatches from fx_hits join ({_LEN}) using (spacer_id) where length - spacer_length + mismatches between 0 and 3')
 def _(h, s):
     return rd.hits_of_sam(_sam(h), _lengths(s), 3, "cigar_total")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from protospark.schemas import HITS, TRUTH
 from protospark.sources.sam import sam_records
@@ -71,24 +71,28 @@ def read_blast_tab(spark: SparkSession, path: str, lengths: DataFrame, max_misma
     return hits_of_blast(spark.read.csv(path, sep="\t", schema=BLAST), lengths, max_mismatches)
 
 
-def hits_of_sam(lines: DataFrame, lengths: DataFrame, max_mismatches: int = 5, mode: str = "aligned") -> DataFrame:
+def hits_of_sam(lines: DataFrame, lengths: DataFrame, max_mismatches: int = 5, mode: str = "aligned", counts: Observation | None = None) -> DataFrame:
     """SAM lines (``value``). Unmapped and malformed records and headers are skipped; unknown spacers and negative counts are dropped.
 
+    ``counts`` is filled by the first action on the result: ``records`` (mapped), and of these ``unknown_spacer``, ``negative``, ``over_limit``.
+
     ``aligned``: aligned bases are M, = and X; clips and the NM tag add to mismatches. ``cigar_total``: all CIGAR numbers are aligned.
     """
-    d = sam_records(lines).join(lengths.select("spacer_id", F.col("length").alias("_len")), "spacer_id")
+    d = sam_records(lines).join(lengths.select("spacer_id", F.col("length").alias("_len")), "spacer_id", "inner" if counts is None else "left")
     if mode == "aligned":
-        d = d.withColumn("nm", F.col("nm") + F.col("clip"))
-        d = d.withColumns({"mismatches": F.col("_len") - F.col("aligned") + F.col("nm"), "end": F.col("start") + F.col("span")})
-        d = d.where((F.col("mismatches") <= max_mismatches) & (F.col("nm") <= max_mismatches))
+        nm = F.col("nm") + F.col("clip")
+        d = d.withColumns({"mismatches": F.col("_len") - F.col("aligned") + nm, "end": F.col("start") + F.col("span"), "_most": F.greatest(F.col("_len") - F.col("aligned") + nm, nm)})
     else:
-        d = d.withColumns({"mismatches": F.col("_len") - F.col("total") + F.col("clip") + F.col("nm"), "end": F.col("start") + F.col("total")}).where(F.col("mismatches") <= max_mismatches)
-    d = d.where("mismatches >= 0")
+        d = d.withColumns({"mismatches": F.col("_len") - F.col("total") + F.col("clip") + F.col("nm"), "end": F.col("start") + F.col("total")}).withColumn("_most", F.col("mismatches"))
+    if counts is not None:
+        known, negative = F.col("_len").isNotNull(), F.col("mismatches") < 0
+        d = d.observe(counts, F.count(F.lit(1)).alias("records"), F.count_if(~known).alias("unknown_spacer"), F.count_if(negative).alias("negative"), F.count_if(~negative & (F.col("_most") > max_mismatches)).alias("over_limit"))
+    d = d.where(F.col("_most") <= max_mismatches).where("mismatches >= 0")
     return _finish(d.withColumn("strand", F.expr("flag & 16 <> 0")).select("spacer_id", "contig_id", "strand", "start", "end", "mismatches"), lengths)
 
 
-def read_sam(spark: SparkSession, path: str, lengths: DataFrame, max_mismatches: int = 5, mode: str = "aligned") -> DataFrame:
-    return hits_of_sam(spark.read.text(path), lengths, max_mismatches, mode)
+def read_sam(spark: SparkSession, path: str, lengths: DataFrame, max_mismatches: int = 5, mode: str = "aligned", counts: Observation | None = None) -> DataFrame:
+    return hits_of_sam(spark.read.text(path), lengths, max_mismatches, mode, counts)
 
 
 def hits_of_tab(rows: DataFrame, lengths: DataFrame) -> DataFrame:
