@@ -14,9 +14,9 @@ __all__ = ["batches", "cut", "held_out", "in_arrow", "table", "without"]
 
 
 def batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows and 16 MB, so that long texts don't fill a Python worker; the same for every operator, as lazy plans read it later."""
+    """Arrow batches of at most 1,000 rows and 4 MB, so that long texts don't fill a Python worker; the same for every operator, as lazy plans read it later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def in_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:

@@ -1,9 +1,9 @@
 """Which hashed keys of a corpus occur more than once: packed postings, dealt by the key's top bits.
 
 A row per posting would cost several times its 16 bytes in a shuffle, so a map task packs postings,
-about half a million at a time, by bucket (top bits of the key) into one row each. Keys that recur among them
+about a quarter of a million at a time, by bucket (top bits of the key) into one row each. Keys that recur among them
 are answered there and go on as one representative, so however common a key is, a reduce task
-sees it once per half million postings and task at most. Answers go back packed by the bucket of their ids. Buckets are sized from a count of the data: their number grows with it.
+sees it once per quarter of a million postings and task at most. Answers go back packed by the bucket of their ids. Buckets are sized from a count of the data: their number grows with it.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from protospark.llm.common import in_arrow
 from protospark.llm.text import mix
 
 #: Postings that a bucket holds on average; a bucket is what a reduce task has in memory at once.
-BUCKET = 1 << 19
+BUCKET = 1 << 18
 #: Postings that a map task packs together.
-RUN = 1 << 19
+RUN = 1 << 18
 _PACKED = "kind int, bucket int, body binary"
 _FOUND = "id long, pos array<int>, key array<long>"
 
