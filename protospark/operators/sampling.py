@@ -28,9 +28,19 @@ def sample_hq(df: DataFrame, fraction: float, seed: int) -> DataFrame:
 
 def quantile_bins(df: DataFrame, col: str, n: int = 10, out: str | None = None) -> DataFrame:
     """Adds the quantile bin (0 to n - 1) of a column; upper edges are closed, equal edges make one bin."""
-    edges = quantiles(df, [col], [i / n for i in range(1, n)]).agg(F.first("quantiles").alias("_edges"))  # a row also without values
-    bin_ = F.size(F.filter(F.array_distinct("_edges"), lambda e: F.col(col) > e))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out or f"{col}_bin", bin_).drop("_edges")
+    return _binned(df, {col: out or f"{col}_bin"}, n)
+
+
+def _above(col: str):
+    return lambda e: F.col(col) > e
+
+
+def _binned(df: DataFrame, outs: dict[str, str], n: int) -> DataFrame:
+    """The bins of several columns, whose edges are found together."""
+    of = lambda c: F.first(F.when(F.col("column") == c, F.col("quantiles")), ignorenulls=True).alias(f"_edges_{c}")
+    edges = quantiles(df, list(outs), [i / n for i in range(1, n)]).agg(*map(of, outs))  # a row also without values
+    bins = {out: F.size(F.filter(F.array_distinct(f"_edges_{c}"), _above(c))) for c, out in outs.items()}
+    return df.crossJoin(F.broadcast(edges)).withColumns(bins).drop(*(f"_edges_{c}" for c in outs))
 
 
 def stratified_sample(df: DataFrame, target: int, rank: str | None = "class", gc_bins: int = 10, length_bins: int = 10, seed: int = 42, top_up: bool = True) -> DataFrame:
@@ -39,7 +49,9 @@ def stratified_sample(df: DataFrame, target: int, rank: str | None = "class", gc
     A taxon gets ``max(1, target div taxa)`` rows, dealt over its cells with one each at least, so the target may be exceeded.
     Rows without the taxon only serve to top up; without ``rank`` the cells are those of the bins alone.
     """
-    d = quantile_bins(quantile_bins(df, "gc", gc_bins), "length", length_bins).withColumn("_order", order_of(seed))
+    both = gc_bins == length_bins
+    d = _binned(df, {"gc": "gc_bin", "length": "length_bin"}, gc_bins) if both else quantile_bins(quantile_bins(df, "gc", gc_bins), "length", length_bins)
+    d = d.withColumn("_order", order_of(seed))
     taxon = F.col(rank) if rank else F.lit("all")
     d = d.withColumn("_taxon", taxon)
     cells = d.where("_taxon is not null").select("_taxon", "gc_bin", "length_bin").distinct().groupBy("_taxon").agg(F.count("*").alias("_cells"))
