@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from protospark.functions.distance import region_of
 from protospark.functions.sequence import revcomp
 from protospark.schemas import GROUP_KEY, HIT_KEY
+from protospark.session import cut
 from protospark.sources.blocks import BlockedSequences
 
 
@@ -71,22 +74,87 @@ def overlap_join(planned: DataFrame, hits: DataFrame, k: int, width: int = 512)
     return pairs.withColumn("overlap", label).drop("_bin", "_first_1", "_first_2")
 
 
-def _islands(df: DataFrame, tol: int, by: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("start", "end")
+#: Buckets of starts in a range of a key: windows never see more rows of one partition, whatever the number of intervals.
+RANGE = 1 << 12
+#: Intervals of a key that one task may hold; keys with more are spread over their ranges.
+MOST = 1 << 16
+BROADCAST_KEYS = 1 << 17
+
+
+def _islands(df: DataFrame, tol: int, key: Sequence[str], width: int) -> DataFrame:
+    """``key, _bucket, _island, end, n_merged``: intervals whose starts share a bucket of ``tol + 1`` places, with the start of their island.
+
+    Such intervals always belong together, so they are counted before the shuffle. Islands are found within ranges of ``width``
+    buckets; then the largest end of the ranges before tells which of a range's first islands go on with an earlier one.
+    """
+    bucket, range_ = (f"({x} - pmod({x}, {n}L)) div {n}L" for x, n in (("start", tol + 1), ("_bucket", width)))
+    points = df.groupBy(*key, F.expr(bucket).alias("_bucket")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_merged"))
+    within = Window.partitionBy(*key, "_range").orderBy("_bucket")
+    reach = F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    points = points.withColumn("_range", F.expr(range_)).withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + tol), F.col("start")))
+    points = cut(points.withColumn("_local", F.max("_new").over(within.rowsBetween(Window.unboundedPreceding, 0))).drop("start", "_new"))
+
+    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = points.groupBy(*key, "_range").agg(F.max("end").alias("_end"), F.max("_local").alias("_last")).withColumn("_reach", F.max("_end").over(before))
+    begins = F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach") + tol), F.col("_last"))
+    ranges = ranges.withColumn("_carried", F.max(begins).over(before)).select(*key, "_range", "_reach", "_carried")
+    goes_on = F.col("_local") <= F.col("_reach") + tol
+    out = _met(points, ranges, [*key, "_range"]).withColumn("_island", F.when(goes_on, F.col("_carried")).otherwise(F.col("_local")))
+    return out.select(*key, "_bucket", "_island", "end", "n_merged")
+
+
+def _met(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join in which a null equals a null; ``right`` has a row for each key of ``left`` at most."""
+    right = right.select(*(F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(right, reduce(and_, same), "left").drop(*(f"_r_{c}" for c in on))
+
+
+def _by_heat(df: DataFrame, key: Sequence[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys that have ``most`` rows at most, and rows of the others (None if there are none)."""
+    hot = cut(df.groupBy(*key).count().where(F.col("count") > most).select(*(F.col(c).alias(f"_r_{c}") for c in key)))
+    n = hot.count()
+    if not n:
+        return df, None
+    hot = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in key])
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
+
+def _key_islands(df: DataFrame, tol: int, key: Sequence[str]) -> DataFrame:
+    """Adds ``_island`` to rows of keys that a task may hold: the start of the island."""
+    w = Window.partitionBy(*key).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start") > reach + tol), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    new = F.when(reach.isNull() | (F.col("start") > reach + tol), F.col("start"))
+    return df.withColumn("_new", new).withColumn("_island", F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def merge_intervals(df: DataFrame, tol: int, by: Sequence[str] = ()) -> DataFrame:
-    """Intervals of a group key (and ``by``) that start within ``tol`` of what came before end, merged."""
+def merge_intervals(df: DataFrame, tol: int, by: Sequence[str] = (), most: int = MOST, width: int = RANGE) -> DataFrame:
+    """Intervals of a group key (and ``by``) that start within ``tol`` of what came before end, merged.
+
+    ``end >= start`` is taken for granted. Keys may hold nulls; rows without a start are islands of their own key. A key of more than ``most``
+    intervals is spread over its ranges of ``width * (tol + 1)`` places, with the same result.
+    """
     key = [*GROUP_KEY, *by]
-    merged = _islands(df.select(*key, "start", "end"), tol, key).groupBy(*key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_merged"))
-    return merged.drop("_island")
+    rows, hot = _by_heat(df.select(*key, "start", "end"), key, most)
+    islands = _key_islands(rows, tol, key).groupBy(*key, "_island").agg(F.max("end").alias("end"), F.count("*").alias("n_merged"))
+    if hot is not None:
+        islands = islands.unionByName(_islands(hot, tol, key, width).groupBy(*key, "_island").agg(F.max("end").alias("end"), F.sum("n_merged").alias("n_merged")))
+    return islands.withColumnRenamed("_island", "start")
 
 
-def assign_regions(df: DataFrame, tol: int = 5) -> DataFrame:
-    """Adds ``region_start, region_end, region_id`` of each hit: the merged interval it lies in. The id is the same in every run."""
+def assign_regions(df: DataFrame, tol: int = 5, most: int = MOST, width: int = RANGE) -> DataFrame:
+    """Adds ``region_start, region_end, region_id`` of each hit: the merged interval it lies in. The id is the same in every run.
+
+    Hits of keys with more than ``most`` find their region by key and bucket of starts, so they are spread; see ``merge_intervals``.
+    """
+    rows, hot = _by_heat(df, GROUP_KEY, most)
     w = Window.partitionBy(*GROUP_KEY, "_island")
-    out = _islands(df, tol, GROUP_KEY).withColumns({"region_start": F.min("start").over(w), "region_end": F.max("end").over(w)})
-    return out.withColumn("region_id", F.xxhash64(*GROUP_KEY, "region_start")).drop("_island")
+    out = _key_islands(rows, tol, GROUP_KEY).withColumn("region_end", F.max("end").over(w)).withColumnRenamed("_island", "region_start")
+    if hot is not None:
+        islands = cut(_islands(hot.select(*GROUP_KEY, "start", "end"), tol, GROUP_KEY, width).withColumnRenamed("_island", "region_start"))
+        ends = islands.groupBy(*GROUP_KEY, "region_start").agg(F.max("end").alias("region_end"))
+        regions = _met(islands.drop("end", "n_merged"), ends, [*GROUP_KEY, "region_start"])
+        hot = hot.withColumn("_bucket", F.expr(f"(start - pmod(start, {tol + 1}L)) div {tol + 1}L"))
+        out = out.unionByName(_met(hot, regions, [*GROUP_KEY, "_bucket"]).drop("_bucket"))
+    return out.select(*df.columns, "region_start", "region_end", F.xxhash64(*GROUP_KEY, "region_start").alias("region_id"))

@@ -116,6 +116,55 @@ def test_worked_example_of_three_tools(spark):
     assert rd.hits_of_sassy(sassy, lengths, max_gaps=0).count() == 0
 
 
+def _merged_by_loop(rows, tol):
+    """{(key, start): (end, rows)} of the islands; rows are (key, start, end)."""
+    out, at = {}, {}
+    for key, s, e in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        if key in at and s <= out[key, at[key]][0] + tol:
+            end, n = out[key, at[key]]
+            out[key, at[key]] = (max(end, e), n + 1)
+        else:
+            at[key] = s
+            out[key, s] = (e, 1)
+    return out
+
+
+@pytest.mark.parametrize("tol", [0, 5])
+def test_islands_across_ranges_of_a_key(spark, tol):
+    """Islands that span ranges, end in them or cover several; null keys, negative starts, repeated rows."""
+    rng = random.Random(tol)
+    rows = [(rng.choice(["a", "b", None]), s, s + rng.choice([0, 1, 3, 8, 8, 120])) for s in (rng.randint(-500, 4000) for _ in range(900))]
+    rows += rows[:50]
+    df = spark.createDataFrame([("s", k, True, a, b) for k, a, b in rows], "spacer_id string, contig_id string, strand boolean, start long, `end` long")
+    want = _merged_by_loop(rows, tol)
+    for most, width in ((0, 1), (315, 4), (1000, 4)):  # keys all spread, some, none
+        got = jo.merge_intervals(df, tol, most=most, width=width).collect()
+        assert {(r.contig_id, r.start): (r.end, r.n_merged) for r in got} == want and len(got) == len(want)
+        told = jo.assign_regions(df, tol, most=most, width=width).collect()
+        assert sorted((str(r.contig_id), r.start, r.end) for r in told) == sorted((str(k), a, b) for k, a, b in rows)
+        for r in told:
+            assert want[r.contig_id, r.region_start][0] == r.region_end and r.region_start <= r.start and r.end <= r.region_end
+    empty = df.where("start > 10000")
+    assert jo.merge_intervals(empty, tol).count() == 0 == jo.assign_regions(empty, tol).count()
+
+
+def test_one_key_with_all_intervals_is_spread(spark):
+    """A million intervals of one key: islands as in numpy, and no range has more rows than its width."""
+    n, tol, width = 1_000_000, 5, 256
+    at = F.pmod(F.xxhash64("id"), F.lit(9_000_000))
+    df = spark.range(n).select(F.lit("s").alias("spacer_id"), F.lit("c").alias("contig_id"), F.lit(True).alias("strand"), at.alias("start"), (at + 1 + F.pmod(F.col("id"), F.lit(30))).alias("end"))
+    start, end = (np.concatenate([c.to_numpy() for c in col.chunks]) for col in df.select("start", "end").toArrow().columns)
+    order = np.lexsort((end, start))
+    start, end = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.r_[True, start[1:] > end[:-1] + tol])
+    got = jo.merge_intervals(df, tol, width=width).orderBy("start").toArrow()
+    assert np.array_equal(got["start"].to_numpy(), start[first])
+    assert np.array_equal(got["end"].to_numpy(), end[np.r_[first[1:], n] - 1])
+    assert np.array_equal(got["n_merged"].to_numpy(), np.diff(np.r_[first, n]))
+    ranges = jo._islands(df, tol, jo.GROUP_KEY, width).groupBy(F.expr(f"_bucket div {width}")).count()
+    assert ranges.count() > 1000 and ranges.agg(F.max("count")).first()[0] <= width
+
+
 def test_merge_and_match_against_loops(spark):
     rng = random.Random(5)
     rows = [("s", f"c{rng.randint(0, 2)}", rng.random() < 0.5, a, a + rng.randint(1, 30)) for a in (rng.randint(0, 400) for _ in range(150))]
