@@ -14,6 +14,9 @@ from protospark.schemas import GROUP_KEY, HIT_KEY
 from protospark.session import cut
 from protospark.sources.blocks import BlockedSequences
 
+#: Keys or bins with very many rows that may be broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1 << 17
+
 
 def attach_spacers(hits: DataFrame, spacers: DataFrame) -> DataFrame:
     """Adds ``spacer_seq`` by ``spacer_id`` (null if missing). ``spacers``: ``spacer_id, seq``."""
@@ -55,30 +58,42 @@ def match_with_tolerance(truth: DataFrame, hits: DataFrame, tol: int = 5) -> Dat
     return pairs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_b")
 
 
-def overlap_join(planned: DataFrame, hits: DataFrame, k: int, width: int = 512) -> DataFrame:
+def overlap_join(planned: DataFrame, hits: DataFrame, k: int, width: int = 512, fine: int = 32, most: int = 1 << 14) -> DataFrame:
     """Overlapping intervals of a contig, half-open, with a label; columns get ``_1`` (planned) and ``_2`` (hits).
 
-    Hits with more than ``k`` mismatches are left out. Both sides are listed under the bins they touch; a pair is kept in the
-    later of their first bins only, so it needs no distinct.
+    Hits with more than ``k`` mismatches are left out. Both sides are listed under the bins they touch; a bin that more than ``most`` hits
+    start in is split into cells of ``fine`` places (``width`` is a multiple of it), where hits are dealt in blocks of about ``most`` rows and
+    planned rows meet each block. A pair is kept where the later of its starts lies, so it needs no distinct.
     """
+    hits = hits.where(F.col("mismatches") <= k)
+    hot = hits.groupBy("contig_id", F.expr(f"start div {width}").alias("_bin")).count().where(F.col("count") > most)
+    hot = cut(hot.select("contig_id", "_bin", F.ceil(F.col("count") / most).alias("_blocks")))
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
 
     def binned(df: DataFrame, s: str) -> DataFrame:
         out = df.select("contig_id", *(F.col(c).alias(f"{c}{s}") for c in df.columns if c != "contig_id"))
-        first = F.expr(f"start{s} div {width}")
-        last = F.expr(f"greatest(end{s} - 1, start{s}) div {width}")
-        return out.withColumn(f"_first{s}", first).withColumn("_bin", F.explode(F.sequence(first, last)))
-
-    pairs = binned(planned, "_1").join(binned(hits.where(F.col("mismatches") <= k), "_2"), ["contig_id", "_bin"])
-    pairs = pairs.where("_bin = greatest(_first_1, _first_2) and start_1 < end_2 and start_2 < end_1")
+        begin, last = f"start{s}", f"greatest(end{s} - 1, start{s})"
+        out = out.withColumn("_bin", F.explode(F.sequence(F.expr(f"{begin} div {width}"), F.expr(f"{last} div {width}"))))
+        if not n_hot:
+            return out
+        cells = F.sequence(F.expr(f"greatest({begin} - _bin * {width}, 0) div {fine}"), F.expr(f"least({last} - _bin * {width}, {width - 1}) div {fine}"))
+        own = F.array(F.pmod(F.xxhash64(*out.columns), F.col("_blocks"))) if s == "_2" else F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)
+        out = out.join(hot, ["contig_id", "_bin"], "left")
+        out = out.withColumn("_cell", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(cells)))
+        return out.withColumn("_block", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(own))).drop("_blocks")
+
+    met = ["_bin", "_cell", "_block"] if n_hot else ["_bin"]
+    here = f"_bin = greatest(start_1, start_2) div {width}" + (f" and _cell in (-1, (greatest(start_1, start_2) - _bin * {width}) div {fine})" if n_hot else "")
+    pairs = binned(planned, "_1").join(binned(hits, "_2"), ["contig_id", *met]).where(f"{here} and start_1 < end_2 and start_2 < end_1")
     label = F.when(F.col("strand_1") != F.col("strand_2"), "strand_mismatch").when((F.col("start_1") == F.col("start_2")) & (F.col("end_1") == F.col("end_2")), "exact_match").otherwise("partial_overlap")
-    return pairs.withColumn("overlap", label).drop("_bin", "_first_1", "_first_2")
+    return pairs.withColumn("overlap", label).drop(*met)
 
 
 #: Buckets of starts in a range of a key: windows never see more rows of one partition, whatever the number of intervals.
 RANGE = 1 << 12
 #: Intervals of a key that one task may hold; keys with more are spread over their ranges.
 MOST = 1 << 16
-BROADCAST_KEYS = 1 << 17
 
 
 def _islands(df: DataFrame, tol: int, key: Sequence[str], width: int) -> DataFrame:

@@ -165,6 +165,21 @@ def test_one_key_with_all_intervals_is_spread(spark):
     assert ranges.count() > 1000 and ranges.agg(F.max("count")).first()[0] <= width
 
 
+def test_overlaps_on_one_contig_with_split_bins(spark):
+    """All rows on one contig, most in one bin, some across bins: the pairs of a loop, once each, whatever is split."""
+    rng = random.Random(8)
+    place = lambda: rng.choice([rng.randint(500, 530), rng.randint(0, 3000), 1024])
+    planned = [(f"p{i}", "c", a, a + rng.choice([20, 40, 700]), i % 2 == 0, 0) for i, a in enumerate(place() for _ in range(60))]
+    hits = [(f"h{i}", "c", 30, i % 3 == 0, a, a + rng.choice([1, 30, 600]), i % 5, "t") for i, a in enumerate(place() for _ in range(300))]
+    hits += hits[:20]
+    want = sorted((p[0], h[0], "strand_mismatch" if p[4] != h[3] else "exact_match" if p[2:4] == h[4:6] else "partial_overlap") for p in planned for h in hits if h[6] <= 3 and p[2] < h[5] and h[4] < p[3])
+    truth, found = spark.createDataFrame(planned, TRUTH), spark.createDataFrame(hits, HITS)
+    for most in (1 << 14, 40, 5, 0.5):
+        got = jo.overlap_join(truth, found, 3, most=most)
+        assert sorted((r.spacer_id_1, r.spacer_id_2, r.overlap) for r in got.collect()) == want
+    assert jo.overlap_join(truth, found.where("mismatches > 3"), 3).count() == 0
+
+
 def test_merge_and_match_against_loops(spark):
     rng = random.Random(5)
     rows = [("s", f"c{rng.randint(0, 2)}", rng.random() < 0.5, a, a + rng.randint(1, 30)) for a in (rng.randint(0, 400) for _ in range(150))]
