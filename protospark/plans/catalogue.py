@@ -377,33 +377,33 @@ def _(i):
 _RBD = ", sn as (select distinct fraction, tool, " + _RK + " from rg), tt as (select fraction, count(*) n_total from (select distinct fraction, " + _RK + " from sn) group by 1), ow as (select fraction, tool, count(*) n_found from sn group by 1, 2), rc as (select *, n_found::double / n_total recall from ow join tt using (fraction))"
 
 
-@query("recall_by_dataset", "fx_intervals", sql=_RG + _RBD + " select fraction, tool, n_found, n_total, recall from rc")
-def _(i):
-    return ag.recall_by_dataset(jo.assign_regions(i))
+@query("recall_by_dataset", "fx_cube", sql=_RG + _RBD + " select fraction, tool, n_found, n_total, recall from rc")
+def _(c):
+    return c.recall_by_dataset()
 
 
-@query("recall_stats", "fx_intervals", sql=_RG + _RBD + ", st as (select tool, avg(recall) mean, coalesce(stddev_samp(recall), 0) std, min(recall) min, max(recall) max from rc group by 1) select tool, round(mean, 9) mean, round(std, 9) std, min, max, round(greatest(mean - std, 0), 9) low, round(least(mean + std, 1), 9) high from st")
-def _(i):
-    r = ag.recall_stats(ag.recall_by_dataset(jo.assign_regions(i)), i)
+@query("recall_stats", "fx_cube", "fx_intervals", sql=_RG + _RBD + ", st as (select tool, avg(recall) mean, coalesce(stddev_samp(recall), 0) std, min(recall) min, max(recall) max from rc group by 1) select tool, round(mean, 9) mean, round(std, 9) std, min, max, round(greatest(mean - std, 0), 9) low, round(least(mean + std, 1), 9) high from st")
+def _(c, i):
+    r = ag.recall_stats(c.recall_by_dataset(), i)
     return r.select("tool", *(F.round(c, 9).alias(c) for c in ("mean", "std")), "min", "max", *(F.round(c, 9).alias(c) for c in ("low", "high")))
 
 
-@query("recall_pivot", "fx_intervals", sql=_RG + _RBD + ' select tool, max(recall) filter (fraction = 0) "0", max(recall) filter (fraction = 1) "1", max(recall) filter (fraction = 2) "2" from rc group by 1')
-def _(i):
-    return ag.recall_pivot(ag.recall_by_dataset(jo.assign_regions(i)), [0, 1, 2])
+@query("recall_pivot", "fx_cube", sql=_RG + _RBD + ' select tool, max(recall) filter (fraction = 0) "0", max(recall) filter (fraction = 1) "1", max(recall) filter (fraction = 2) "2" from rc group by 1')
+def _(c):
+    return ag.recall_pivot(c.recall_by_dataset(), [0, 1, 2])
 
 
 _TH = lambda op: _RG + f", tt as (select unnest(range(0, 6))::int threshold), sn as (select distinct threshold, tool, {_RK} from rg, tt where mismatches {op} threshold), t2 as (select threshold, count(*) n_total from (select distinct threshold, {_RK} from sn) group by 1), ow as (select threshold, tool, count(*) n_found from sn group by 1, 2) select threshold, tool, n_found, n_total, n_found::double / n_total recall from ow join t2 using (threshold)"
 
 
-@query("recall_by_threshold", "fx_intervals", sql=_TH("<="))
-def _(i):
-    return ag.recall_by_threshold(jo.assign_regions(i), range(6))
+@query("recall_by_threshold", "fx_cube", sql=_TH("<="))
+def _(c):
+    return c.recall_by_threshold(range(6))
 
 
-@query("recall_at_distance", "fx_intervals", sql=_TH("="))
-def _(i):
-    return ag.recall_by_threshold(jo.assign_regions(i), range(6), exact=True)
+@query("recall_at_distance", "fx_cube", sql=_TH("="))
+def _(c):
+    return c.recall_by_threshold(range(6), exact=True)
 
 
 _DM = lambda src, key, cond, diag: f"tl as (select distinct tool from {src}), ks as (select distinct tool, {key} from {src} where {cond}) select a.tool row_tool, b.tool col_tool, (select count(*) from ks x where x.tool = a.tool and {'(a.tool = b.tool or ' if diag else '('}a.tool <> b.tool) and {'(a.tool = b.tool or ' if diag else '('}not exists (select 1 from ks y where y.tool = b.tool and {' and '.join(f'y.{c} = x.{c}' for c in key.split(', '))}))) n from tl a, tl b"
@@ -419,9 +419,9 @@ def _(h):
     return ag.difference_matrix(h.where("mismatches = 2"), ["spacer_id", "contig_id", "start", "end", "strand"])
 
 
-@query("difference_matrix_regions", "fx_intervals", sql=_RG + ", " + _DM("rg", _RK, "true", False) .replace("tl as", "tl as", 1))
-def _(i):
-    return ag.matrix_long(ag.difference_matrix(jo.assign_regions(i), ag.REGION)).drop("row_total")
+@query("difference_matrix_regions", "fx_cube", sql=_RG + ", " + _DM("rg", _RK, "true", False) .replace("tl as", "tl as", 1))
+def _(c):
+    return ag.matrix_long(c.difference_matrix()).drop("row_total")
 
 
 @query("difference_matrix_wide", "fx_hits", sql="with mx as (with " + _DM("fx_hits", "spacer_id, contig_id", "true", True) + ") select row_tool, " + ", ".join(f"max(n) filter (col_tool = 'tool_{t}') tool_{t}" for t in range(5)) + " from mx group by 1")
@@ -429,19 +429,19 @@ def _(h):
     return ag.matrix_wide(ag.difference_matrix(h, ["spacer_id", "contig_id"], diagonal=True), [f"tool_{t}" for t in range(5)])
 
 
-@query("matched_contigs", "fx_intervals", sql=_RG + f" select contig_id, count(distinct spacer_id) n_spacers, count(distinct ({_RK})) n_regions, string_agg(distinct tool, ',' order by tool) tools, count(distinct tool) n_tools from rg group by 1")
-def _(i):
-    return ag.matched_contigs(jo.assign_regions(i))
+@query("matched_contigs", "fx_cube", sql=_RG + f" select contig_id, count(distinct spacer_id) n_spacers, count(distinct ({_RK})) n_regions, string_agg(distinct tool, ',' order by tool) tools, count(distinct tool) n_tools from rg group by 1")
+def _(c):
+    return c.matched_contigs()
 
 
-@query("tool_combinations", "fx_intervals", sql=_RG + f", s as (select {_RK}, string_agg(distinct tool, ',' order by tool) tools from rg where mismatches <= 3 group by all) select tools, count(*) n_regions from s group by 1")
-def _(i):
-    return ag.tool_combinations(jo.assign_regions(i), 3, exact=False)
+@query("tool_combinations", "fx_cube", sql=_RG + f", s as (select {_RK}, string_agg(distinct tool, ',' order by tool) tools from rg where mismatches <= 3 group by all) select tools, count(*) n_regions from s group by 1")
+def _(c):
+    return c.tool_combinations(3, exact=False)
 
 
-@query("only_by", "fx_intervals", sql=_RG + f", s as (select {_RK}, bool_and(tool in ('tool_0', 'tool_1')) o from rg group by all) select count(*) filter (o) n_only, count(*) n_total, 100 * count(*) filter (o) / count(*)::double pct from s")
-def _(i):
-    return ag.only_by(jo.assign_regions(i), ["tool_0", "tool_1"])
+@query("only_by", "fx_cube", sql=_RG + f", s as (select {_RK}, bool_and(tool in ('tool_0', 'tool_1')) o from rg group by all) select count(*) filter (o) n_only, count(*) n_total, 100 * count(*) filter (o) / count(*)::double pct from s")
+def _(c):
+    return c.only_by(["tool_0", "tool_1"])
 
 
 _OCC = "with d as (select distinct spacer_id, contig_id, tool from {0}), o as (select spacer_id, count(distinct contig_id) n_occurrences from d group by 1), f as (select o.*, t.tool, (select count(*) from d where d.spacer_id = o.spacer_id and d.tool = t.tool) n_found from o, (select distinct tool from {0}) t), fr as (select *, n_found::double / n_occurrences fraction from f)"
@@ -460,15 +460,14 @@ def _(h):
 _BINS = "(values " + ", ".join(f"({i}, {a!r}::double, {b!r}::double)".replace("inf::double", "'inf'::double") for i, a, b in ag.occurrence_bins()) + ") b(bin, low, high)"
 
 
-@query("recall_by_occurrence", "fx_intervals", sql=_RG + f", d as (select distinct {_RK}, tool from rg), o as (select spacer_id, count(*) n from (select distinct {_RK} from d) group by 1), f as (select o.spacer_id, o.n, t.tool, (select count(*) from d where d.spacer_id = o.spacer_id and d.tool = t.tool)::double / o.n v from o, (select distinct tool from rg) t) select tool, bin::int bin, round(avg(v), 9) mean_fraction, count(*) n_spacers from f join {_BINS} on n >= low and n < high group by 1, 2")
-def _(i):
-    f = ag.occurrence_fractions(jo.assign_regions(i), unit=("contig_id", "strand", "region_start"))
-    return ag.recall_by_occurrence(f).withColumn("mean_fraction", F.round("mean_fraction", 9))
+@query("recall_by_occurrence", "fx_cube", sql=_RG + f", d as (select distinct {_RK}, tool from rg), o as (select spacer_id, count(*) n from (select distinct {_RK} from d) group by 1), f as (select o.spacer_id, o.n, t.tool, (select count(*) from d where d.spacer_id = o.spacer_id and d.tool = t.tool)::double / o.n v from o, (select distinct tool from rg) t) select tool, bin::int bin, round(avg(v), 9) mean_fraction, count(*) n_spacers from f join {_BINS} on n >= low and n < high group by 1, 2")
+def _(c):
+    return ag.recall_by_occurrence(c.occurrence_fractions()).withColumn("mean_fraction", F.round("mean_fraction", 9))
 
 
-@query("recall_difference", "fx_intervals", sql=_RG + f", d as (select distinct {_RK}, tool from rg), r as (select tool, count(*)::double / (select count(*) from (select distinct {_RK} from d)) v from d group by 1) select a.tool row_tool, b.tool col_tool, a.v - b.v difference from r a, r b")
-def _(i):
-    return ag.recall_difference(ag.recall_by_dataset(jo.assign_regions(i).withColumn("all", F.lit(1)), "all"))
+@query("recall_difference", "fx_cube", sql=_RG + f", d as (select distinct {_RK}, tool from rg), r as (select tool, count(*)::double / (select count(*) from (select distinct {_RK} from d)) v from d group by 1) select a.tool row_tool, b.tool col_tool, a.v - b.v difference from r a, r b")
+def _(c):
+    return ag.recall_difference(c.recall())
 
 
 @query("value_counts", "fx_intervals", sql="select mismatches as value, count(*) n, count(*)::double / (select count(*) from fx_intervals) share from fx_intervals group by 1")

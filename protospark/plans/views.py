@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from protospark.operators.cube import RegionCube, region_cube
 from protospark.session import cut
 from protospark.sources.blocks import BlockedSequences, store_blocks
 
@@ -27,16 +28,22 @@ VIEWS = {
 _WRITTEN = ("fx_contigs",)
 _at: dict[tuple[str, str, str], DataFrame] = {}
 _blocks: dict[tuple[str, str, str], BlockedSequences] = {}
+_cubes: dict[tuple[str, str, str], RegionCube] = {}
 _SPARK, _DUCK = {"S": "string", "E": "`end`", "G": ""}, {"S": "varchar", "E": '"end"', "G": ",'g'"}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | BlockedSequences:
-    """A derived table as a DataFrame; ``fx_blocks`` are the contigs in blocks, stored once in an application."""
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | BlockedSequences | RegionCube:
+    """A derived table as a DataFrame; ``fx_blocks`` are the contigs in blocks, ``fx_cube`` the intervals' regions by tools, each stored once in an application."""
     if name == "fx_blocks":
         key = (spark.sparkContext.applicationId, sf_dir, name)
         if key not in _blocks:
             _blocks[key] = store_blocks(view(spark, sf_dir, "fx_contigs").select("contig_id", "seq"), size=1 << 12, overlap=1 << 7)
         return _blocks[key]
+    if name == "fx_cube":
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _cubes:
+            _cubes[key] = region_cube(view(spark, sf_dir, "fx_intervals"), dataset="fraction")
+        return _cubes[key]
     if name in _WRITTEN:
         key = (spark.sparkContext.applicationId, sf_dir, name)
         if key not in _at:
