@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from protospark.functions.distance import all_distances, render_alignment, validate
-from protospark.operators.joins import assign_regions, attach_sequences, match_with_tolerance, merge_intervals
+from protospark.operators.joins import assign_regions, attach_sequences, locate, match_with_tolerance, merge_intervals
 from protospark.schemas import GROUP_KEY, HIT_KEY
 from protospark.session import cut
 
@@ -40,6 +40,20 @@ def classify(truth, hits, contigs, spacers, max_distance: int = 5, metric: str =
     return hits.join(classify_unique(truth, hits, contigs, spacers, max_distance, metric, tol), HIT_KEY, "left")
 
 
+def classify_locations(truth, hits, contigs, spacers, max_distance: int = 5, metric: str = "edit", tol: int = 5) -> DataFrame:
+    """Each location once, classified as in ``classify_unique``, with the ``tools`` that report it. Written to the shared folder.
+
+    A location whose sequences are missing, or whose hits name no tool (``tools`` is empty then), stays.
+    """
+    found = cut(locate(truth, hits, tol))
+    rest = validate(attach_sequences(found.where("start_gt is null").select(*HIT_KEY, "tools"), spacers, contigs), metric)
+    null = F.lit(None).cast("long")
+    kind = F.when(F.col("alignment_test") <= max_distance, UNPLANNED).otherwise(INVALID)
+    rest = rest.select(*HIT_KEY, "tools", null.alias("start_gt"), null.alias("end_gt"), kind.alias("classification"), F.col("alignment_test").alias("recalculated_distance"))
+    planned = found.where("start_gt is not null").select(*HIT_KEY, "tools", "start_gt", "end_gt", F.lit(PLANNED).alias("classification"), F.col("mismatches_gt").cast("int").alias("recalculated_distance"))
+    return cut(planned.unionByName(rest))
+
+
 def with_combined(hits: DataFrame) -> DataFrame:
     """Adds all locations, once each, as a tool of their own."""
     return hits.unionByName(hits.dropDuplicates(HIT_KEY).withColumn("tool", F.lit(COMBINED)))
@@ -57,6 +71,21 @@ def tool_performance(classified: DataFrame, truth: DataFrame, merge_tol: int = 3
     extra = classified.where(F.col("classification") == UNPLANNED)
     own = merge_intervals(extra, merge_tol, ["tool"]).groupBy("tool").agg(F.count("*").alias("positives_not_in_plan"))
     merged = merge_intervals(extra.select(*HIT_KEY).distinct(), merge_tol).agg(F.count("*").alias("merged"))
+    return _rates(per, own, merged, truth)
+
+
+def location_performance(locations: DataFrame, truth: DataFrame, merge_tol: int = 3) -> DataFrame:
+    """``tool_performance`` with the combined tool, from rows as of ``classify_locations``: intervals are merged once, for all tools and the combined one."""
+    long = locations.withColumn("tool", F.explode(F.concat("tools", F.array(F.lit(COMBINED))))).drop("tools")
+    found = F.when(F.col("classification") == PLANNED, F.struct("spacer_id", "contig_id", "start_gt", "end_gt", "strand"))
+    per = long.groupBy("tool").agg(F.count_distinct(found).alias("planned_true_positives"), F.count_if(F.col("classification") == INVALID).alias("invalid_alignments"))
+    own = merge_intervals(long.where(F.col("classification") == UNPLANNED), merge_tol, ["tool"]).groupBy("tool").agg(F.count("*").alias("positives_not_in_plan"))
+    own = cut(own)  # a row per tool, read for the tools and for the truth with merged positives
+    return _rates(per, own, own.where(F.col("tool") == COMBINED).agg(F.coalesce(F.sum("positives_not_in_plan"), F.lit(0).cast("long")).alias("merged")), truth)
+
+
+def _rates(per: DataFrame, own: DataFrame, merged: DataFrame, truth: DataFrame) -> DataFrame:
+    """Counts of each tool, and of the truth and merged unplanned positives (one row), as precision, recall and F1."""
     gt = truth.agg(F.count("*").alias("ground_truth_planned")).crossJoin(merged).select("ground_truth_planned", (F.col("ground_truth_planned") + F.col("merged")).alias("ground_truth_augmented"))
     d = per.join(own, "tool", "left").fillna(0, ["positives_not_in_plan"]).crossJoin(F.broadcast(gt))
     tp, extra_, bad = F.col("planned_true_positives"), F.col("positives_not_in_plan"), F.col("invalid_alignments")
@@ -108,10 +137,9 @@ def examples(classified: DataFrame, spacers: DataFrame, contigs: DataFrame, n: i
 def compare(truth, hits, contigs, spacers, max_distance: int = 5, metric: str = "edit", timings: DataFrame | None = None) -> DataFrame:
     """The whole comparison: classify, add the combined tool, performance (and run times), best planned recall first.
 
-    The classified hits are written to the shared folder once; every count reads them there.
+    Locations are classified and written once, with their tools; every count reads them there, and hits are not joined back.
     """
-    told = with_combined(cut(classify(truth, hits, contigs, spacers, max_distance, metric)))
-    out = tool_performance(told, truth)
+    out = location_performance(classify_locations(truth, hits, contigs, spacers, max_distance, metric), truth)
     out = out if timings is None else out.join(timings, "tool", "left")
     return out.orderBy(F.desc("recall_planned"), "tool")
 

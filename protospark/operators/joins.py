@@ -42,15 +42,20 @@ def attach_sequences(hits: DataFrame, spacers: DataFrame, contigs: DataFrame | B
     return out.where("spacer_seq is not null and region_seq is not null") if drop_missing else out
 
 
+def _near(truth: DataFrame, tol: int) -> DataFrame:
+    """Truth under the buckets ``_b`` of ``tol + 1`` starts that may hold its hits."""
+    t = truth.select(*GROUP_KEY, F.col("start").alias("start_gt"), F.col("end").alias("end_gt"), F.col("mismatches").alias("mismatches_gt"))
+    at = F.expr(f"start_gt div {tol + 1}")
+    return t.withColumn("_b", F.explode(F.array(at - 1, at, at + 1)))
+
+
 def match_with_tolerance(truth: DataFrame, hits: DataFrame, tol: int = 5) -> DataFrame:
     """Hits with the closest truth row of their group key, start and end within ``tol``: adds ``start_gt, end_gt, mismatches_gt``.
 
     Starts are put in buckets of ``tol + 1`` and the truth is listed under its bucket and both neighbours, so that a group key with
     very many rows meets only what is near. Ties go to the smaller truth interval. Hits without a match are left out.
     """
-    t = truth.select(*GROUP_KEY, F.col("start").alias("start_gt"), F.col("end").alias("end_gt"), F.col("mismatches").alias("mismatches_gt"))
-    at = F.expr(f"start_gt div {tol + 1}")
-    t = t.withColumn("_b", F.explode(F.array(at - 1, at, at + 1)))
+    t = _near(truth, tol)
     pairs = hits.withColumn("_b", F.expr(f"start div {tol + 1}")).join(t, [*GROUP_KEY, "_b"])
     away = F.abs(F.col("start") - F.col("start_gt")) + F.abs(F.col("end") - F.col("end_gt"))
     pairs = pairs.where((F.abs(F.col("start") - F.col("start_gt")) <= tol) & (F.abs(F.col("end") - F.col("end_gt")) <= tol))
@@ -58,6 +63,23 @@ def match_with_tolerance(truth: DataFrame, hits: DataFrame, tol: int = 5) -> Dat
     return pairs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_b")
 
 
+def locate(truth: DataFrame, hits: DataFrame, tol: int = 5) -> DataFrame:
+    """One row for each location of ``hits``: ``tools`` that report it (in order), and the closest truth row as in ``match_with_tolerance`` (nulls if none).
+
+    Tools are gathered and the closest row is chosen where the join has put the location, so hits are shuffled once, by group key and bucket of
+    starts, and a group key with very many rows is spread.
+    """
+    t = _near(truth, tol)
+    t = t.select(*(F.col(c).alias(f"_t_{c}") if c in (*GROUP_KEY, "_b") else F.col(c) for c in t.columns))
+    same = [F.col(c) == F.col(f"_t_{c}") for c in (*GROUP_KEY, "_b")]
+    close = (F.abs(F.col("start") - F.col("start_gt")) <= tol) & (F.abs(F.col("end") - F.col("end_gt")) <= tol)
+    both = hits.select(*HIT_KEY, "tool").withColumn("_b", F.expr(f"start div {tol + 1}")).join(t, reduce(and_, [*same, close]), "left")
+    away = F.abs(F.col("start") - F.col("start_gt")) + F.abs(F.col("end") - F.col("end_gt"))
+    best = F.min(F.when(F.col("start_gt").isNotNull(), F.struct(away.alias("away"), "start_gt", "end_gt", "mismatches_gt"))).alias("_best")
+    out = both.groupBy(*HIT_KEY, "_b").agg(F.array_sort(F.collect_set("tool")).alias("tools"), best)
+    return out.select(*HIT_KEY, "tools", "_best.start_gt", "_best.end_gt", "_best.mismatches_gt")
+
+
 def overlap_join(planned: DataFrame, hits: DataFrame, k: int, width: int = 512, fine: int = 32, most: int = 1 << 14) -> DataFrame:
     """Overlapping intervals of a contig, half-open, with a label; columns get ``_1`` (planned) and ``_2`` (hits).
 
