@@ -150,11 +150,27 @@ def validate(df: DataFrame, metric: str = "edit", spacer: str = "spacer_seq", re
     return df.withColumn(out, METRICS[metric](spacer, region))
 
 
-def all_distances(df: DataFrame, spacer: str = "spacer_seq", region: str = "region_seq", affine: bool = True) -> DataFrame:
-    """Adds ``hamming``, ``edit``, ``gap_affine`` and ``has_indels`` (edit differs from Hamming)."""
-    d = df.withColumns({"hamming": hamming(spacer, region), "edit": edit_distance(spacer, region)})
-    d = d.withColumn("gap_affine", gap_affine(spacer, region)) if affine else d
-    return d.withColumn("has_indels", F.col("edit") != F.col("hamming"))
+def all_distances(df: DataFrame, spacer: str = "spacer_seq", region: str = "region_seq", affine: bool = True, limit: int | None = None, distinct: bool = False) -> DataFrame:
+    """Adds ``hamming``, ``edit``, ``gap_affine`` and ``has_indels`` (edit differs from Hamming).
+
+    With ``limit``, a distance beyond it is null, and work stops there: the edit distance is computed within a band, and as neither the
+    affine alignment nor, of equal lengths, Hamming can be below it, only pairs within the limit go on to them. ``has_indels`` is null where
+    the edit distance is. With ``distinct``, each pair of sequences is compared once and joined back: for hits that repeat pairs.
+    """
+    if distinct:
+        pairs = all_distances(df.select(spacer, region).where(F.col(spacer).isNotNull() & F.col(region).isNotNull()).distinct(), spacer, region, affine, limit)
+        return df.join(pairs, [spacer, region], "left").select(*df.columns, *pairs.columns[2:])
+    if limit is None:
+        d = df.withColumns({"hamming": hamming(spacer, region), "edit": edit_distance(spacer, region)})
+        d = d.withColumn("gap_affine", gap_affine(spacer, region)) if affine else d
+        return d.withColumn("has_indels", F.col("edit") != F.col("hamming"))
+    within = lambda d: F.when(d.between(0, limit), d)
+    near = F.col("edit").isNotNull()
+    d = df.withColumn("edit", within(F.levenshtein(F.col(spacer), F.col(region), limit)))
+    d = d.withColumn("hamming", within(hamming(F.when(near | (F.length(spacer) != F.length(region)), F.col(spacer)), region)))
+    d = d.withColumn("gap_affine", within(gap_affine(F.when(near, F.col(spacer)), region))) if affine else d
+    d = d.withColumn("has_indels", F.when(near, ~F.col("edit").eqNullSafe(F.col("hamming"))))
+    return d.select(*df.columns, "hamming", "edit", *(["gap_affine"] if affine else []), "has_indels")
 
 
 def edit_alignment(a: str, b: str) -> tuple[str, str]:

@@ -144,10 +144,15 @@ def compare(truth, hits, contigs, spacers, max_distance: int = 5, metric: str =
     return out.orderBy(F.desc("recall_planned"), "tool")
 
 
-def multi_metric(truth, hits, contigs, spacers, max_distance: int = 5, tol: int = 5, affine: bool = True) -> DataFrame:
-    """One row per location: region, tools, all distances, truth and class (invalid only if every distance exceeds the limit)."""
+def multi_metric(truth, hits, contigs, spacers, max_distance: int = 5, tol: int = 5, affine: bool = True, limit: int | None = None) -> DataFrame:
+    """One row per location: region, tools, all distances, truth and class (invalid only if every distance exceeds ``max_distance``).
+
+    Distances beyond ``limit`` (``max_distance`` at least) are null and are not computed to the end; see ``all_distances``.
+    """
+    if limit is not None and limit < max_distance:
+        raise ValueError("limit is below max_distance")
     per = hits.groupBy(*HIT_KEY).agg(F.array_sort(F.collect_set("tool")).alias("tools"), F.min("mismatches").alias("reported_mismatches"))
-    d = all_distances(attach_sequences(assign_regions(per, tol), spacers, contigs), affine=affine)
+    d = all_distances(attach_sequences(assign_regions(per, tol), spacers, contigs), affine=affine, limit=limit)
     gt = match_with_tolerance(truth, per.select(*HIT_KEY), tol)
     d = d.join(gt.select(*HIT_KEY, "start_gt", "end_gt", "mismatches_gt"), HIT_KEY, "left")
     least = F.least("hamming", "edit", *(["gap_affine"] if affine else []))

@@ -317,6 +317,11 @@ def _(t, h, c, s):
     return cl.multi_metric(t, h, c, s).groupBy("classification").agg(F.count("*").alias("n"), F.avg("gap_affine").alias("mean_gap_affine"))
 
 
+@query("multi_metric_limited", *_MV, sql=_MM + f" select {HK}, case when hamming <= 5 then hamming end hamming, case when edit <= 5 then edit end edit, case when edit <= 5 then edit <> hamming end has_indels, classification from mm")
+def _(t, h, c, s):
+    return cl.multi_metric(t, h, c, s, affine=False, limit=5).select("spacer_id", "contig_id", "start", "end", "strand", "hamming", "edit", "has_indels", "classification")
+
+
 _AT = "lg as (select classification, 'hamming' metric, hamming d from mm union all select classification, 'edit', edit from mm), mt as (select metric, threshold, count(*) filter (classification = 'positive_in_plan') n_planned, count(*) filter (classification = 'positive_in_plan' and d <= threshold) true_positives, count(*) filter (classification <> 'positive_in_plan' and d <= threshold) spurious, count(*) filter (classification <> 'positive_in_plan' and not d <= threshold) invalid, count(*) n from lg, (select unnest(range(0, 8))::int threshold) group by 1, 2)"
 
 
