@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from protospark.operators.quantiles import quantiles
@@ -9,10 +11,12 @@ from protospark.session import cut
 
 
 def parse_reduction(value: float, total: int) -> int:
-    """Rows to keep: a share if the value is in (0, 1], else a number."""
+    """Rows to keep: a share if the value is in (0, 1], to the nearest row (halves up), else a number."""
     if value <= 0:
         raise ValueError("reduction must be positive")
-    return int(total * value) if value <= 1 else min(int(value), total)
+    if value > 1:
+        return min(int(value), total)
+    return int((total * Decimal(str(value))).quantize(Decimal(1), ROUND_HALF_UP))
 
 
 def order_of(seed: int, id: str = "seqid") -> Column:
