@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from protospark.schemas import HITS, TRUTH
 from protospark.sources.sam import sam_records
 
+#: Bytes of a file (a line has 35 to 80 of them) whose hits a task should hold, under 1 KB each, if there are more than that for each core.
+TASK = 1 << 24
 _HIT = [c.split()[0].strip("`") for c in HITS.split(", ")][:-1]
 
 
@@ -35,19 +37,28 @@ def select_sequences(seqs: DataFrame, ids: DataFrame, id: str = "seqid") -> Data
     return seqs.join(ids.select(id), id, "left_semi")
 
 
+def _dealt(df: DataFrame, tasks: int | None, id: str = "spacer_id") -> DataFrame:
+    """Rows by spacer in ``tasks`` partitions at least, which the join with lengths and the distinct go on with; Spark would join partitions up to a size on disk.
+
+    None: as Spark does. A join takes no side's partitions that are fewer than ``spark.sql.shuffle.partitions``, hence the larger of both.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), id) if tasks and tasks > spark.sparkContext.defaultParallelism else df
+
+
 def _finish(df: DataFrame, lengths: DataFrame) -> DataFrame:
     """Inner join with spacer lengths (``spacer_id, length``), the hits' columns, distinct."""
     d = df.join(lengths.select("spacer_id", F.col("length").cast("int").alias("spacer_length")), "spacer_id")
     return d.select("spacer_id", "contig_id", "spacer_length", "strand", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("mismatches").cast("int").alias("mismatches")).distinct()
 
 
-def hits_of_sassy(rows: DataFrame, lengths: DataFrame, max_mismatches: int = 5, max_gaps: int | None = None, max_ns: int = 5) -> DataFrame:
+def hits_of_sassy(rows: DataFrame, lengths: DataFrame, max_mismatches: int = 5, max_gaps: int | None = None, max_ns: int = 5, tasks: int | None = None) -> DataFrame:
     """Rows ``pat_id, text_id, cost, strand, start, end, match_region, cigar``. ``max_gaps`` limits gap operations (not bases)."""
     d = rows.where((F.regexp_count("match_region", F.lit("[Nn]")) <= max_ns) & (F.col("cost") <= max_mismatches))
     if max_gaps is not None:
         d = d.where(F.regexp_count("cigar", F.lit("[IDN]")) <= max_gaps)
     d = d.select(F.col("pat_id").alias("spacer_id"), F.col("text_id").alias("contig_id"), (F.col("strand") == "-").alias("strand"), "start", "end", F.col("cost").alias("mismatches"))
-    return _finish(d, lengths)
+    return _finish(_dealt(d, tasks), lengths)
 
 
 SASSY = "pat_id string, text_id string, cost int, strand string, start long, `end` long, match_region string, cigar string"
@@ -55,30 +66,31 @@ BLAST = "query string, target string, nident int, alnlen int, mismatch int, qlen
 
 
 def read_sassy(spark: SparkSession, path: str, lengths: DataFrame, **limits) -> DataFrame:
-    return hits_of_sassy(spark.read.csv(path, sep="\t", header=True, schema=SASSY), lengths, **limits)
+    return hits_of_sassy(spark.read.csv(path, sep="\t", header=True, schema=SASSY), lengths, **limits, tasks=_tasks(spark, path))
 
 
-def hits_of_blast(rows: DataFrame, lengths: DataFrame, max_mismatches: int = 5) -> DataFrame:
+def hits_of_blast(rows: DataFrame, lengths: DataFrame, max_mismatches: int = 5, tasks: int | None = None) -> DataFrame:
     """13-column rows, 1-based; ends of the target are swapped where the query runs backwards."""
     k = max_mismatches
     back = F.col("qend") < F.col("qstart")
     d = rows.where(F.col("mismatch") <= k).withColumns({"_a": F.when(back, F.col("tend")).otherwise(F.col("tstart")), "_b": F.when(back, F.col("tstart")).otherwise(F.col("tend"))})
     d = d.withColumn("mismatches", F.col("qlen") - F.col("nident") + F.col("gapopen")).where(F.col("mismatches") <= k)
-    return _finish(d.select(F.col("query").alias("spacer_id"), F.col("target").alias("contig_id"), (F.col("_a") > F.col("_b")).alias("strand"), (F.least("_a", "_b") - 1).alias("start"), F.greatest("_a", "_b").alias("end"), "mismatches"), lengths)
+    d = d.select(F.col("query").alias("spacer_id"), F.col("target").alias("contig_id"), (F.col("_a") > F.col("_b")).alias("strand"), (F.least("_a", "_b") - 1).alias("start"), F.greatest("_a", "_b").alias("end"), "mismatches")
+    return _finish(_dealt(d, tasks), lengths)
 
 
 def read_blast_tab(spark: SparkSession, path: str, lengths: DataFrame, max_mismatches: int = 5) -> DataFrame:
-    return hits_of_blast(spark.read.csv(path, sep="\t", schema=BLAST), lengths, max_mismatches)
+    return hits_of_blast(spark.read.csv(path, sep="\t", schema=BLAST), lengths, max_mismatches, _tasks(spark, path))
 
 
-def hits_of_sam(lines: DataFrame, lengths: DataFrame, max_mismatches: int = 5, mode: str = "aligned", counts: Observation | None = None) -> DataFrame:
+def hits_of_sam(lines: DataFrame, lengths: DataFrame, max_mismatches: int = 5, mode: str = "aligned", counts: Observation | None = None, tasks: int | None = None) -> DataFrame:
     """SAM lines (``value``). Unmapped and malformed records and headers are skipped; unknown spacers and negative counts are dropped.
 
     ``counts`` is filled by the first action on the result: ``records`` (mapped), and of these ``unknown_spacer``, ``negative``, ``over_limit``.
 
     ``aligned``: aligned bases are M, = and X; clips and the NM tag add to mismatches. ``cigar_total``: all CIGAR numbers are aligned.
     """
-    d = sam_records(lines).join(lengths.select("spacer_id", F.col("length").alias("_len")), "spacer_id", "inner" if counts is None else "left")
+    d = _dealt(sam_records(lines), tasks).join(lengths.select("spacer_id", F.col("length").alias("_len")), "spacer_id", "inner" if counts is None else "left")
     if mode == "aligned":
         nm = F.col("nm") + F.col("clip")
         d = d.withColumns({"mismatches": F.col("_len") - F.col("aligned") + nm, "end": F.col("start") + F.col("span"), "_most": F.greatest(F.col("_len") - F.col("aligned") + nm, nm)})
@@ -92,26 +104,35 @@ def hits_of_sam(lines: DataFrame, lengths: DataFrame, max_mismatches: int = 5, m
 
 
 def read_sam(spark: SparkSession, path: str, lengths: DataFrame, max_mismatches: int = 5, mode: str = "aligned", counts: Observation | None = None) -> DataFrame:
-    return hits_of_sam(spark.read.text(path), lengths, max_mismatches, mode, counts)
+    return hits_of_sam(spark.read.text(path), lengths, max_mismatches, mode, counts, _tasks(spark, path))
 
 
-def hits_of_tab(rows: DataFrame, lengths: DataFrame) -> DataFrame:
+def hits_of_tab(rows: DataFrame, lengths: DataFrame, tasks: int | None = None) -> DataFrame:
     """Rows ``contig_id, spacer_id, start, end, strand``: exact matches."""
     strand = F.when(F.lower(F.col("strand").cast("string")).isin("-", "true", "1"), True).otherwise(False)
-    return _finish(rows.select("spacer_id", "contig_id", strand.alias("strand"), "start", "end", F.lit(0).alias("mismatches")), lengths)
+    return _finish(_dealt(rows.select("spacer_id", "contig_id", strand.alias("strand"), "start", "end", F.lit(0).alias("mismatches")), tasks), lengths)
 
 
 def read_tab(spark: SparkSession, path: str, lengths: DataFrame) -> DataFrame:
-    return hits_of_tab(spark.read.csv(path, sep="\t", schema="contig_id string, spacer_id string, start long, `end` long, strand string"), lengths)
+    return hits_of_tab(spark.read.csv(path, sep="\t", schema="contig_id string, spacer_id string, start long, `end` long, strand string"), lengths, _tasks(spark, path))
 
 
 READERS = {"sassy": read_sassy, "blast": read_blast_tab, "sam": read_sam, "tab": read_tab}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of a folder's files; 0 if there is none."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and fs.getContentSummary(p).getLength() > 0
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    return _size(spark, path) > 0
+
+
+def _tasks(spark: SparkSession, path: str) -> int:
+    return -(-_size(spark, path) // TASK)
 
 
 def read_all_tools(spark: SparkSession, specs: Sequence[tuple[str, str, str]], lengths: DataFrame, max_mismatches: int = 5) -> DataFrame:

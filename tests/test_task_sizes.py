@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from protospark.operators import classify as cl, joins as jo
 from protospark.plans import views
-from protospark.sources import blocks as blocks_
+from protospark.sources import blocks as blocks_, readers as rd
 
 DATA = "/root/testdata/sf0.001"
 
@@ -62,3 +62,29 @@ def test_regions_longer_than_the_overlap(spark):
     for h, longest in ((short, 5), (hits, 29)):
         plain, quick = (sorted(map(str, jo.attach_regions(h, stored, n).select(*h.columns, "region_seq").collect())) for n in (None, longest))
         assert plain == quick
+
+
+def test_hits_of_large_files_are_dealt_into_tasks(spark, tmp_path, monkeypatch):
+    """By the file's size, for every format; rows are the same."""
+    rng = random.Random(4)
+    rows = [(f"s{rng.randrange(200)}", f"c{rng.randrange(3)}", rng.randrange(1, 500), rng.choice("+-")) for _ in range(3000)]
+    lengths = spark.createDataFrame([(f"s{i}", 30) for i in range(190)], "spacer_id string, length int")
+    files = {
+        "sassy": ["\t".join(rd.SASSY.replace("`", "").split(", ")), *(f"{s}\t{c}\t1\t{d}\t{a}\t{a + 30}\tACGT\t30=" for s, c, a, d in rows)],
+        "sam": [f"{s}\t{16 * (d == '-')}\t{c}\t{a}\t9\t30M\t*\t0\t0\t*\t*\tNM:i:1" for s, c, a, d in rows],
+        "tab": [f"{c}\t{s}\t{a}\t{a + 30}\t{d}" for s, c, a, d in rows],
+        "blast": [f"{s}\t{c}\t29\t30\t1\t30\t0\t1\t30\t{a}\t{a + 29}\t0.0\t0.0" for s, c, a, _ in rows],
+    }
+    for kind, lines in files.items():
+        (tmp_path / kind).write_text("\n".join(lines) + "\n")
+    specs = [(kind, kind, str(tmp_path / kind)) for kind in files]
+    want = sorted(map(str, rd.read_all_tools(spark, specs, lengths, 3).collect()))
+    monkeypatch.setattr(rd, "TASK", 1 << 12, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # files that need tasks are no files to be broadcast
+    try:
+        got = rd.read_all_tools(spark, specs, lengths, 3)
+        assert sorted(map(str, got.collect())) == want and len(want) > 8000
+        sizes = [r["count"] for r in got.groupBy("tool", F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(sizes) < 600  # of some 2,800 a tool
